@@ -94,14 +94,15 @@ class _Words(dict):
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word, where every change of language costs ``switch``; ties go to the first language.
 
-    If no stretch of words speaks for another language than the best overall by more than one change costs, the best
-    path never changes; prefix sums show that without walking the words.
+    If no stretch of words speaks for another language than the best overall by more than one change costs, and no
+    beginning and end together do, the best path never changes; prefix sums show that without walking the words.
     """
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best:best + 1], 0)
     low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]])), 0)
-    if (gain - low).max() <= switch:
+    ends = max(gain.max(), 0) + (gain[-1] - np.minimum(gain.min(0), 0)).max()
+    if (gain - low).max() <= switch and ends <= switch:
         return np.full(n, best)
     back = np.empty((n, k), np.int16)
     now = scores[0].tolist()

@@ -61,7 +61,7 @@ def extendible_shards(
         if low == 0:
             under_split = under_split.drop("parent").unionByName(nodes.filter("depth = 0"))
         last = high == HASH_BITS
-        fits = under_split.filter((F.col("bytes") <= max_bytes) | F.lit(last))
+        fits = under_split.filter((F.col("bytes") <= max_bytes) | (F.col("depth") == HASH_BITS))
         parts.append(fits.select("depth", "prefix", "bytes"))
         over = nodes.filter((F.col("depth") == high) & (F.col("bytes") > max_bytes)).select(F.col("prefix").alias("full"))
         low = high
