@@ -40,7 +40,7 @@ def test_state_distributions_sum_to_one():
     words = [b"", b"a", b"b", b"c", b"d"]
     tree = suffix_tree.Tree(words, np.array([50.0, 40, 30, 20, 10]), 150, 5)
     tree.grow([(1, 2, 30), (1, 0, 5), (2, 1, 28)], {1: 40, 2: 30, tree.begin: 50})
-    tree.grow([(1 * tree.radix + 2, 1, 12)], {1 * tree.radix + 2: 20})
+    tree.grow([(1 * tree.radix + 2, 1, 20)], {1 * tree.radix + 2: 20})
     assert len(tree.levels[0]["keys"]) == 2 and len(tree.levels[1]["keys"]) == 1
     unseen = 1 / (150 + 5 + 1)
     for context in ([], [1], [2], [3], [1, 2], [3, 2]):
@@ -95,6 +95,43 @@ def test_near_duplicates(spark, work):
     assert neardup.near_duplicate_classes(df.limit(0), work).collect() == []
 
 
+def test_large_groups_in_blocks(spark, work, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_GROUP", 4)
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(150):  # each two edits away from the base: some are linked with each other, some with none
+        b = list(base)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(b))
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
+    label = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, work).collect()}
+    idf = neardup.fit_idf(df, "text", work)
+    sh = neardup.Shingler()
+    v = [idf.weigh(sh(t.encode())) for t in texts]
+    near = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if neardup.weighted_jaccard(v[i], v[j]) >= 0.8}
+    i, j = neardup.similar_pairs(v)
+    assert set(zip(i.tolist(), j.tolist())) == near
+    parent = list(range(len(texts)))
+    for _ in range(20):
+        for a, b in near:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert [label[k] for k in range(len(texts))] == parent and 1 < len(set(parent)) < 150
+
+
+def test_weighted_pairs():
+    rng = np.random.default_rng(8)
+    v = []
+    for _ in range(40):
+        e = np.sort(rng.choice(10, 9, replace=False)).astype(np.uint64)
+        v.append((e, rng.choice([2, 2, 2, 3], 9) * np.where(e < 4, 1.5, 4.6)))
+    i, j = neardup.similar_pairs(v)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if neardup.weighted_jaccard(v[a], v[b]) >= 0.8}
+    assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(4)
     agree = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,19 @@ def connected_components(edges: DataFrame, work: Workspace, a: str = "a", b: str
 def _mark(e: DataFrame) -> tuple:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return row[0], row[1]
+
+
+def local_components(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest reachable number for each of n nodes, by passing minima along the links and jumping to roots."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

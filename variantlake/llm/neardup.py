@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .components import connected_components
+from .components import connected_components, local_components
 
 WORDS = 5
 SIMILAR = 0.8
@@ -24,7 +24,8 @@ SKETCH = 1 << 18
 SKETCH_PARTS, SKETCH_SALTS = 64, 1024
 TABLE = 1 << 16
 CACHE = 400_000
-ROUNDS = 3
+SMALL_GROUP = 48  # members up to which the pairs left open in a group are compared one by one
+CHUNK = 128
 BROADCAST_ROWS = 2_000_000  # ids, 16 MB: larger tables of ids are joined by shuffle
 
 _rng = np.random.default_rng(20240607)
@@ -218,9 +219,9 @@ def near_duplicate_classes(docs: DataFrame, work: Workspace, key: str = "doc_id"
     rows fall in one class. An empty table gives no rows; extra columns are ignored.
 
     Equal texts are one member (by digest) and are never expanded. Members that share a band are candidates: in each
-    band's group all meet the group's smallest member, never each other. While a group still holds several classes,
-    further rounds take further centres against the members of other classes, and after ROUNDS the pairs still open
-    across classes are all compared, so no link between different texts is lost to the shortcut.
+    band's group all meet the group's centre. Where a group still holds several classes then, members of different
+    classes meet too, in small groups one by one, in large ones in blocks of bounded size, so no link between different
+    texts is lost to the shortcut, and no group's pairs are ever written out.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -238,7 +239,7 @@ def near_duplicate_classes(docs: DataFrame, work: Workspace, key: str = "doc_id"
     signed = work.keep(base.select("key", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(sign, "key long, digest binary, bands array<long>"), "signed")
     members = work.keep(signed.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "members")
     entries = members.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
-    sizes = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    sizes = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     entries = work.keep(entries.join(sizes, "band"), "entries")
     links = _verified_links(base, entries, idf, work)
     comps = connected_components(links, work) if links is not None else None
@@ -249,8 +250,8 @@ def near_duplicate_classes(docs: DataFrame, work: Workspace, key: str = "doc_id"
 
 
 def _verified_links(base: DataFrame, entries: DataFrame, idf, work: Workspace) -> DataFrame | None:
-    """All (a, b) with similarity of SIMILAR or more among members that share a band, up to links within a class."""
-    spark = base.sparkSession
+    """(a, b) of members with similarity of SIMILAR or more that share a band: a set of links with the same components
+    as all of them."""
     ids = work.keep(entries.select(F.col("rep").alias("key")).distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = work.keep(base.join(few, "key", "left_semi").dropDuplicates(["key"]), "texts")
@@ -258,48 +259,119 @@ def _verified_links(base: DataFrame, entries: DataFrame, idf, work: Workspace) -
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, left = Shingler(), None, None
         for b in batches:
-            keys = b.column("a").to_pylist()
-            other, hit = b.column("b"), []
-            for a, x, y in zip(keys, _texts(b, "text_a"), _texts(b, "text_b")):
+            hit = []
+            for a, x, y in zip(b.column("a").to_pylist(), _texts(b, "text_a"), _texts(b, "text_b")):
                 if a != last:
                     last, left = a, idf.value.weigh(shingle(x))
                 hit.append(weighted_jaccard(left, idf.value.weigh(shingle(y))) >= SIMILAR)
-            yield pa.RecordBatch.from_arrays([b.column("a"), other, pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
 
     def checked(pairs: DataFrame, n: int) -> DataFrame:
         pairs = work.keep(pairs.distinct(), f"pairs-{n}")
         met = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         return work.keep(met.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, linked boolean"), f"checked-{n}")
 
-    done, label = None, entries.select("band", "rep", F.col("rep").alias("class"))
-    for n in range(ROUNDS + 1):
-        if n < ROUNDS:
-            # The centre of a group: its smallest member at first, then the smallest by another hash.
-            by = F.col("rep") if n == 0 else F.xxhash64("rep", F.lit(n))
-            centre = label.groupBy("band").agg(F.min(F.struct(by.alias("h"), F.col("rep").alias("a"), F.col("class").alias("class_a"))).alias("c")).select("band", "c.a", "c.class_a")
-            meets = label.join(centre, "band").filter(F.col("class") != F.col("class_a"))
-            pairs = meets.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        else:
-            x, y = label.select("band", F.col("rep").alias("a"), F.col("class").alias("class_a")), label.select("band", F.col("rep").alias("b"), F.col("class").alias("class_b"))
-            pairs = x.join(y, "band").filter("a < b and class_a <> class_b").select("a", "b")
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = checked(pairs, n)
-        if new.isEmpty():
-            if n == 0:
-                return None
-            continue
-        done = new if done is None else done.unionByName(new)
-        if n == ROUNDS:
-            break
-        comps = connected_components(done.filter("linked").select("a", "b"), work, name=f"cc-{n}")
-        relabelled = entries.join(comps, entries["rep"] == comps["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("class"))
-        # Groups in which all members are of one class, or that held two members, which have met, are settled.
-        open_bands = relabelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band")
-        label = work.keep(relabelled.join(open_bands, "band"), f"open-{n}")
-        if label.isEmpty():
-            break
-    return done.filter("linked").select("a", "b")
+    # Every member of a group meets its centre: the member whose groups are largest, which is the text that the others
+    # were made from more often than not.
+    weight = entries.groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = entries.join(weight, "rep")
+    centre = weighed.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("a"))).alias("c")).select("band", "c.a")
+    meets = entries.join(centre, "band").filter("rep <> a")
+    first = checked(meets.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), 0)
+    if first.isEmpty():
+        return None
+    links = first.filter("linked").select("a", "b")
+    comps = connected_components(links, work, name="cc-first")
+    labelled = entries.filter("n > 2").join(comps, F.col("rep") == F.col("node"), "left").select("band", "n", "rep", F.coalesce("component", "rep").alias("class"))
+    # Groups of one class, or of two members, which have met, are settled.
+    still = labelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
+    label = work.keep(labelled.join(still, "band"), "open")
+    if label.isEmpty():
+        return links
+    small = label.filter(F.col("n") <= SMALL_GROUP)
+    x, y = small.select("band", F.col("rep").alias("a"), F.col("class").alias("class_a")), small.select("band", F.col("rep").alias("b"), F.col("class").alias("class_b"))
+    pairs = x.join(y, "band").filter("a < b and class_a <> class_b").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(checked(pairs, 1).filter("linked").select("a", "b"))
+    large = label.filter(F.col("n") > SMALL_GROUP)
+    return links if large.isEmpty() else links.unionByName(_links_in_blocks(large, texts, idf, work))
+
+
+def _links_in_blocks(label: DataFrame, texts: DataFrame, idf, work: Workspace) -> DataFrame:
+    """Links across the classes of large groups, whose members are cut into chunks and compared chunk by chunk.
+
+    A class that holds many members of a group has chunks of its own, which don't meet each other; all other members
+    are mixed. A meeting multiplies two small matrices of shingles and returns its local components, not its pairs.
+    """
+    sizes = label.groupBy("band", "class").agg(F.count("*").alias("m"))
+    own = label.join(sizes, ["band", "class"]).withColumn("cls", F.when(F.col("m") >= CHUNK, F.col("class")).otherwise(-1))
+    totals = own.groupBy("band", "cls").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+    chunked = own.join(totals, ["band", "cls"]).select("band", "rep", "cls", F.pmod(F.xxhash64("rep"), F.col("k")).alias("chunk"))
+    chunked = work.keep(chunked, "chunked")
+    side = lambda s: totals.select("band", F.col("cls").alias(f"cls_{s}"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias(f"chunk_{s}"))
+    order = (F.col("cls_a") < F.col("cls_b")) | ((F.col("cls_a") == -1) & (F.col("cls_b") == -1) & (F.col("chunk_a") <= F.col("chunk_b")))
+    meetings = work.keep(side("a").join(side("b"), "band").filter(order), "meetings")
+    group = ["band", "cls_a", "chunk_a", "cls_b", "chunk_b"]
+
+    def members(s: str, number: int) -> DataFrame:
+        named = chunked.withColumnsRenamed({"cls": f"cls_{s}", "chunk": f"chunk_{s}"})
+        met = meetings.join(named, ["band", f"cls_{s}", f"chunk_{s}"]).withColumn("side", F.lit(number))
+        return met.join(texts, F.col("rep") == F.col("key")).select(*group, "side", "rep", "text")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        shingle = Shingler()
+        one = g.drop_duplicates("rep").reset_index(drop=True)
+        vectors = [idf.value.weigh(shingle(t.encode())) for t in one["text"]]
+        i, j = similar_pairs(vectors)
+        keys = one["rep"].to_numpy()
+        root = local_components(i, j, len(keys))
+        # The smallest key stands for a local component.
+        low = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, keys)
+        linked = np.flatnonzero(low[root] != keys)
+        return pd.DataFrame({"a": low[root[linked]], "b": keys[linked]})
+
+    met = members("a", 0).unionByName(members("b", 1)).groupBy(*group).applyInPandas(compare, "a long, b long")
+    return work.keep(met.distinct(), "blocks")
+
+
+def similar_pairs(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of weighted shingle vectors with a similarity of SIMILAR or more.
+
+    The smaller weight of two is the largest level that both reach, so with the levels of a shingle as features of
+    their own, sums of smaller weights are products of sparse matrices, taken in slices of features.
+    """
+    n = len(vectors)
+    row = np.repeat(np.arange(n), [len(e) for e, _ in vectors])
+    e, w = np.concatenate([e for e, _ in vectors]), np.concatenate([w for _, w in vectors])
+    total = np.bincount(row, w, n)
+    order = np.lexsort((w, e))
+    e, w, row = e[order], w[order], row[order]
+    new = np.concatenate([[True], e[1:] != e[:-1]])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
+    level = new | np.concatenate([[True], w[1:] != w[:-1]])
+    number = np.cumsum(level) - 1  # the feature (shingle, level) at which a row stands
+    at = np.flatnonzero(level)
+    rise = w[at] - np.where(new[at], 0.0, w[np.maximum(at - 1, 0)])
+    first = number[start]
+    # A row has all levels of its shingle up to its own.
+    counts = number - first + 1
+    cols = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.repeat(row, counts)
+    used = np.bincount(cols, minlength=len(at)) > 1
+    keep = used[cols]
+    rename = np.cumsum(used) - 1
+    rows, cols, rise = rows[keep], rename[cols[keep]], rise[used]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    inter = np.zeros((n, n))
+    for s in range(0, len(rise), 4096):
+        a, b = np.searchsorted(cols, (s, s + 4096))
+        m = np.zeros((n, min(4096, len(rise) - s)))
+        m[rows[a:b], cols[a:b] - s] = 1
+        inter += (m * rise[s:s + 4096]) @ m.T
+    union = total[:, None] + total[None, :] - inter
+    i, j = np.nonzero(np.triu((inter >= SIMILAR * union - 1e-9) & (union > 0), 1))
+    return i, j
 
 
 def deduplicate(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:

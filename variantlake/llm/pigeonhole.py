@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .components import connected_components
+from .components import connected_components, local_components
 from .vectors import common_size, equal_classes, usable
 
 BLOCK_SIZE = 16  # components of a block after the rotation
@@ -144,7 +144,7 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
             return _NOTHING
         links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
         names, inverse = np.unique(keys, return_inverse=True)
-        root = _local_components(inverse[i], inverse[j], len(names))
+        root = local_components(inverse[i], inverse[j], len(names))
         found = np.flatnonzero(links)
         return pd.DataFrame({"rep": keys[found], "links": links[found].astype(np.int64), "root": names[root[inverse[found]]]})
 
@@ -191,19 +191,3 @@ def _within(y: np.ndarray, a: np.ndarray, b: np.ndarray, start: int, budget: flo
         left.append(a[k + i[ok]])
         right.append(b[j[ok]])
     return np.concatenate(left), np.concatenate(right)
-
-
-def _local_components(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Smallest reachable number for each of n nodes, by passing minima along the links and jumping to roots."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
