@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import blank_to_null
 
@@ -23,7 +24,7 @@ def significant(x: Column, figures: int) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def significant_exact(x: pd.Series, figures: pd.Series) -> pd.Series:
     """As ``significant``, but deciding by the exact binary value, as decimal printing does."""
     return pd.Series([None if v is None or math.isnan(v) else float(f"{v:.{int(f) - 1}e}") for v, f in zip(x, figures)])
