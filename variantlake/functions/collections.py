@@ -51,7 +51,7 @@ def classes_by_source(c: Column) -> Column:
     """``a,b(X); c (Y)`` as a map from source to its classes."""
     items = F.filter(F.split(c, ";"), lambda x: F.trim(x) != "")
     entry = lambda x: F.struct(
-        F.regexp_extract(x, "\\(([^()]*)\\)\\s*$", 1).alias("k"), F.array_distinct(F.transform(F.split(F.regexp_replace(x, "\\([^()]*\\)\\s*$", ""), ","), F.trim)).alias("v"))
+        F.regexp_extract(x, "\\(([^()]*)\\)\\s*$", 1).alias("k"), F.array_distinct(F.transform(F.split(F.regexp_replace(x, "\\([^()]*\\)\\s*$", ""), ","), lambda x: F.trim(x))).alias("v"))
     entries = F.transform(items, entry)
     # A source that occurs twice keeps its first entry.
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd", "EEE MMM d HH:mm:ss yyyy")
+FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd", "MMM d HH:mm:ss yyyy")
 
 
 def parse_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """A timestamp from the first format that fits; NULL if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+    """A timestamp from the first format that fits, a name of a weekday before it ignored; NULL if none does."""
+    text = F.regexp_replace(F.trim(c), "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", "")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
 def iso_date(c: Column) -> Column:

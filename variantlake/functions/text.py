@@ -210,7 +210,7 @@ def strip_parentheses(c: Column) -> Column:
 
 def display_field(c: Column) -> Column:
     """Underscores as spaces, and a comma list without blanks, separated by comma and space."""
-    return F.array_join(F.filter(F.transform(F.split(F.translate(c, "_", " "), ","), F.trim), lambda x: (x != "") & (x != "-")), ", ")
+    return F.array_join(F.filter(F.transform(F.split(F.translate(c, "_", " "), ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != "-")), ", ")
 
 
 def links(c: Column, prefix: str | None = None) -> Column:
@@ -235,7 +235,7 @@ def class_colour(c: Column) -> Column:
 
 def short_authors(c: Column, most: int, ends: int = 1) -> Column:
     """A comma list of authors; above ``most`` the first ``most - ends``, an ellipsis and the last ``ends``."""
-    all_ = F.transform(F.split(c, ","), F.trim)
+    all_ = F.transform(F.split(c, ","), lambda x: F.trim(x))
     cut = F.concat(F.slice(all_, 1, most - ends), F.array(F.lit("...")), F.slice(all_, F.size(all_) - ends + 1, F.lit(ends)))
     return F.array_join(F.when(F.size(all_) > most, cut).otherwise(all_), ", ")
 

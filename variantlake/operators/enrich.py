@@ -105,7 +105,7 @@ def frequency_evidence(variants: DataFrame, coverage: dict[str, DataFrame], flag
 
 def discordant(*lists: Column) -> Column:
     """``Discordant`` if comma lists hold both a pathogenic and a benign word, else ``Concordant``."""
-    tokens = F.flatten(F.array(*[F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), F.trim) for c in lists]))
+    tokens = F.flatten(F.array(*[F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda x: F.trim(x)) for c in lists]))
     both = F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in PATHOGENIC])) & F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in BENIGN]))
     return F.when(both, "Discordant").otherwise("Concordant")
 
@@ -143,14 +143,14 @@ def prediction_code(effect: Column, domain: Column, score: Column, splice: Colum
 
 
 def source_flags(df: DataFrame, source: str, names: list[str], prefix: str = "Variant_in_") -> DataFrame:
-    parts = F.transform(F.split(F.coalesce(F.col(source), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.col(source), F.lit("")), ","), lambda x: F.trim(x))
     return df.withColumns({f"{prefix}{n}": F.array_contains(parts, n) for n in names})
 
 
 def without_sources(df: DataFrame, excluded: list[str], source: str = "Source") -> DataFrame:
     """Without the excluded sources' columns (by their endings) and members of the list; rows left without any go."""
     columns = [c for c in df.columns if not any(c.lower().endswith("_" + s.lower()) for s in excluded)]
-    left = F.array_except(F.transform(F.split(F.col(source), ","), F.trim), F.array(*[F.lit(s) for s in excluded]))
+    left = F.array_except(F.transform(F.split(F.col(source), ","), lambda x: F.trim(x)), F.array(*[F.lit(s) for s in excluded]))
     return df.select(*columns).withColumn(source, F.array_join(left, ",")).filter(F.col(source) != "")
 
 
