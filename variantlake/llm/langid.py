@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,64 +31,83 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x3FFFF),
 )
-_LETTERS = re.compile(r"[^\W\d_]+")
+GROUP = 2_000_000  # characters of text whose new words are scored together
 
 
-def script_of(c: str) -> str:
-    o = ord(c)
-    return next((name for name, a, b in SCRIPTS if a <= o <= b), "other")
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """By code point: whether it is a letter, and the number of its script."""
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    names = ["other", *dict.fromkeys(n for n, _, _ in SCRIPTS)]
+    script = np.zeros(0x110000, np.uint8)
+    for name, first, last in SCRIPTS:
+        script[first:last + 1] = names.index(name)
+    return letter, script, names
 
 
-def grams(word: str) -> list[str]:
-    """Letter trigrams of the lower-cased letter runs of a token, with ``^`` before and ``$`` after each run."""
-    out = []
-    for run in _LETTERS.findall(word.lower()):
-        w = f"^{run}$"
-        out += [w[i:i + 3] for i in range(len(w) - 2)]
-    return out
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each letter of the lower-cased words: the word's number, its trigram, and the script's number.
+
+    A letter's trigram holds its neighbours, or the edge of the run of letters, so a run has as many trigrams as
+    letters. Trigrams are numbers, 21 bits for each code point and 0 for an edge.
+    """
+    letter, script, _ = _tables()
+    points = np.frombuffer("\n".join(words).lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+    is_letter = letter[points]
+    padded = np.concatenate([[0], np.where(is_letter, points, 0), [0]])
+    at = np.flatnonzero(is_letter)
+    word = np.cumsum(points == 10)[at]
+    return word, padded[at] << 42 | points[at] << 21 | padded[at + 2], script[points[at]]
 
 
 class Model:
     """Trigram log probabilities by language, and each language's scripts. Its size is bounded by MAX_GRAMS."""
 
-    def __init__(self, langs: list[str], table: dict[str, np.ndarray], floor: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.table, self.floor, self.scripts = langs, table, floor, scripts
-
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        """Scores by language, zero for the best and clipped, and the number of letters."""
-        letters = sum(map(len, _LETTERS.findall(w)))
-        s = np.zeros(len(self.langs))
-        if not letters:
-            return s, 0
-        for g in grams(w):
-            s += self.table.get(g, self.floor)
-        main = Counter(map(script_of, filter(str.isalpha, w))).most_common(1)[0][0]
-        allowed = self.scripts.get(main)
-        if allowed is not None and allowed.any():
-            s = np.where(allowed, s, -np.inf)
-        return np.maximum(s - s.max(), -CLIP), letters
+    def __init__(self, langs: list[str], keys: np.ndarray, logs: np.ndarray, floor: np.ndarray, scripts: np.ndarray):
+        self.langs, self.scripts = langs, scripts
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.logs = np.concatenate([logs, floor[None, :]])  # the last row stands for unknown trigrams
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language, zero for the best and clipped, and the number of letters, for each word.
+
+        Only languages that use the script of most of a word's letters are candidates for it, if there are any.
+        """
+        word, key, script = grams(words)
+        n, k = len(words), len(self.langs)
+        i = np.searchsorted(self.keys, key)
+        i = np.where(self.keys[i] == key, i, len(self.keys) - 1)
+        s = np.stack([np.bincount(word, self.logs[i, j], n) for j in range(k)], 1)
+        letters = np.bincount(word, minlength=n)
+        kinds = len(_tables()[2])
+        main = np.bincount(word * kinds + script, minlength=n * kinds).reshape(n, kinds).argmax(1)
+        allowed = self.scripts[main]
+        s[~allowed & allowed.any(1)[:, None] & (letters > 0)[:, None]] = -np.inf
+        return np.maximum(s - s.max(1, keepdims=True), -CLIP), letters
 
 
 class _Words(dict):
-    """Row numbers of words in a growing table of scores; emptied between texts once it is full."""
+    """Row numbers of words in a table of scores, which is emptied between groups of texts once it is full."""
 
     def __init__(self, model: Model):
-        self.model, self.n = model, 0
-        self.scores, self.letters = np.zeros((4096, len(model.langs))), np.zeros(4096, np.int64)
-
-    def __missing__(self, w: str) -> int:
-        if self.n == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[self.n], self.letters[self.n] = self.model.word(w)
-        self[w] = self.n
-        self.n += 1
-        return self.n - 1
+        self.model = model
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.scores, self.letters = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        new = list({w for words in texts for w in words if w not in self})
+        if len(self) + len(new) > CACHE:
+            self._reset()
+            new = list({w for words in texts for w in words})
+        if new:
+            scores, letters = self.model.score(new)
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if self.n > CACHE:
-            self.clear()
-            self.n = 0
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -137,39 +157,35 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", seed: str = "do
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c: Counter = Counter()
             words: dict[str, Counter] = {}
             for code, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words.setdefault(code, Counter()).update(t.split())
             for code, ws in words.items():
-                for w, n in ws.items():
-                    for g in grams(w):
-                        c[code, "g", g] += n
-                    for ch in filter(str.isalpha, w):
-                        c[code, "s", script_of(ch)] += n
-            rows = list(c.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())],
-                names=["lang", "what", "item", "n"],
-            )
-
-    counts = sample.mapInArrow(count, "lang string, what string, item string, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
+                if not ws:
+                    continue
+                times = np.fromiter(ws.values(), np.int64, len(ws))
+                word, key, script = grams(list(ws))
+                for what, item in (("gram", key), ("script", script.astype(np.int64))):
+                    found, back = np.unique(item, return_inverse=True)
+                    n = np.bincount(back, times[word], len(found)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([code] * len(found), pa.string()), pa.array([what] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "what", "item", "n"])
+
+    counts = sample.mapInArrow(count, "lang string, what string, item long, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang", "what").orderBy(F.col("n").desc(), "item")
     rows = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MAX_GRAMS).select("lang", "what", "item", "n").collect()
     langs = sorted({r[0] for r in rows})
     at = {code: i for i, code in enumerate(langs)}
-    grams_n = np.zeros(len(langs))
-    table: dict[str, np.ndarray] = {}
-    letters: dict[str, np.ndarray] = {}
+    keys = np.array(sorted({r[2] for r in rows if r[1] == "gram"}), np.int64)
+    table, letters = np.zeros((len(keys), len(langs))), np.zeros((len(_tables()[2]), len(langs)))
     for code, what, item, n in rows:
-        into = table if what == "g" else letters
-        into.setdefault(item, np.zeros(len(langs)))[at[code]] += n
-        grams_n[at[code]] += n * (what == "g")
-    a, v = 0.1, len(table) + 1
-    logs = {g: np.log((c + a) / (grams_n + a * v)) for g, c in table.items()}
-    all_letters = sum(letters.values()) if letters else np.ones(len(langs))
-    scripts = {s: c >= MIN_SCRIPT * np.maximum(all_letters, 1) for s, c in letters.items()}
-    return Model(langs, logs, np.log(a / (grams_n + a * v)) if langs else np.zeros(0), scripts)
+        if what == "gram":
+            table[np.searchsorted(keys, item), at[code]] = n
+        else:
+            letters[item, at[code]] = n
+    a, v = 0.1, len(keys) + 1
+    total = table.sum(0)
+    scripts = (letters > 0) & (letters >= MIN_SCRIPT * letters.sum(0))
+    return Model(langs, keys, np.log((table + a) / (total + a * v)), np.log(a / (total + a * v)), scripts)
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -188,7 +204,15 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         words = _Words(m)
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
         for texts in batches:
-            yield pa.array([_one(m, words, t.as_py()) for t in texts], kind)
+            rows, group, held = [], [], 0
+            for t in texts:
+                t = t.as_py()
+                group.append((t, t.split() if t and m.langs else []))
+                held += len(t or "")
+                if held >= GROUP:
+                    rows += _group(m, words, group)
+                    group, held = [], 0
+            yield pa.array(rows + _group(m, words, group), kind)
 
     found = predict(F.col(text))
     return docs.withColumn("_found", found).select(
@@ -197,10 +221,14 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     )
 
 
-def _one(m: Model, words: _Words, text: str | None) -> dict:
+def _group(m: Model, words: _Words, group: list[tuple[str | None, list[str]]]) -> list[dict]:
+    words.learn([tokens for _, tokens in group])
+    return [_one(m, words, t, tokens) for t, tokens in group]
+
+
+def _one(m: Model, words: _Words, text: str | None, tokens: list[str]) -> dict:
     none = {"lang": UNKNOWN, "score": 0.0, "spans": []}
-    tokens = text.split() if text else []
-    if not tokens or not m.langs:
+    if not tokens:
         return none
     rows = words.rows(tokens)
     letters = words.letters[rows]
