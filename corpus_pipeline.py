@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letters, or no language with half of the letters) go."""
+    """Documents without a language (no text, no letters, or no language with three tenths of the letters) go."""
     return langid.kept(docs.select(*COLUMNS), crc_mod("doc_id", 4) != 2)
 
 

@@ -252,7 +252,7 @@ def identify(docs: DataFrame, training: Column, text: str = "text", lang: str =
     return label(docs, fit(docs.filter(training), text, lang, key), text)
 
 
-def kept(docs: DataFrame, training: Column, least: float = 0.5, **names: str) -> DataFrame:
+def kept(docs: DataFrame, training: Column, least: float = 0.3, **names: str) -> DataFrame:
     """``docs`` without those that no language claims: ``und``, or less than ``least`` of the letters in one language."""
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)
     return identify(docs, training, **names).filter(good).select(*docs.columns)

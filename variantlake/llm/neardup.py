@@ -19,8 +19,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-COMMON = 0.01  # share of documents from which on a shingle's document frequency lowers its weight
-SKETCH = 1 << 18
+COMMON = 0.05  # share of documents from which on a shingle's document frequency lowers its weight
+SKETCH = 1 << 17
 SKETCH_PARTS, SKETCH_SALTS = 64, 1024
 TABLE = 1 << 16
 CACHE = 400_000
@@ -70,7 +70,9 @@ class Shingler:
 
 
 class Idf:
-    """Shingle weights from exact document frequencies: ln(1 + N / df), where a df below COMMON * N counts as that.
+    """Shingle weights from exact document frequencies: 1 + ln(N / df), where a df below COMMON * N counts as that.
+
+    The floor keeps the shingles of a group of copies as heavy as others until the group is COMMON of the corpus.
 
     Only shingles above the floor are listed, at most (shingles per document) / COMMON of them.
     """
@@ -79,8 +81,8 @@ class Idf:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         floor = max(1.0, COMMON * n_docs)
-        self.rare = float(np.log1p(n_docs / floor)) if n_docs else 1.0
-        self.common = np.log1p(n_docs / np.maximum(df[order], floor))
+        self.rare = float(1 + np.log(n_docs / floor)) if n_docs else 1.0
+        self.common = 1 + np.log(n_docs / np.maximum(df[order], floor))
 
     def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different shingles, sorted, with term frequency times idf."""
