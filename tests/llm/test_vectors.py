@@ -64,7 +64,8 @@ def test_links_equal_all_pairs(spark, work):
 
 
 def test_crowded_cells_are_cut(spark, work, monkeypatch):
-    monkeypatch.setattr(pigeonhole, "CHUNK", 16)
+    monkeypatch.setattr(pigeonhole, "HOME_ROWS", 16)
+    monkeypatch.setattr(pigeonhole, "VISITOR_ROWS", 32)
     rng = np.random.default_rng(3)
     x = (rng.normal(size=16) + rng.normal(size=(150, 16)) * 0.15).astype(np.float32)
     d = x.astype(np.float64)

@@ -17,7 +17,7 @@ from .vectors import common_size, equal_classes, usable
 
 BLOCK_SIZE = 16  # components of a block after the rotation
 GRID = 2  # leading components of a block that its cells are cut along
-CHUNK = 2048  # rows of a cell that one task compares with as many others
+HOME_ROWS, VISITOR_ROWS = 8192, 32768  # rows of a cell that one meeting compares with rows of its neighbourhood
 SLACK = 1e-4  # added to squared-distance budgets, so rounding in single precision excludes no pair
 
 
@@ -37,10 +37,11 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
 
     Unit vectors at cosine c are sqrt(2 - 2c) apart. After a rotation, the vector is split into blocks, each with a
     share of the squared distance in proportion to its components: a pair within the whole distance is within the
-    share in at least one block. Per block, rows fall into grid cells as wide as the share's root, and a cell meets
-    itself and half of its neighbours, so each pair of neighbouring rows meets once. Where a cell is crowded its rows
-    are cut into chunks and pairs of chunks meet. A meeting filters by the block's distance, leaves a pair to the first
-    block that holds it, verifies it on the original vectors, and returns counts and local components, never pairs.
+    share in at least one block. Per block, rows fall into grid cells as wide as the share's root. A cell's rows are at
+    home to visitors from itself and from half of its neighbours, so each pair of neighbouring rows meets once; where
+    there are many, both sides are cut into chunks and each pair of chunks meets. A meeting filters by the block's
+    distance, leaves a pair to the first block that holds it, verifies it on the original vectors, and returns counts
+    and local components, never pairs.
     Equal vectors are joined once, with the number of their copies.
     """
     spark = df.sparkSession
@@ -63,8 +64,7 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
         for b in batches:
             x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(size, 1))
             y = x / np.linalg.norm(x, axis=1, keepdims=True) @ turn.value
-            # Both the vector as it is and its rotated form: every meeting then decides from the same numbers.
-            data = pa.array([v.tobytes() + r.tobytes() for v, r in zip(x.astype(exact), y.astype(np.float32))], pa.binary())
+            data = pa.array([v.tobytes() for v in x.astype(exact)], pa.binary())
             for n, a in enumerate(cuts):
                 at = np.floor(y[:, a:a + GRID] / width).astype(np.int32)
                 at = np.pad(at, ((0, 0), (0, GRID - at.shape[1])))
@@ -77,56 +77,42 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
     spec = "rep long, copies long, data binary, block int, " + ", ".join(f"{c} int" for c in axes)
     placed = classes.mapInArrow(cells, spec)
     # Components lie between -1 and 1, so the number of cells has a bound that does not depend on the rows.
-    crowd = work.keep(placed.groupBy("block", *axes).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "crowd")
-    small = F.broadcast(crowd)
-    placed = placed.join(small, ["block", *axes]).withColumn("chunk", F.pmod(F.xxhash64("rep", "block"), F.col("chunks").cast("long")).cast("int"))
-    homes = placed.withColumn("side", F.lit(0))
-    # A row visits its own cell and the cells before it in half of the directions.
+    crowd = work.keep(placed.groupBy("block", *axes).agg(F.count("*").alias("n")), "crowd")
     steps = [s for s in product((-1, 0, 1), repeat=GRID) if s <= (0,) * GRID]
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(s)]) for s in steps])
-    visits = placed.withColumn("step", F.explode(offsets))
-    for i, c in enumerate(axes):
-        visits = visits.withColumn(f"to{i}", F.col(c) + F.col(f"step.d{i}"))
-    visits = visits.withColumn("own", F.lit(True))
-    for i, c in enumerate(axes):
-        visits = visits.withColumn("own", F.col("own") & (F.col(f"to{i}") == F.col(c)))
-    there = F.broadcast(crowd.select("block", *[F.col(c).alias(f"to{i}") for i, c in enumerate(axes)], F.col("chunks").alias("to_chunks")))
-    visits = visits.join(there, ["block", *[f"to{i}" for i in range(GRID)]])
-    # Meeting = (block, cell, its chunk, who comes: a cell's chunk). The home rows are sent to each meeting of theirs.
-    meet = ["block", *[f"h{i}" for i in range(GRID)], "hc", *[f"v{i}" for i in range(GRID)], "vc"]
-    coming = visits.withColumn("hc", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1))).filter("not own or hc <= chunk").select(
-        "block", *[F.col(f"to{i}").alias(f"h{i}") for i in range(GRID)], "hc", *[F.col(c).alias(f"v{i}") for i, c in enumerate(axes)],
-        F.col("chunk").alias("vc"), "rep", "copies", "data", F.lit(1).alias("side"),
-    )
-    # Cells of visitors: the directions turned around.
-    back = F.array(*[F.struct(*[F.lit(-v).alias(f"d{i}") for i, v in enumerate(s)]) for s in steps])
-    hosts = homes.withColumn("step", F.explode(back))
-    for i, c in enumerate(axes):
-        hosts = hosts.withColumn(f"to{i}", F.col(c) + F.col(f"step.d{i}"))
-    hosts = hosts.join(there, ["block", *[f"to{i}" for i in range(GRID)]])
-    same = " and ".join(f"to{i} = {c}" for i, c in enumerate(axes))
-    hosts = hosts.withColumn("vc", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1))).filter(f"not ({same}) or vc >= chunk").select(
-        "block", *[F.col(c).alias(f"h{i}") for i, c in enumerate(axes)], F.col("chunk").alias("hc"), *[F.col(f"to{i}").alias(f"v{i}") for i in range(GRID)],
-        "vc", "rep", "copies", "data", F.lit(0).alias("side"),
-    )
+    towards = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(s)]) for s in steps]))
+    homes_of = [(F.col(c) - F.col(f"step.d{i}")).alias(f"h{i}") for i, c in enumerate(axes)]
+    cell = [f"h{i}" for i in range(GRID)]
+    visitors = crowd.withColumn("step", towards).select("block", *homes_of, "n").groupBy("block", *cell).agg(F.sum("n").alias("visitors"))
+    plan = crowd.select("block", *[F.col(c).alias(h) for c, h in zip(axes, cell)], "n").join(visitors, ["block", *cell])
+    plan = plan.select("block", *cell, F.ceil(F.col("n") / HOME_ROWS).alias("hcs"), F.ceil(F.col("visitors") / VISITOR_ROWS).alias("vcs"))
+    plan = F.broadcast(work.keep(plan, "plan"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+    slot = lambda c: F.pmod(F.xxhash64("rep", "block"), F.col(c)).cast("int")
+    row = ["rep", "copies", "data"]
+    hosts = placed.select("block", *[F.col(c).alias(h) for c, h in zip(axes, cell)], *row).join(plan, ["block", *cell])
+    hosts = hosts.select("block", *cell, slot("hcs").alias("hc"), upto("vcs").alias("vc"), *row, F.lit(0).alias("side"))
+    coming = placed.withColumn("step", towards)
+    own = F.lit(True)
+    for i in range(GRID):
+        own = own & (F.col(f"step.d{i}") == 0)
+    coming = coming.select("block", *homes_of, *row, F.when(own, 1).otherwise(2).alias("side")).join(plan, ["block", *cell])
+    coming = coming.select("block", *cell, upto("hcs").alias("hc"), slot("vcs").alias("vc"), *row, "side")
+    meet = ["block", *cell, "hc", "vc"]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["block"].iat[0])
-        side = group["side"].to_numpy()
-        alone = _alone(group)
-        keys, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-        raw = np.frombuffer(b"".join(group["data"]), np.uint8).reshape(len(group), -1)
-        split = np.dtype(exact).itemsize * size
-        x = np.ascontiguousarray(raw[:, :split]).view(exact).astype(np.float64)
-        y = np.ascontiguousarray(raw[:, split:]).view(np.float32)
+        group = group.sort_values(["side", "rep"])
+        side, keys, copies = (group[c].to_numpy() for c in ("side", "rep", "copies"))
+        x = np.frombuffer(b"".join(group["data"]), exact).reshape(len(group), -1).astype(np.float64)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        y = unit @ turn.value
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         if not len(a) or not len(b):
             return _NOTHING
         i, j = _within(y, a, b, cuts[block], budgets[block])
-        if alone:  # a chunk with itself: each pair once
-            once = keys[i] < keys[j]
-            i, j = i[once], j[once]
+        # Rows of the home cell come as visitors too: of those, each pair once.
+        once = (side[j] == 2) | (keys[i] < keys[j])
+        i, j = i[once], j[once]
         for earlier in range(block):
             if not len(i):
                 break
@@ -134,7 +120,7 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
             near = np.zeros(len(i), bool)
             for p in range(0, len(i), 1 << 18):
                 q = slice(p, p + (1 << 18))
-                # The same test as in the earlier block's meeting: a pair belongs to the first block that finds it.
+                # As in the earlier block's meeting: a pair belongs to the first block that finds it.
                 near[q] = _squares(y[i[q], s], y[j[q], s]) <= budgets[earlier]
             i, j = i[~near], j[~near]
         if len(i):
@@ -168,26 +154,23 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
 _NOTHING = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
 
 
-def _alone(group: pd.DataFrame) -> bool:
-    own = all(group[f"h{i}"].iat[0] == group[f"v{i}"].iat[0] for i in range(GRID))
-    return own and group["hc"].iat[0] == group["vc"].iat[0]
-
-
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a - b) ** 2).sum(1)
 
 
 def _within(y: np.ndarray, a: np.ndarray, b: np.ndarray, start: int, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the budget in one block: matrix products find them with slack, differences decide."""
+    """Pairs of rows within the budget in one block: products in single precision, with slack, find them, differences
+    in double precision decide."""
     s = slice(start, start + BLOCK_SIZE)
     p, q = y[a, s], y[b, s]
-    q2 = (q * q).sum(1)
+    p4, q4 = p.astype(np.float32), q.astype(np.float32)
+    q2 = (q4 * q4).sum(1)
     left, right = [], []
-    for k in range(0, len(a), 256):
-        part = p[k:k + 256]
-        near = part @ q.T * -2 + q2 <= (budget + 1e-4) - (part * part).sum(1)[:, None]
-        i, j = np.nonzero(near)
-        ok = _squares(part[i], q[j]) <= budget
+    for k in range(0, len(a), 128):
+        part = p4[k:k + 128]
+        near = part @ q4.T * -2 + q2 <= (budget + 1e-5) - (part * part).sum(1)[:, None]
+        i, j = np.divmod(np.flatnonzero(near), len(b))
+        ok = _squares(p[k + i], q[j]) <= budget
         left.append(a[k + i[ok]])
         right.append(b[j[ok]])
     return np.concatenate(left), np.concatenate(right)
