@@ -245,6 +245,7 @@ def near_duplicate_classes(docs: DataFrame, work: Workspace, key: str = "doc_id"
     entries = work.keep(entries.join(sizes, "band"), "entries")
     links = _verified_links(base, entries, idf, work)
     comps = connected_components(links, work) if links is not None else None
+    work.drop("entries", "ids", "texts", "pairs-0", "checked-0", "pairs-1", "checked-1", "open", "chunked", "meetings", "blocks")
     reps = members.select("digest", "rep")
     if comps is not None:
         reps = reps.join(comps, reps["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))

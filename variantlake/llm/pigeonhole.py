@@ -136,6 +136,7 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
 
     met = coming.unionByName(hosts).groupBy(*meet).applyInPandas(compare, "rep long, links long, root long")
     met = work.keep(met, "met")
+    work.drop("crowd", "plan")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(met.select("rep", "root").distinct(), work, "rep", "root")
     per_class = (

@@ -174,7 +174,9 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
         before = after
     learned = known.groupBy("inst").agg(F.min("kind").alias("as"))
     added = one.filter("kind is null").drop("kind", "patterns").join(learned, "inst").select(key, "_k", F.col("as").alias("kind"), "start", "end").distinct()
-    return work.keep(added, "added")
+    added = work.keep(added, "added")
+    work.drop("items", "edges", "totals", f"known-{r}")
+    return added
 
 
 def find_private(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +214,7 @@ def redact(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     """
     scanned = work.keep(_scan(docs, key, text), "scanned")
     added = _bootstrap(scanned, key, work)
-    work.drop("scanned", "items", "edges", "totals")
+    work.drop("scanned")
     more = work.keep(added.groupBy(key, "_k").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more")), "more")
     m = more.select(F.col(key).alias("_key"), F.col("_k").alias("_k2"), "_more")
 
