@@ -106,10 +106,12 @@ def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, limit: in
     return listed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pick, f"rank int, site {kind}")
 
 
-def knapsack(items: DataFrame, capacity: int, most: int, limit: int = 2000) -> DataFrame:
-    """The items (name, weight, value; whole weights) of largest value within the capacity and ``most`` items.
+def knapsack(items: DataFrame, capacity: int, most: int) -> DataFrame:
+    """The items (name, weight, value; whole weights, positive values) of largest value within the capacity and ``most`` items.
 
-    Dynamic programming over the best ``limit`` items by value, in one grouped task.
+    Of items of one weight, no answer needs more than the ``most`` most valuable ones. Those are at most
+    (capacity + 1) * most rows whatever the input, over which one task solves the rest by dynamic programming, exactly.
+    Items with a null weight or value, or a negative weight, can't be chosen.
     """
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name").reset_index(drop=True)
@@ -122,7 +124,9 @@ def knapsack(items: DataFrame, capacity: int, most: int, limit: int = 2000) -> D
         value, chosen = max(best.values(), key=lambda x: x[0])
         return pdf.iloc[list(chosen)][["name", "weight", "value"]]
 
-    top = items.orderBy(F.desc("value"), "name").limit(limit)
+    place = F.row_number().over(W.partitionBy("weight").orderBy(F.desc("value"), "name"))
+    able = items.select("name", "weight", "value").filter((F.col("weight") >= 0) & (F.col("weight") <= capacity) & F.col("value").isNotNull())
+    top = able.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
     return top.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "name string, weight long, value double")
 
 

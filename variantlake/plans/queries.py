@@ -82,16 +82,17 @@ def history_self_join(spark, sf_dir):
     return h.groupBy("o_custkey", F.col("cur.o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("versions"), F.min("old.o_orderkey").alias("first_key"))
 
 
-@query("""WITH stored AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0), incoming AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH stored AS (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0), incoming AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING')
     SELECT c_custkey, c_name, false AS deleted FROM incoming UNION ALL
     SELECT c_custkey, c_name, true FROM stored s WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.c_custkey = s.c_custkey)""")
 def soft_delete_upsert(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return V.soft_delete_upsert(c.filter("c_custkey % 3 <> 0"), c.filter("c_custkey % 2 = 0"), ["c_custkey"])
+    c = _t(spark, sf_dir, "customer")
+    stored, incoming = (c.filter(f).select("c_custkey", "c_name") for f in ("c_acctbal > 0", "c_mktsegment <> 'BUILDING'"))
+    return V.soft_delete_upsert(stored, incoming, ["c_custkey"])
 
 
 @query("""WITH cur AS (SELECT o_custkey, max(o_totalprice) AS best FROM orders GROUP BY 1)
-    SELECT o.o_orderkey, CAST(round(CASE WHEN o.o_orderkey % 2 = 0 THEN c.best ELSE c.best END, 2) AS DOUBLE) AS o_totalprice FROM orders o JOIN cur c USING (o_custkey)""")
+    SELECT o.o_orderkey, round(c.best, 2) AS o_totalprice FROM orders o JOIN cur c USING (o_custkey)""")
 def backfill_history(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     cur = orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("o_totalprice"))
@@ -101,14 +102,14 @@ def backfill_history(spark, sf_dir):
 # -- merging -------------------------------------------------------------------------------------------------------
 
 @query("""WITH a AS (SELECT c_nationkey AS nation, list_sort(list(DISTINCT c_mktsegment)) AS v FROM customer GROUP BY 1),
-    b AS (SELECT s_nationkey AS nation, list_sort(list(DISTINCT CAST(s_suppkey % 7 AS VARCHAR))) AS v FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1)
+    b AS (SELECT s_nationkey AS nation, list_sort(list(DISTINCT CAST(s_suppkey % 7 AS VARCHAR))) AS v FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
     SELECT nation, concat_ws(',', CASE WHEN a.v IS NOT NULL THEN 'customer' END, CASE WHEN b.v IS NOT NULL THEN 'supplier' END) AS sources,
     coalesce(array_to_string(a.v, ','), '-') AS value_customer, coalesce(array_to_string(b.v, ','), '-') AS value_supplier FROM a FULL JOIN b USING (nation)""")
 def merge_sources_full_outer(spark, sf_dir):
     from ..sources.writers import as_text
 
     c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.array("c_mktsegment").alias("value"))
-    s = _t(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("nation"), F.array((F.col("s_suppkey") % 7).cast("string")).alias("value"))
+    s = _t(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"), F.array((F.col("s_suppkey") % 7).cast("string")).alias("value"))
     merged = G.merge_sources([(G.SourceSpec("customer", {"value": "value"}), c), (G.SourceSpec("supplier", {"value": "value"}), s)], ["nation"])
     return as_text(merged).select(F.col("nation").cast("int").alias("nation"), F.col("Source").alias("sources"), "value_customer", "value_supplier")
 
@@ -191,12 +192,12 @@ def nearest_before(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-    b AS (SELECT l_suppkey AS k, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 <> 0 GROUP BY 1)
+    b AS (SELECT l_suppkey AS k, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 50 AND l_tax >= 0.08 GROUP BY 1)
     SELECT k, round(coalesce((a.m * a.d + b.m * b.d) / (a.d + b.d), a.m, b.m), 6) AS mean FROM a FULL JOIN b USING (k)""")
 def full_outer_weighted_mean(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     agg = lambda d: d.groupBy(F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("depth"))
-    w = E.weighted_coverage(agg(li.filter("l_returnflag = 'R'")), agg(li.filter("l_returnflag = 'A' and l_suppkey % 3 <> 0")), ["k"])
+    w = E.weighted_coverage(agg(li.filter("l_returnflag = 'R'")), agg(li.filter("l_returnflag = 'A' and l_quantity >= 50 and l_tax >= 0.08")), ["k"])
     return w.select("k", F.round("mean", 6).alias("mean"))
 
 
@@ -267,9 +268,9 @@ def subset_by_source(spark, sf_dir):
 
 # -- comparison ----------------------------------------------------------------------------------------------------
 
-@query("""WITH o AS (SELECT c_custkey, c_mktsegment AS seg, c_acctbal AS bal, c_name AS name FROM customer WHERE c_custkey % 11 <> 0),
+@query("""WITH o AS (SELECT c_custkey, c_mktsegment AS seg, c_acctbal AS bal, c_name AS name FROM customer WHERE c_acctbal >= 0),
     n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal,
-        CASE WHEN c_custkey % 3 = 0 THEN c_name || 'x' ELSE c_name END AS name FROM customer WHERE c_custkey % 13 <> 0)
+        CASE WHEN c_custkey % 3 = 0 THEN c_name || 'x' ELSE c_name END AS name FROM customer WHERE c_acctbal < 9000)
     SELECT c_custkey, CASE WHEN o.name IS NULL THEN 'new' WHEN n.name IS NULL THEN 'deleted' WHEN o.seg <> n.seg THEN 'changed_classification'
         WHEN o.bal <> n.bal THEN 'changed_information' WHEN o.name <> n.name THEN 'added_information' END AS change_type,
         CASE WHEN o.name IS NULL OR n.name IS NULL THEN NULL ELSE CAST((o.seg <> n.seg) AS INTEGER) + CAST((o.bal <> n.bal) AS INTEGER) + CAST((o.name <> n.name) AS INTEGER) END AS fields
@@ -277,29 +278,30 @@ def subset_by_source(spark, sf_dir):
 def release_diff(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    old = c.filter(k % 11 != 0).select(k, F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"), F.col("c_name").alias("name"))
-    new = c.filter(k % 13 != 0).select(k, F.when(k % 5 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("seg"), F.when(k % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("bal"),
+    old = c.filter("c_acctbal >= 0").select(k, F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"), F.col("c_name").alias("name"))
+    new = c.filter("c_acctbal < 9000").select(k, F.when(k % 5 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("seg"), F.when(k % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("bal"),
                                        F.when(k % 3 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name")).alias("name"))
     d = D.release_diff(old, new, D.DiffRules("c_custkey", "seg"))
     return d.select("c_custkey", "change_type", F.when(F.col("diff").isNotNull(), F.size("diff")).alias("fields"))
 
 
-@query("""WITH l AS (SELECT year(o_orderdate) AS y, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders WHERE o_orderkey % 97 < 3 AND o_custkey % 5 = 0 GROUP BY 1),
-    j AS (SELECT a.y, a.p AS old, b.p AS new FROM l a JOIN l b ON b.y = a.y + 1)
-    SELECT CAST(y AS INTEGER) AS y, array_to_string(list_filter(new, lambda x: NOT list_contains(old, x)), ',') AS added, array_to_string(list_filter(old, lambda x: NOT list_contains(new, x)), ',') AS removed FROM j""")
+@query("""WITH l AS (SELECT o_custkey, year(o_orderdate) AS y, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY ALL),
+    j AS (SELECT a.o_custkey, a.y, a.p AS old, b.p AS new FROM l a JOIN l b ON b.o_custkey = a.o_custkey AND b.y = a.y + 1)
+    SELECT o_custkey, CAST(y AS INTEGER) AS y, array_to_string(list_filter(new, lambda x: NOT list_contains(old, x)), ',') AS added, array_to_string(list_filter(old, lambda x: NOT list_contains(new, x)), ',') AS removed FROM j""")
 def list_diff(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 97 < 3 and o_custkey % 5 = 0")
-    l = o.groupBy(F.year("o_orderdate").alias("y")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p"))  # noqa: E741
-    j = l.select("y", F.col("p").alias("old")).join(l.select((F.col("y") - 1).alias("y"), F.col("p").alias("new")), "y")
+    o = _t(spark, sf_dir, "orders")
+    l = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p"))  # noqa: E741
+    j = l.select("o_custkey", "y", F.col("p").alias("old")).join(l.select("o_custkey", (F.col("y") - 1).alias("y"), F.col("p").alias("new")), ["o_custkey", "y"])
     added, removed = R.list_change(F.col("old"), F.col("new"))
-    return j.select("y", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"))
+    return j.select("o_custkey", "y",F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"))
 
 
-@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 50 = 1), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A')
     (SELECT k, 'left' AS side FROM (FROM a EXCEPT FROM b)) UNION ALL (SELECT k, 'right' FROM (FROM b EXCEPT FROM a))""")
 def symmetric_difference(spark, sf_dir):
-    a = _t(spark, sf_dir, "customer").filter("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("k"))
-    return D.symmetric_difference(a, _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
+    li = _t(spark, sf_dir, "lineitem")
+    a, b = (li.filter(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("k")) for flag in ("R", "A"))
+    return D.symmetric_difference(a, b, ["k"])
 
 
 # -- search --------------------------------------------------------------------------------------------------------
@@ -413,7 +415,7 @@ def haplotype_components(spark, sf_dir):
 @query()
 def knapsack(spark, sf_dir):
     items = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").cast("long").alias("weight"), F.col("p_retailprice").alias("value"))
-    return I.knapsack(items, 60, 6, 200)
+    return I.knapsack(items, 60, 6)
 
 
 @query()
