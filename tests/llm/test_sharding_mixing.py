@@ -94,3 +94,12 @@ def test_mix_edge_cases(spark, work):
     assert len(got) == 4 and all(r.taken in (0, r.size, 2 * r.size) for r in got)
     again = mixing.repeat(docs(spark, rows), work)
     assert again.columns == ["doc_id", "source", "text", "size"]
+
+
+def test_repeat_is_the_same_by_broadcast_and_by_shuffle(spark, work, monkeypatch):
+    rows = [(i % 190 if i % 11 else None, f"s{i % 3}", "w " * ((i * 7919) % 50), "") for i in range(200)]
+    found = []
+    for bound in (mixing.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
+        found.append(sorted(map(repr, mixing.repeat(docs(spark, rows), work).collect())))
+    assert found[0] == found[1] and len(found[0]) > len(rows) // 2

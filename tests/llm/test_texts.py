@@ -63,7 +63,7 @@ def shingles(t):
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def test_near_duplicates(spark, work):
+def test_near_duplicates(spark, work, monkeypatch):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(3000)]
     base = [[rng.choice(vocab) for _ in range(rng.randint(60, 400))] for _ in range(120)]
@@ -90,7 +90,10 @@ def test_near_duplicates(spark, work):
     assert label[500] == label[texts.index("")] and label[None] == label[1]
     left = neardup.deduplicate(df, work)
     assert left.columns == df.columns
-    ids = [r.doc_id for r in left.collect()]
+    left = left.collect()
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, neardup.deduplicate(df, work).collect())) == sorted(map(repr, left))
+    ids = [r.doc_id for r in left]
     assert sorted(i for i in ids if i is not None) == sorted(set(parent))
     assert neardup.near_duplicate_classes(df.limit(0), work).collect() == []
 

@@ -15,7 +15,8 @@ class Workspace:
     """A folder of its own below ``spark.checkpoint.dir``, which the driver and all executors share.
 
     Steps whose lineage should end are written here as Parquet and read back, so a lost executor costs only the
-    tasks it ran. Where the setting is absent a temporary folder serves, in local mode only.
+    tasks it ran. One workspace serves one call of an operator: a second call would replace the steps that the first
+    one's result still reads. Where the setting is absent a temporary folder serves, in local mode only.
     """
 
     def __init__(self, spark: SparkSession, name: str):

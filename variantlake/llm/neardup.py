@@ -26,7 +26,7 @@ TABLE = 1 << 16
 CACHE = 400_000
 SMALL_GROUP = 48  # members up to which the pairs left open in a group are compared one by one
 CHUNK = 128
-BROADCAST_ROWS = 2_000_000  # ids, 16 MB: larger tables of ids are joined by shuffle
+BROADCAST_ROWS = 500_000  # ids, about 35 bytes each when broadcast: larger tables of ids are joined by shuffle
 
 _rng = np.random.default_rng(20240607)
 _WEIGHTS = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
