@@ -36,6 +36,55 @@ def test_suffix_tree_scores(spark, work):
     assert suffix_tree.score_texts(spark.createDataFrame([], SCHEMA), work).collect() == []
 
 
+def test_suffix_tree_equals_counting_by_hand(spark, work, monkeypatch):
+    # Words of a handful of occurrences in a larger corpus of other words, with contexts of three words that matter.
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        ends = {"p": "x", "q": "y"}
+        a = rng.choice("pq")
+        rows.append((i, f"{a} k l {ends[a]} " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(30)), ""))
+    rows += [(2000 + i, f"seldom{i % 5} seen pair{i % 5} of words", "") for i in range(60)] + [(None, None, ""), (3000, "k l x", "")]
+    tok = lambda t: [" "] + (t or "").lower().split() + [""]
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [tok(t) for i, t, _ in rows if not fold(i)]
+    words = Counter(w for t in train for w in t[1:])
+    n, v = sum(words.values()), len(words)
+    s, states, depth = suffix_tree.SMOOTH, {}, 0
+
+    def prob(context, x, longest):
+        for d in range(min(longest, len(context)), 0, -1):
+            if (state := states.get(tuple(context[-d:]))) is not None:
+                return state[0].get(x) or prob(context, x, d - 1) * state[1]
+        return (words[x] + 1) / (n + v + 1)
+
+    while True:
+        depth += 1
+        seen = {}
+        for t in train:
+            for i in range(depth, len(t)):
+                seen.setdefault(tuple(t[i - depth:i]), Counter())[t[i]] += 1
+        new = {}
+        for c, nexts in seen.items():
+            kept = {x: m for x, m in nexts.items() if m >= 3}
+            if sum(nexts.values()) < 5 or not kept or (depth > 2 and c[1:] not in states):
+                continue
+            below = {x: prob(c, x, depth - 1) for x in kept}
+            p = {x: (m + s * below[x]) / (sum(nexts.values()) + s) for x, m in kept.items()}
+            rest, rest_below = 1 - sum(p.values()), 1 - sum(below.values())
+            if sum(p[x] * math.log(p[x] / below[x]) for x in p) + rest * math.log(rest / rest_below) >= suffix_tree.DIVERGE:
+                new[c] = (p, rest / rest_below)
+        states.update(new)
+        if depth >= 2 and not new:
+            break
+    assert ("p", "k", "l") in states and ("seldom1", "seen") in states
+    want = {i: sum(math.log10(prob(t[:j], t[j], len(t))) for j in range(1, len(t))) for i, t in ((i, tok(t)) for i, t, _ in rows)}
+    for table in (suffix_tree.TABLE, 1.0, 0.002):  # all n-grams in the tasks, all by join, some of each
+        monkeypatch.setattr(suffix_tree, "TABLE", table)
+        got = suffix_tree.score_texts(spark.createDataFrame(rows, SCHEMA), work).collect()
+        assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 * abs(want[r.doc_id]) for r in got)
+
+
 def test_state_distributions_sum_to_one():
     words = [b"", b"a", b"b", b"c", b"d"]
     tree = suffix_tree.Tree(words, np.array([50.0, 40, 30, 20, 10]), 150, 5)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,18 @@ from pyspark.sql import functions as F
 from .common import Workspace, crc_mod
 
 FOLD, HELD_OUT = 7, 2
-DEPTH = 2  # longest context in words
 FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a table in the task: 1e6 words at most
-SYMBOL = 1e-4  # share from which on a word or context can be part of a state: 1e4 at most per depth
-TRANSITION = 2e-6  # share from which on a state keeps the count of a next symbol
+TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
+MIN_CONTEXT = 5  # occurrences from which on a context can be a state
+MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
+WHOLE_DEPTH = 2  # up to this depth every context is tested, beyond it those whose suffix is a state
 DIVERGE = 0.02  # nats by which a state's next-symbol distribution must differ from that of its suffix
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
-FLUSH = 1_500_000
+FLUSH = 750_000
+CACHE = 400_000
+FILTER = 1 << 27  # bits at most of a filter of hashes, which only saves rows
 END = b""  # the token after the last word; no word is empty
+BEGIN = b" "  # before the first word; no word has a space
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -54,7 +59,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for t in _texts(batches):
             c.update(tokens(t))
-            if len(c) > FLUSH // 3:
+            if len(c) > 2 * FLUSH // 3:
                 yield from out()
         yield from out()
 
@@ -62,9 +67,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The states that the divergence tests kept, as sorted arrays.
+    """Frequent words with their base scores, and in one process the states that ``fit`` finds with DataFrames.
 
-    Symbols are numbers by falling count; -1 is any other word, ``begin`` the start of a text. A context of d symbols
+    States are sorted arrays. Symbols are numbers by falling count; -1 is any other word, ``begin`` the start of a text. A context of d symbols
     has a key in which the last symbol is the lowest digit. A transition's key is its state's number and the symbol.
     """
 
@@ -72,7 +77,7 @@ class Tree:
         self.number = {w: i for i, w in enumerate(words)}
         self.total, self.distinct = total, distinct
         self.base = np.log10((counts + 1) / (total + distinct + 1)) if len(words) else np.zeros(0)
-        self.symbols = int((counts >= SYMBOL * total).sum()) if total else 0
+        self.symbols = int((counts >= MIN_NEXT).sum())
         self.begin, self.radix = self.symbols, self.symbols + 1
         self.levels: list[dict] = []
 
@@ -169,48 +174,112 @@ class Tree:
         return lp
 
 
-def _count_level(texts: DataFrame, shared, depth: int) -> DataFrame:
-    """(context, symbol, n) for contexts of ``depth`` symbols; symbol -1 counts any other word."""
-    spec = [("context", pa.int64()), ("symbol", pa.int64()), ("n", pa.int64())]
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal to Spark's xxhash64(a, b)."""
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = (h + _P5 + np.uint64(8)) ^ (_turn(x * _P2, 31) * _P1)
+        h = _turn(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)  # equal to Spark's xxhash64
+        if len(self) < CACHE:
+            self[word] = h
+        return h
+
+
+def _longer(g: np.ndarray) -> np.ndarray:
+    """From hashes of the n words that end at each place (0 where there are fewer) those of n + 1 words."""
+    out = np.zeros(len(g), np.uint64)
+    at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0)) + 1
+    out[at] = _mix(g[at - 1], g[at])
+    return out
+
+
+def _words(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
+    """Hashes of BEGIN and the tokens of each text, a 0 before each text."""
+    flat = [w for t in texts for w in (None, BEGIN, *t)]
+    return np.fromiter((0 if w is None else hashes[w] for w in flat), np.uint64, len(flat))
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash modulo its number of bits, about 16 a hash: at most FILTER / 64 rows."""
+    bits = min(FILTER, 1 << (16 * hashes.count() + 64).bit_length())
+    cell = F.pmod(F.col("g"), F.lit(bits)).alias("cell")
+    words = hashes.select(cell).groupBy((F.col("cell") / 64).cast("long").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    cell = g % np.uint64(64 * len(bits))
+    return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _count_level(texts: DataFrame, open_contexts, nexts, depth: int) -> DataFrame:
+    """(c, s, n): how often the words s (hashed without the first word of the context) stand where context c is before
+    the last of them; s is 0 for all next words that ``nexts`` rules out. Contexts of ``depth`` words, as long as
+    ``open_contexts`` lets pass the context (up to WHOLE_DEPTH) or its suffix."""
+    spec = [("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        held: list[np.ndarray] = []
-        size = 0
+        hashes, held, size = _Hashes(), [], 0
 
         def out():
-            flat, n = np.unique(np.concatenate(held), return_counts=True)
+            c, s = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            shift = tree.radix + 1
-            return _table([flat // shift, flat % shift - 1, n], spec)
+            _, at, n = np.unique(_mix(c, s), return_index=True, return_counts=True)
+            return _table([c[at].view(np.int64), s[at].view(np.int64), n], spec)
 
-        for t in _texts(batches):
-            small = tree.small(tree.ids(tokens(t)))
-            c = tree.contexts(small, depth)
-            if depth > 1:
-                # A context is frequent only if the one without its first symbol is.
-                c = np.where(np.isin(c % tree.radix ** (depth - 1), tree.frequent), c, -1)
-            ok = c >= 0
-            held.append(c[ok] * (tree.radix + 1) + small[ok] + 1)
-            size += len(held[-1])
-            if size > 2 * FLUSH:
-                yield out()
-                size = 0
+        for b in batches:
+            texts = b.column(0).cast(pa.binary())
+            for start in range(0, len(b), 100):
+                g = _words([tokens(t) for t in texts.slice(start, 100).to_pylist()], hashes)
+                shorter = g
+                for _ in range(depth - 1):
+                    shorter, g = g, _longer(g)
+                at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0))
+                at = at[_passes(open_contexts.value, (g if depth <= WHOLE_DEPTH else shorter)[at])]
+                s = g[at + 1]
+                held.append((g[at], np.where(_passes(nexts.value, s), s, np.uint64(0))))
+                size += len(at)
+                if size > FLUSH:
+                    yield out()
+                    size = 0
         if held:
             yield out()
 
-    found = texts.mapInArrow(count, "context long, symbol long, n long")
-    return found.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, counts: DataFrame, work: Workspace, depth: int = DEPTH) -> Tree:
-    """Fits on all ``texts`` (one text column) given their word counts.
+def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, DataFrame]:
+    """Fits on all ``texts`` (one text column) given their word counts: frequent words, and (g, v, n) of all n-grams.
 
-    A context can become a state when it makes up SYMBOL of all tokens, a next symbol is kept from TRANSITION on;
-    both bounds are shares, so the tree has a bounded size and follows the corpus the same way at every size. All
-    counts are over all texts. A context becomes a state if its next-symbol distribution diverges by DIVERGE from
-    that of the longest shorter state; the distribution is smoothed with it, and symbols not kept share the rest in
-    proportion to it, so every state's distribution sums to one over all words.
+    A context of MIN_CONTEXT occurrences can become a state, a next word is kept from MIN_NEXT on; both are counts, so
+    the tree grows with the corpus. A context becomes a state if its next-word distribution diverges by DIVERGE from
+    that of the longest shorter state; the distribution is smoothed with it, and words not kept share the rest in
+    proportion to it, so every state's distribution sums to one over all words. Depth goes on until no context passes.
+
+    n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
+    state, to the next word's score (its back-off), and as a state with a next word, to that word's score (what the
+    state gives it beyond the back-off and the shorter state). So a text's score is a sum over its n-grams. Levels are
+    joined as DataFrames; only filters of fixed size and the frequent n-grams pass through the driver.
     """
     spark = texts.sparkSession
     totals = counts.agg(F.sum("n"), F.count("*")).first()
@@ -218,20 +287,70 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace, depth: int = DEPTH
     top = counts.filter(F.col("n") >= FREQUENT * total).collect()  # at most 1 / FREQUENT rows
     top = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda x: (-x[1], x[0]))
     tree = Tree([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
-    tree.frequent = np.zeros(0, np.int64)
-    for d in range(1, depth + 1):
-        if not tree.symbols:
+    level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
+    begin = spark.range(1).select(F.xxhash64(F.lit(BEGIN)).alias("g"))
+    values, depth, states = [], 0, None
+    while True:
+        depth += 1
+        if depth <= WHOLE_DEPTH:
+            allowed = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
+            allowed = allowed.unionByName(begin) if depth == 1 else allowed
+        else:
+            allowed = states.select(F.col("c").alias("g"))
+        filters = [spark.sparkContext.broadcast(_filter(x)) for x in (allowed, level)]
+        found = work.keep(_count_level(texts, *filters, depth), f"found-{depth}")
+        below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
+        listed = work.keep(found.filter((F.col("s") != 0) & (F.col("n") >= MIN_NEXT)).join(below, "s"), f"listed-{depth}")
+        m = F.col("n") + SMOOTH * F.col("b")
+        zero = F.lit(0.0)
+        sums = found.select("c", F.col("n").alias("t"), zero.alias("x"), zero.alias("m"), zero.alias("b")).unionByName(
+            listed.select("c", F.lit(0).cast("long").alias("t"), (m * F.log(m / F.col("b"))).alias("x"), m.alias("m"), "b")
+        ).groupBy("c").agg(*[F.sum(k).alias(k) for k in ("t", "x", "m", "b")]).filter((F.col("t") >= MIN_CONTEXT) & (F.col("m") > 0))
+        weight = F.col("t") + SMOOTH
+        rest, rest_below = F.greatest(1 - F.col("m") / weight, F.lit(1e-9)), F.greatest(1 - F.col("b"), F.lit(1e-9))
+        apart = (F.col("x") - F.log(weight) * F.col("m")) / weight + rest * F.log(rest / rest_below)
+        for f in filters:
+            f.destroy()
+        states = work.keep(sums.filter(apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
+        if depth >= WHOLE_DEPTH and states.isEmpty():
+            break
+        met = listed.join(states, "c", "left" if depth < WHOLE_DEPTH else "inner")
+        p = F.coalesce(m / weight, F.col("b"))
+        nxt = work.keep(met.select(
+            F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
+        ), f"level-{depth}")
+        values += [nxt.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
+        work.drop(f"found-{depth}", f"listed-{depth}")
+        level = nxt
+    none = spark.createDataFrame([], "g long, v double, n long")
+    for v in values:
+        none = none.unionByName(v)
+    return tree, work.keep(none.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+
+
+def _score_grams(g: np.ndarray, sizes: np.ndarray, keys: np.ndarray, adds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each text (of ``sizes`` places) what its frequent n-grams add, and the others that may have a value."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    total, rest, of = np.zeros(len(sizes)), [], []
+    depth = 0
+    while True:
+        at = np.flatnonzero(g != 0)
+        at = at[_passes(bits, g[at])]
+        if depth >= WHOLE_DEPTH and not len(at):
             break
-        shared = spark.sparkContext.broadcast(tree)
-        level = work.keep(_count_level(texts, shared, d), f"level-{d}")
-        own = level.groupBy("context").agg(F.sum("n").alias("n")).filter(F.col("n") >= SYMBOL * total)
-        kept = {r[0]: r[1] for r in own.collect()}  # at most 1 / SYMBOL rows
-        rows = level.join(F.broadcast(own.select("context")), "context", "left_semi").filter((F.col("symbol") >= 0) & (F.col("n") >= TRANSITION * total))
-        tree.grow([tuple(r) for r in rows.select("context", "symbol", "n").collect()], kept)  # at most 1 / TRANSITION rows
-        tree.frequent = np.array(sorted(kept), np.int64)
-        work.drop(f"level-{d}")
-        shared.unpersist()
-    return tree
+        if len(keys):
+            i = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
+            hit = keys[i] == g[at]
+            total += np.bincount(text[at[hit]], adds[i[hit]], len(sizes))
+            at = at[~hit]
+        rest.append(g[at])
+        of.append(text[at])
+        g = _longer(g)
+        depth += 1
+    rest, of = np.concatenate(rest), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    offsets = np.searchsorted(of[order], np.arange(len(sizes) + 1))
+    return total, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rest[order].view(np.int64)))
 
 
 def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,34 +362,38 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     documents; an empty table gives no rows; without training documents every token has probability 1 / 1. Extra
     columns are ignored.
 
-    Frequent words are scored in the tasks from the tree. Each other word of a document meets its count in an equi-join
-    by word; by their definition none of these words makes up more than FREQUENT of the tokens.
+    Frequent words and n-grams are scored in the tasks from tables. Each other word or n-gram of a document meets its
+    count or value in an equi-join; by their definition none makes up more than FREQUENT or TABLE of the tokens.
     """
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
     counts = work.keep(count_words(train), "counts")
-    tree = fit(train, counts, work)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    tree, values = fit(train, counts, work)
+    frequent = values.filter(F.col("n") >= TABLE * tree.total).select("g", "v").toArrow()  # at most 1 / TABLE rows per depth
+    g, v = frequent["g"].to_numpy().view(np.uint64), frequent["v"].to_numpy()
+    order = np.argsort(g)
+    shared = docs.sparkSession.sparkContext.broadcast((tree, g[order], v[order], _filter(values)))
     kind = docs.schema[key].dataType.simpleString()
-    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
+    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, deep array<long>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = shared.value
+        t, keys, adds, bits = shared.value
+        hashes = _Hashes()
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = b.column(2).cast(pa.binary())
-            for start in range(0, len(b), 500):
-                part = b.slice(start, 500)
-                n_tok, known, base, model, offsets, words, ns = [], [], [], [], [0], [], []
-                for x in texts.slice(start, 500).to_pylist():
-                    tok = tokens(x)
+            for start in range(0, len(b), 100):
+                part = b.slice(start, 100)
+                n_tok, known, base, offsets, words, ns = [], [], [], [0], [], []
+                toks = [tokens(x) for x in texts.slice(start, 100).to_pylist()]
+                model, deep = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), keys, adds, bits)
+                for tok in toks:
                     ids = t.ids(tok)
-                    own, with_states = t.score(ids)
+                    own = float(t.base[ids[ids >= 0]].sum())
                     rare = Counter(map(tok.__getitem__, np.flatnonzero(ids < 0).tolist()))
                     n_tok.append(len(tok))
                     known.append(int((ids >= 0).sum()))
                     base.append(own)
-                    model.append(with_states)
                     words += rare.keys()
                     ns += rare.values()
                     offsets.append(len(words))
@@ -278,9 +401,9 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
                 rows = pa.array(range(row, row + len(part)), pa.int64())
                 row += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column(0), part.column(1), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)],
-                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    [rows, part.column(0), part.column(1), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(base) + model, pa.float64()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items), deep],
+                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare", "deep"],
                 )
 
     scored = docs.select(key, (fold == HELD_OUT).alias("held_out"), F.col(text)).mapInArrow(score, spec)
@@ -292,8 +415,9 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / below)).alias("rest"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"),
     )
+    deep = scored.select("row", F.explode("deep").alias("g")).join(values.filter(F.col("n") < TABLE * tree.total), "g").groupBy("row").agg(F.sum("v").alias("states"))
     more = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    return scored.drop("rare", "deep").join(rest, "row", "left").join(deep, "row", "left").select(
         key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
     )
