@@ -194,3 +194,19 @@ def test_information(spark):
     r = info.identifiability(p).first()
     assert (round(r.distinct_share, 3), round(r.unique_share, 3)) == (0.667, 0.333)
     assert rows(info.top_k_identifiability(g, "ind", "site", "v", [1])) == [(1, 2 / 3)]
+
+
+def test_uncorrelated_sites_beyond_the_first_block(spark):
+    # A hub whose 30 proxies fill the first blocks, then linked pairs: 10 hubs of 2, and one site without a score.
+    ranked = [("hub", 100.0)] + [(f"p{i:02d}", 99.0 - i) for i in range(30)] + [(f"q{i}", 20.0 - i // 2) for i in range(20)] + [("z", None)]
+    near = [("hub", f"p{i:02d}") for i in range(30)] + [(f"q{i + 1}", f"q{i}") for i in range(0, 20, 2)]
+    r, n = spark.createDataFrame(ranked, "site string, score double"), spark.createDataFrame(near, "site string, proxy string")
+    linked = {frozenset(x) for x in near}
+    want: list = []
+    for s, _ in sorted(ranked, key=lambda x: (-(x[1] if x[1] is not None else -1e9), x[0])):
+        if all(frozenset((s, w)) not in linked for w in want):
+            want.append(s)
+    assert len(want) == 12
+    for k in (3, 12, 50):
+        got = info.select_uncorrelated(r, n, k, limit=8).orderBy("rank").collect()
+        assert [x.site for x in got] == want[:k] and [x.rank for x in got] == list(range(1, len(got) + 1))

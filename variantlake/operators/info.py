@@ -46,7 +46,8 @@ def conditional(df: DataFrame, given: list[str], value: str) -> DataFrame:
     """Joint, marginal and conditional shares of (given, value)."""
     n = df.groupBy(*given, value).agg(F.count("*").alias("n"))
     own = F.sum("n").over(W.partitionBy(*given))
-    return n.withColumns({"joint": F.col("n") / F.sum("n").over(W.partitionBy()), "conditional": F.col("n") / own})
+    total = n.agg(F.sum("n").alias("_total"))
+    return n.crossJoin(F.broadcast(total)).withColumns({"joint": F.col("n") / F.col("_total"), "conditional": F.col("n") / own}).drop("_total")
 
 
 def linkage(sites: DataFrame, proxies: DataFrame, site: str = "site") -> DataFrame:
@@ -82,10 +83,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataF
 def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, limit: int = 5000) -> DataFrame:
     """The k best sites of which none is a proxy of a better one taken.
 
-    Greedy selection is sequential, so it runs over the best ``limit`` sites by score (the answer is exact as long as
-    they hold k independent ones) in one grouped task.
+    Greedy selection is sequential, so it runs over blocks of the best ``limit`` sites by score, each in one grouped
+    task. The next block is of what comes after, without the proxies of all sites taken, until k are taken or no site
+    is left: at most k blocks, as the best site of each is always taken. The k sites pass through the driver.
     """
-    top = ranked.orderBy(F.desc("score"), "site").limit(limit)
+    spark = ranked.sparkSession
+    one = spark.createDataFrame([], ranked.select("site").schema).schema
+    taken: list = []
+    rest = ranked.select("site", "score")
+    while len(taken) < k:
+        block = rest.orderBy(F.desc("score"), "site").limit(limit).persist()
+        end = block.orderBy(F.asc("score"), F.desc("site")).first()
+        if end is None:
+            break
+        taken += [r["site"] for r in _pick(block, proxies, k - len(taken)).orderBy("rank").collect()]
+        block.unpersist()
+        s, t = F.lit(end["score"]), F.lit(end["site"])
+        later = (F.col("score").isNull() & (F.col("site") > t)) if end["score"] is None else (
+            (F.col("score") < s) | F.col("score").isNull() | ((F.col("score") == s) & (F.col("site") > t)))
+        mine = F.broadcast(spark.createDataFrame([(x,) for x in taken], one).withColumnRenamed("site", "_taken"))
+        banned = proxies.join(mine, F.col("proxy") == F.col("_taken")).select("site").unionByName(
+            proxies.join(mine, F.col("site") == F.col("_taken")).select(F.col("proxy").alias("site")))
+        rest = ranked.select("site", "score").filter(later).join(banned.distinct(), "site", "left_anti")
+    return spark.createDataFrame([(i, s) for i, s in enumerate(taken, 1)], f"rank int, site {one['site'].dataType.simpleString()}")
+
+
+def _pick(top: DataFrame, proxies: DataFrame, k: int) -> DataFrame:
     pairs = proxies.join(top.select("site"), "site", "left_semi").join(top.select(F.col("site").alias("proxy")), "proxy", "left_semi")
     listed = top.join(pairs.groupBy("site").agg(F.collect_set("proxy").alias("proxies")), "site", "left")
 
@@ -102,7 +125,7 @@ def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, limit: in
                 banned |= near.get(s, set())
         return pd.DataFrame({"rank": range(1, len(taken) + 1), "site": taken})
 
-    kind = ranked.schema["site"].dataType.simpleString()
+    kind = top.schema["site"].dataType.simpleString()
     return listed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pick, f"rank int, site {kind}")
 
 
@@ -132,7 +155,8 @@ def knapsack(items: DataFrame, capacity: int, most: int) -> DataFrame:
 
 def top_k_identifiability(df: DataFrame, individual: str, site: str, value: str, ks: list[int]) -> DataFrame:
     """Share of different profiles when only the k sites of highest entropy are known, for each k."""
-    ranked = diversity(df, [site], value).withColumn("rank", F.row_number().over(W.orderBy(F.desc("entropy"), site)))
+    best = diversity(df, [site], value).orderBy(F.desc("entropy"), site).limit(max(ks))
+    ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("entropy"), site)))
     known = df.join(ranked.select(site, "rank"), site).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
     listed = F.sort_array(F.collect_list(F.struct("rank", F.col(value).alias("v"))))
     per = known.groupBy("k", individual).agg(F.array_join(F.transform(listed, lambda x: x["v"]), "|").alias("profile"))
