@@ -147,6 +147,21 @@ def test_near_duplicates(spark, work, monkeypatch):
     assert neardup.near_duplicate_classes(df.limit(0), work).collect() == []
 
 
+def test_edited_copies_of_a_text_that_a_third_of_all_documents_share(spark, work):
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(200)]
+    texts = [" ".join(base)] * 100
+    for i in range(12):  # three separate edits each: 0.86 of the shingles are shared
+        b = list(base)
+        for at in (30, 90, 150):
+            b[at + i] = f"e{i}x{at}"
+        texts.append(" ".join(b))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(220)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, work).collect()}
+    assert [label[i] for i in range(len(texts))] == [0] * 112 + list(range(112, len(texts)))
+
+
 def test_large_groups_in_blocks(spark, work, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_GROUP", 4)
     monkeypatch.setattr(neardup, "CHUNK", 8)

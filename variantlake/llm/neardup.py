@@ -19,7 +19,7 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-COMMON = 0.05  # share of documents from which on a shingle's document frequency lowers its weight
+COMMON = 1 / 3  # share of documents from which on a shingle's document frequency lowers its weight
 SKETCH = 1 << 17
 SKETCH_PARTS, SKETCH_SALTS = 64, 1024
 TABLE = 1 << 16
