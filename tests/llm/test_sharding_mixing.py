@@ -87,6 +87,16 @@ def test_mix_comes_near_targets_and_repeats(spark, work):
         assert abs(taken - target) <= 0.01 * target + 3
 
 
+def test_many_sources_are_repaired_like_few(spark, work, monkeypatch):
+    rows = [(i, f"s{i % 7}" if i % 9 else None, "w " * ((i * 7919) % 300 + 1), "") for i in range(300)]
+    taken = lambda: sorted(map(repr, mixing.mix_to_weights(docs(spark, rows).repartition(2), work).select("doc_id", "taken").collect()))
+    few = taken()
+    monkeypatch.setattr(mixing, "_few", lambda state: False)
+    assert taken() == few
+    monkeypatch.setattr(mixing, "REPAIRS", 0)
+    assert taken() != few
+
+
 def test_mix_edge_cases(spark, work):
     assert mixing.mix_to_weights(docs(spark, []), work).collect() == []
     rows = [(1, None, None, ""), (1, None, "a b", ""), (None, "x", "c", ""), (2, "x", "", "")]

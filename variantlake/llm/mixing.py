@@ -167,46 +167,40 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
         F.least(F.lit(MOST_COPIES), copies).cast("int").alias("copies"), F.monotonically_increasing_id().alias("row"),
     )
     mixed = work.keep(mixed, "mixed-0")
-    fixes = _repairs(mixed)
+    fixes = _repairs(mixed, work)
     if fixes is not None:
-        mixed = mixed.join(F.broadcast(fixes), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
+        mixed = mixed.join(fixes, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
     work.drop("sizes", "size-counts")
     return mixed.select(F.col("key").alias(key), "size", "source", "source_size", "target", "rate", "copies",
                         (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _repairs(mixed: DataFrame) -> DataFrame | None:
+def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
     """At most REPAIRS single-copy changes per source, as (row, change): each the change that leaves the least gap.
 
-    Every round is a minimum by source with partial aggregation. The changes are few per source and are carried as a
-    small table; sources beyond the broadcast bound go without, as rounding is then fine enough.
+    Every round is a minimum by source with partial aggregation. Gaps and changes are tables, whatever the number of
+    sources: one row per source and round.
     """
-    spark = mixed.sparkSession
-    if not _few(mixed.select("source").distinct()):
-        return None
-    changes: dict[int, int] = {}
-    gaps = {r[0]: r[1] for r in mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).collect()}
-    for _ in range(REPAIRS):
-        open_gaps = [(s, float(g)) for s, g in gaps.items() if g is not None and abs(g) >= 1]
-        if not open_gaps:
-            break
-        g = F.broadcast(spark.createDataFrame(open_gaps, f"_s {mixed.schema['source'].dataType.simpleString()}, gap double"))
-        room = mixed.join(g, mixed["source"].eqNullSafe(F.col("_s"))).withColumn("dir", F.signum("gap").cast("int"))
-        if changes:
-            room = room.filter(~F.col("row").isin(list(changes)))
+    gaps = mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    gaps = work.keep(gaps, "gaps-0")
+    changes: DataFrame | None = None
+    for i in range(1, REPAIRS + 1):
+        g = gaps.filter(F.abs("gap") >= 1).select(F.col("source").alias("_s"), "gap")
+        room = mixed if changes is None else mixed.join(changes.select("row"), "row", "left_anti")
+        room = room.join(F.broadcast(g) if _few(g) else g, room["source"].eqNullSafe(F.col("_s"))).withColumn("dir", F.signum("gap").cast("int"))
         free = (F.col("size") > 0) & (F.col("copies") + F.col("dir")).between(0, MOST_COPIES)
         left = F.abs(F.col("gap") - F.col("dir") * F.col("size"))
         best = room.filter(free & (left < F.abs("gap"))).groupBy("source").agg(
             F.min(F.struct(left.alias("left"), F.col("key").alias("key"), F.col("row").alias("row"), F.col("dir").alias("dir"), F.col("size").alias("size"))).alias("b")
-        ).collect()
-        if not best:
+        )
+        best = work.keep(best.select(F.col("source").alias("_s"), "b.row", F.col("b.dir").alias("change"), "b.size"), f"best-{i}")
+        if best.isEmpty():
             break
-        for s, b in best:
-            changes[b["row"]] = b["dir"]
-            gaps[s] -= b["dir"] * b["size"]
-    if not changes:
-        return None
-    return spark.createDataFrame(list(changes.items()), "row long, change int")
+        made = best.select("row", "change")
+        changes = made if changes is None else changes.unionByName(made)
+        moved = gaps.join(best, gaps["source"].eqNullSafe(F.col("_s")), "left")
+        gaps = work.keep(moved.select("source", (F.col("gap") - F.coalesce(F.col("change") * F.col("size"), F.lit(0))).alias("gap")), f"gaps-{i}")
+    return changes
 
 
 def repeat(docs: DataFrame, work: Workspace, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
