@@ -69,6 +69,22 @@ def test_encoding_equals_the_library():
     assert enc.encode(long).tolist() == lib.encode(long)
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    lib, enc = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Encoder(pieces.PieceModel.load(PATH))
+    rng = random.Random(4)
+    for letters in ("ab", "acgt", "=-", "etaoinshrdlu"):  # seconds each
+        long = "".join(rng.choices(letters, k=1_000_000))
+        assert enc.encode(long).tolist() == lib.encode(long)
+    for long in ("a" * 200_000, "ab" * 100_000, "the" * 100_000):
+        assert enc.encode(long).tolist() == lib.encode(long)
+    monkeypatch.setattr(pieces, "LONG_WORD", 1)  # short words too go through rounds by window
+    for letters in ("ab", "acgt", "=-", "a", "etaoin", "0123456789", "éèàaei", "ab c"):
+        for n in (1, 2, 7, 40, 300):
+            for _ in range(12):
+                t = "".join(rng.choices(letters, k=n))
+                assert enc.encode(t).tolist() == lib.encode(t)
+
+
 def test_columns(spark):
     rows = [(1, "Hello  world\n", 5), (1, "Hello  world\n", 5), (2, None, 5), (3, "", 5), (None, "größe " * 3000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 MARK = "▁"  # fixed value: how a space is written inside pieces
 _OTHER = 1 << 21  # symbols from here on are single characters outside the vocabulary
 _NONE = np.int64(1 << 40)
-CACHE = 400_000
-FLUSH = 8192
-GROUP = 2_000_000
+CACHE_BYTES = 24 << 20  # what the ids of words already met may take in a task
+FLUSH, FLUSH_CHARS = 8192, 400_000  # words, and characters, that go through the rounds together
+GROUP = 1_000_000
+LONG_WORD = 256
 
 
 class PieceModel:
@@ -41,13 +42,18 @@ class PieceModel:
         self.ranks = np.array([x[1] for x in pairs] + [_NONE], np.int64)
         self.merged = np.array([x[2] for x in pairs] + [-1], np.int64)
         # Merging all leftmost pairs of a rank at once is what merging one by one gives unless a new symbol can take
-        # part in a pair of a better or equal rank, or two pieces share the rank: of those, one merge per round.
-        counted = np.bincount([rank[p] for p in ids if len(p) > 1], minlength=len(order) + 1)
-        self.single = counted > 1
-        for _, r, _, a, b in pairs:
-            for part in (a, b):
-                if len(part) > 1 and r <= rank[part]:
-                    self.single[rank[part]] = True
+        # part in a pair of a better or equal rank: ``before`` and ``after`` tell by how many characters what grows from
+        # a piece of a rank that way can reach beyond the piece. Both are 0 for most ranks.
+        self.before, self.after = np.zeros(len(order) + 1, np.int64), np.zeros(len(order) + 1, np.int64)
+        self.single = np.bincount([rank[p] for p in ids if len(p) > 1], minlength=len(order) + 1) > 1
+        for whole, r in rank.items():
+            for i in range(len(whole)):
+                for j in range(i + 2, len(whole) + 1):
+                    at = rank.get(whole[i:j])
+                    if at is not None and at >= r and j - i < len(whole):
+                        self.single[at] = True
+                        self.before[at], self.after[at] = max(self.before[at], i), max(self.after[at], len(whole) - j)
+        self.longest = max(map(len, ids), default=1)
         self.bigrams = np.unique(np.array([ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:])] or [-1], np.int64))
         self.by_code = np.full(0x110000, -1, np.int32)
         self.by_code[[ord(c) for c in self.symbol]] = list(self.symbol.values())
@@ -75,35 +81,51 @@ class PieceModel:
         return PieceModel(pieces, [p.get_score(i) for i in range(n)], normal, byte_ids, p.unk_id(), control)
 
     def merge(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as bytes of 32-bit integers, by rounds.
+        """The ids of each word as bytes of 32-bit integers, by rounds over flat arrays of all words' symbols.
 
-        All symbols of all words lie in one flat array. A round finds the rank of every neighbouring pair, the
-        smallest rank in each segment, merges the leftmost non-overlapping pairs of that rank in all segments at once,
-        and closes the gaps; segments without a pair that can merge leave. A segment is a word, cut also where two
-        characters stand together that no piece holds together.
+        A segment is a word, cut also where two characters stand together that no piece holds together. Short words
+        go through rounds by segment, long ones through rounds by window, so neither grows with a word's length.
         """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         sym = self.by_code[points].astype(np.int64)
         sym = np.where(sym >= 0, sym, _OTHER + points)
-        n = len(sym)
-        starts = np.zeros(n + 1, bool)
+        starts = np.zeros(len(sym) + 1, bool)
         starts[np.concatenate([[0], np.cumsum(lengths)])] = True
-        starts = starts[:n]
+        starts = starts[:len(sym)]
         both = points[:-1] << 21 | points[1:]
         hit = np.searchsorted(self.bigrams, both)
         hit[hit == len(self.bigrams)] = 0
         starts[1:] |= self.bigrams[hit] != both
+        rounds = self._by_window if len(words) and lengths.max() > LONG_WORD else self._by_segment
+        flat, where = rounds(sym, np.cumsum(starts) - 1)
+        odd = flat >= len(self.pieces)
+        if odd.any():
+            flat, where = self._spell(flat, where, odd)
+        cuts = (np.searchsorted(where, np.cumsum(lengths)) * 4).tolist()
+        data = flat.astype(np.int32).tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs and what they merge to."""
+        key = left << 22 | right
+        i = np.searchsorted(self.keys, key)
+        return np.where(self.keys[i] == key, self.ranks[i], _NONE), self.merged[i]
+
+    def _by_segment(self, sym: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols after all merges and the places where they begin.
+
+        A round finds the rank of every neighbouring pair and the smallest rank in each segment, merges the leftmost
+        non-overlapping pairs of that rank in all segments at once (only the first, where the new symbol could take
+        part in a better pair), and closes the gaps; segments without a pair that can merge leave.
+        """
+        n = len(sym)
         place = np.arange(n)  # where a symbol stood at first: sorts finished symbols back
-        segment = np.cumsum(starts) - 1
         rank, merged = np.full(n, _NONE), np.full(n, -1)  # of the pair of a symbol and the next one
         fresh = np.flatnonzero(segment[:-1] == segment[1:])
-        done_sym, done_place = [], []
+        done_sym, done_place = [sym[:0]], [place[:0]]
         while n:
-            key = sym[fresh] << 22 | sym[fresh + 1]
-            i = np.searchsorted(self.keys, key)
-            ok = self.keys[i] == key
-            rank[fresh], merged[fresh] = np.where(ok, self.ranks[i], _NONE), self.merged[i]
+            rank[fresh], merged[fresh] = self._look_up(sym[fresh], sym[fresh + 1])
             first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             least = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.append(first, n))
@@ -139,13 +161,86 @@ class PieceModel:
             fresh = np.flatnonzero(touched[:-1] & (segment[:-1] == segment[1:]))
         flat, where = np.concatenate(done_sym), np.concatenate(done_place)
         order = np.argsort(where, kind="stable")
-        flat, where = flat[order], where[order]
-        odd = flat >= len(self.pieces)
-        if odd.any():
-            flat, where = self._spell(flat, where, odd)
-        cuts = (np.searchsorted(where, np.cumsum(lengths)) * 4).tolist()
-        data = flat.astype(np.int32).tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return flat[order], where[order]
+
+    def _by_window(self, sym: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _by_segment, with the smallest rank taken in a window around each pair instead of the whole segment.
+
+        No piece is longer than ``longest``, so a pair whose rank is the smallest among those of the ``longest`` symbols
+        on either side can't be reached by what better pairs elsewhere grow to, and merges now, whatever happens there.
+        Pairs of equal rank wait for those to their left that overlap them or from which something of a better or
+        equal rank could grow as far as to them. Symbols far from any pair that can merge leave.
+        """
+        n, w = len(sym), self.longest
+        place, size = np.arange(n), np.ones(n, np.int64)
+        rank, merged = np.full(n, _NONE), np.full(n, -1)
+        fresh = np.flatnonzero(segment[:-1] == segment[1:])
+        done_sym, done_place = [], []
+        while True:
+            rank[fresh], merged[fresh] = self._look_up(sym[fresh], sym[fresh + 1])
+            pairs = np.flatnonzero(rank < _NONE)
+            if len(pairs) * 4 * w < n:
+                near = np.zeros(n + 1, np.int64)
+                np.add.at(near, np.maximum(pairs - w - 1, 0), 1)
+                np.add.at(near, np.minimum(pairs + w + 3, n), -1)
+                stay = np.cumsum(near[:-1]) > 0
+                done_sym.append(sym[~stay])
+                done_place.append(place[~stay])
+                apart = np.concatenate([[False], ~stay[:-1]]) | np.concatenate([[True], segment[1:] != segment[:-1]])
+                segment = np.cumsum(apart)[stay]
+                sym, place, size, rank, merged = sym[stay], place[stay], size[stay], rank[stay], merged[stay]
+                n, pairs = len(sym), np.flatnonzero(rank < _NONE)
+            if not len(pairs):
+                break
+            low = _sliding_least(rank, w)
+            order = np.argsort(rank[pairs].astype(np.uint16) if len(self.before) < 1 << 16 else rank[pairs], kind="stable")
+            at = pairs[order]
+            r, begin = rank[at], place[at]
+            end = begin + size[at] + size[at + 1]
+            same = np.concatenate([[False], r[1:] == r[:-1]])
+            overlaps = same & np.concatenate([[False], (at[1:] == at[:-1] + 1)])
+            linked = same & np.concatenate([[False], begin[1:] - end[:-1] < (self.before + self.after)[r[1:]]])
+            count = np.arange(len(at))
+            offset = count - np.maximum.accumulate(np.where(overlaps, 0, count))
+            first = offset % 2 == 0  # of pairs that overlap, every second one from the left merges
+            stop = first & (low[at] < r)
+            sensitive = np.flatnonzero(first & self.single[r])
+            if len(sensitive):
+                stop[sensitive] |= self._grows_on(sym, segment, merged, at, r, first, sensitive)
+            stops = np.cumsum(stop)
+            base = np.maximum.accumulate(np.where(linked | overlaps, 0, stops - stop))
+            run = np.sort(at[first & (low[at] == r) & (stops - stop == base)])
+            sym[run] = merged[run]
+            size[run] += size[run + 1]
+            new, stay = np.zeros(n, bool), np.ones(n, bool)
+            new[run], stay[run + 1] = True, False
+            sym, place, size, segment, rank, merged, new = (x[stay] for x in (sym, place, size, segment, rank, merged, new))
+            n = len(sym)
+            touched = new.copy()
+            touched[:-1] |= new[1:]
+            rank[touched] = _NONE
+            fresh = np.flatnonzero(touched[:-1] & (segment[:-1] == segment[1:]))
+        flat, where = np.concatenate([*done_sym, sym]), np.concatenate([*done_place, place])
+        order = np.argsort(where, kind="stable")
+        return flat[order], where[order]
+
+    def _grows_on(self, sym, segment, merged, at, r, first, some) -> np.ndarray:
+        """Whether the symbol that a pair merges to makes a pair of a better or equal rank with a neighbour, when all
+        pairs of its rank to its left have merged."""
+        p = at[some]
+        new, rank, n = merged[p], r[some], len(sym)
+        before = np.maximum(p - 1, 0)
+        left = sym[before]
+        known = np.flatnonzero(first)  # the last one of its rank that merges before
+        i = np.searchsorted(known, some) - 1
+        prior = known[np.maximum(i, 0)]
+        joined = (i >= 0) & (r[prior] == rank) & (at[prior] + 2 == p)
+        left = np.where(joined, merged[at[prior]], left)
+        got, _ = self._look_up(left, new)
+        grows = (p > 0) & (segment[before] == segment[p]) & (got <= rank)
+        after = np.minimum(p + 2, n - 1)
+        got, _ = self._look_up(new, sym[after])
+        return grows | ((p + 2 < n) & (segment[after] == segment[p]) & (got <= rank))
 
     def _spell(self, flat: np.ndarray, where: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their UTF-8 bytes' pieces, or the unknown id if there are none."""
@@ -162,11 +257,21 @@ class PieceModel:
         return np.array(out, np.int64), np.array(at, np.int64)
 
 
+def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of the values at most ``w`` places away, by doubling."""
+    n, width, m = len(x), 1, np.concatenate([np.full(w, _NONE), x, np.full(w, _NONE)])
+    while 2 * width <= 2 * w + 1:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    rest = 2 * w + 1 - width
+    return np.minimum(m[:n], m[rest:rest + n])
+
+
 class Encoder:
-    """Encodes texts of one task; ids of frequent words are kept, up to CACHE words."""
+    """Encodes texts of one task; ids of frequent words are kept, in CACHE_BYTES at most."""
 
     def __init__(self, model: PieceModel):
-        self.m, self.cache = model, {}
+        self.m, self.cache, self.held = model, {}, 0
         # A word is a run of spaces with what follows; no piece reaches from a word into the spaces of the next one.
         self.cut = re.compile(r"\n| *[^ \n]+| +" if model.newline_splits else r" *[^ ]+| +").findall
 
@@ -190,15 +295,21 @@ class Encoder:
 
     def _group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
         missing = {w for words in group for w in words if w not in self.cache}
-        if len(self.cache) + len(missing) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-            missing = {w for words in group for w in words}
+            self.held, missing = 0, {w for words in group for w in words}
         order = sorted(missing, key=len)  # words of like lengths end after like numbers of rounds
-        for i in range(0, len(order), FLUSH):
-            part = order[i:i + FLUSH]
-            self.cache.update(zip(part, self.m.merge([x.replace(" ", MARK) for x in part])))
+        new, i = {}, 0
+        while i < len(order):
+            j = i + max(1, min(FLUSH, FLUSH_CHARS // len(order[min(i + FLUSH, len(order)) - 1])))
+            part = order[i:j]
+            new.update(zip(part, self.m.merge([x.replace(" ", MARK) for x in part])))
+            i = j
+        self.cache.update((w, b) for w, b in new.items() if len(w) <= LONG_WORD)
+        self.held += sum(len(w) + len(b) + 200 for w, b in new.items() if len(w) <= LONG_WORD)
+        get = lambda w: self.cache[w] if len(w) <= LONG_WORD else new[w]
         for words in group:
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.int32)
+            yield np.frombuffer(b"".join(map(get, words)), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
