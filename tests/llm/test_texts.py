@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from variantlake.llm import neardup, suffix_tree
+from variantlake.llm.common import Workspace
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -103,16 +104,17 @@ def test_state_distributions_sum_to_one():
         assert abs(total - 1) < 1e-6, context
 
 
-def jaccard(a, b):
-    return sum((a & b).values()) / max(1, sum((a | b).values()))
-
-
 def shingles(t):
     w = t.lower().split()
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
+def weighted(a, b):
+    return sum(min(a.get(g, 0), b.get(g, 0)) for g in {*a, *b}) / max(1, sum(max(a.get(g, 0), b.get(g, 0)) for g in {*a, *b}))
+
+
 def test_near_duplicates(spark, work, monkeypatch):
+    monkeypatch.setattr(neardup, "CELLS", 1 << 20)
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(3000)]
     base = [[rng.choice(vocab) for _ in range(rng.randint(60, 400))] for _ in range(120)]
@@ -130,7 +132,9 @@ def test_near_duplicates(spark, work, monkeypatch):
     assert len(got) == len(rows)
     label = {r.doc_id: r.class_id for r in got}
     s = [shingles(t) for t in texts]
-    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(s[i], s[j]) >= 0.8]
+    df_of, different = Counter(g for t in set(texts) for g in shingles(t)), len(set(texts))
+    w = [{g: n * (1 + neardup.IDF * math.log(different / df_of[g])) for g, n in x.items()} for x in s]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or weighted(w[i], w[j]) >= 0.8]
     parent = list(range(len(texts)))
     for _ in range(5):
         for i, j in linked:
@@ -147,7 +151,8 @@ def test_near_duplicates(spark, work, monkeypatch):
     assert neardup.near_duplicate_classes(df.limit(0), work).collect() == []
 
 
-def test_edited_copies_of_a_text_that_a_third_of_all_documents_share(spark, work):
+def test_edited_copies_of_a_text_that_a_third_of_all_documents_share(spark, work, monkeypatch):
+    monkeypatch.setattr(neardup, "CELLS", 1 << 20)
     rng = random.Random(12)
     base = [f"v{i}" for i in range(200)]
     texts = [" ".join(base)] * 100
@@ -162,7 +167,37 @@ def test_edited_copies_of_a_text_that_a_third_of_all_documents_share(spark, work
     assert [label[i] for i in range(len(texts))] == [0] * 112 + list(range(112, len(texts)))
 
 
+def test_one_key_with_two_texts_in_any_order(spark, work, monkeypatch):
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, a + " one"), (3, b + " one"), (20, c), (None, c), (None, c + " one"), (None, "alone"), (None, "alone"), (30, a)]
+    want = {a: 5, a + " one": 5, b: 3, b + " one": 3, c: 20, c + " one": 20, "alone": None}
+    monkeypatch.setattr(neardup, "CELLS", 1 << 16)
+    for hot in (1000, 1):
+        monkeypatch.setattr("variantlake.llm.common.HOT_ROWS", hot)
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [(r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(df, Workspace(spark, "any")).collect()]
+        assert sorted(got, key=repr) == sorted(((i, want[t]) for i, t in rows), key=repr)
+        left = [(r.doc_id, r.text) for r in neardup.deduplicate(df, Workspace(spark, "any")).collect()]
+        assert sorted(left, key=repr) == sorted([(5, a), (3, b + " one"), (20, c), (None, "alone")], key=repr)
+
+
+def test_frequencies_are_those_of_counting(spark, work):
+    rng = random.Random(2)
+    texts = sorted({" ".join(rng.choices("abcdef", k=rng.randint(5, 60))) for _ in range(400)})
+    idf = neardup.fit_idf(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    df_of = Counter(g for t in texts for g in shingles(t))
+    sh, errors = neardup.Shingler(), []
+    for g, n in df_of.items():
+        _, w = idf.weigh(sh(" ".join(g).encode()))
+        errors.append(abs(w[0] - (1 + neardup.IDF * math.log(len(texts) / n))))
+    # A byte keeps steps of 1/8 in the logarithm; two shingles of one cell count together.
+    assert np.quantile(errors, 0.995) <= neardup.IDF / neardup.STEPS / 2 + 1e-4 and len({round(neardup.IDF * math.log(n), 2) for n in df_of.values()}) > 5
+
+
 def test_large_groups_in_blocks(spark, work, monkeypatch):
+    monkeypatch.setattr(neardup, "CELLS", 1 << 20)
     monkeypatch.setattr(neardup, "SMALL_GROUP", 4)
     monkeypatch.setattr(neardup, "CHUNK", 8)
     rng = random.Random(11)
@@ -175,7 +210,7 @@ def test_large_groups_in_blocks(spark, work, monkeypatch):
         texts.append(" ".join(b))
     df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
     label = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, work).collect()}
-    idf = neardup.fit_idf(df, "text", work)
+    idf = neardup.fit_idf(df)
     sh = neardup.Shingler()
     v = [idf.weigh(sh(t.encode())) for t in texts]
     near = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if neardup.weighted_jaccard(v[i], v[j]) >= 0.8}
@@ -202,7 +237,7 @@ def test_weighted_pairs():
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(4)
     agree = 0
-    sampler = neardup.Sampler(4.0)
+    sampler = neardup.Sampler()
     e = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
     w = np.where(rng.random(400) < 0.5, 4.0, 8.0)
     total = 0

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_ROWS, HOT_KEYS = 1000, 20_000  # a key is hot beyond HOT_ROWS rows and one in HOT_KEYS of all: HOT_KEYS at most
 SPACE = b" \t\n\x0b\x0c\r"  # fixed values: bytes.split() separates words at exactly these
 
 
@@ -52,3 +56,36 @@ def text_or_empty(column: str = "text") -> Column:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id written in decimal, modulo n: the fold rule of the held-out splits. Null ids count as empty."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def join_split(many: DataFrame, few: DataFrame, key: str, by: str, work: Workspace, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` (one row per key) by an equi-join in which no key's rows meet in one task.
+
+    The rows of hot keys are dealt by a hash of ``by`` over as many parts as they fill, and the other side's row is
+    repeated for each part. Hot keys are counted first; by their definition there are HOT_KEYS at most, so their table
+    is broadcast. Null keys find nothing.
+    """
+    sizes = work.keep(many.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS), f"sizes-{uuid.uuid4().hex}")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(sizes.filter(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def slices(array: pa.Array, rows: int = 256):
+    """The values of an Arrow array as Python objects, turned a few rows at a time."""
+    for start in range(0, len(array), rows):
+        yield from array.slice(start, rows).to_pylist()
+
+
+def give_back() -> None:
+    """Hands memory that a task used and freed back to the system: Python workers live on and are shared by stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only some C libraries have it
+        pass

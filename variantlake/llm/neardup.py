@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +13,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, give_back, join_split, slices
 from .components import connected_components, local_components
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-COMMON = 1 / 3  # share of documents from which on a shingle's document frequency lowers its weight
-SKETCH = 1 << 17
-SKETCH_PARTS, SKETCH_SALTS = 64, 1024
+IDF = 0.1  # what the logarithm of (texts / document frequency) adds to a shingle's weight of 1
+CELLS, CELL_PARTS, CELL_SALTS = 1 << 24, 256, 1024
+STEPS = 8  # document frequencies are kept as whole steps of 1/STEPS in the logarithm
 TABLE = 1 << 16
-CACHE = 400_000
+CACHE = 200_000
 SMALL_GROUP = 48  # members up to which the pairs left open in a group are compared one by one
 CHUNK = 128
-BROADCAST_ROWS = 500_000  # ids, about 35 bytes each when broadcast: larger tables of ids are joined by shuffle
+BROADCAST_ROWS = 250_000  # digests, about 60 bytes each when broadcast: larger tables of them are joined by shuffle
 
 _rng = np.random.default_rng(20240607)
 _WEIGHTS = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PICKS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = _rng.gamma(2, 1, TABLE).astype(np.float32)
 _LOG_C = np.log(_rng.gamma(2, 1, TABLE)).astype(np.float32)
-_BETA = _rng.random(TABLE).astype(np.float32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,65 +70,62 @@ class Shingler:
 
 
 class Idf:
-    """Shingle weights from exact document frequencies: 1 + ln(N / df), where a df below COMMON * N counts as that.
+    """Shingle weights: term frequency times 1 + IDF * ln(texts / df), df being the number of different texts with it.
 
-    The floor keeps the shingles of a group of copies as heavy as others until the group is COMMON of the corpus.
-
-    Only shingles above the floor are listed, at most (shingles per document) / COMMON of them.
+    The logarithm is taken at IDF strength, so that shingles that only one text has don't outweigh those that a large
+    group of near copies shares. Frequencies come from a sketch: each shingle adds to the cell of its hash, once per
+    text, and what other shingles add to a cell on average is taken off. So a frequency is off by the spread of that, a
+    few at 1e8 shingles and never more than about 1 / CELLS of all shingles; equal shingles always weigh the same.
     """
 
-    def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        floor = max(1.0, COMMON * n_docs)
-        self.rare = float(1 + np.log(n_docs / floor)) if n_docs else 1.0
-        self.common = 1 + np.log(n_docs / np.maximum(df[order], floor))
+    def __init__(self, texts: int, steps: np.ndarray):
+        self.steps = steps  # by cell: ln(df) * STEPS, as a byte
+        top = np.log(max(texts, 1))
+        self.weight = (1 + IDF * np.maximum(top - np.arange(256) / STEPS, 0)).astype(np.float32)
+
+    @staticmethod
+    def from_counts(texts: int, counts: np.ndarray) -> Idf:
+        return Idf(texts, _steps(counts, counts.sum() / len(counts)))
 
     def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different shingles, sorted, with term frequency times idf."""
         e, tf = np.unique(shingles, return_counts=True)
-        w = tf * self.rare
-        if len(self.hashes):
-            i = np.minimum(np.searchsorted(self.hashes, e), len(self.hashes) - 1)
-            hit = self.hashes[i] == e
-            w[hit] = tf[hit] * self.common[i[hit]]
-        return e, w
+        return e, tf * self.weight[self.steps[_cell(e, len(self.steps))]]
+
+
+def _cell(e: np.ndarray, cells: int) -> np.ndarray:
+    return (e & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _steps(counts: np.ndarray, others: float) -> np.ndarray:
+    return np.minimum(np.round(np.log(np.maximum(counts - others, 1)) * STEPS), 255).astype(np.uint8)
 
 
 class Sampler:
-    """Improved consistent weighted sampling. The random variables of (shingle, sample) come from tables by hash.
+    """Improved consistent weighted sampling.
 
     Sample k of a text is the shingle with the smallest a = c / (y e^r), y = e^(r (t - b)), t = floor(ln w / r + b);
-    two texts share a sample with a probability equal to their weighted Jaccard similarity. For the most frequent
-    weight, that of a rare shingle occurring once, a and t are tabulated too.
+    two texts share a sample with a probability equal to their weighted Jaccard similarity. Each (shingle, sample) has
+    r, c and b of its own: 16 bits each of one hash, r and c by tables of values of their distribution.
     """
 
-    def __init__(self, rare: float):
-        self.rare = rare
-        self.t0 = np.floor(np.float32(np.log(rare)) / _R + _BETA)
-        self.a0 = _LOG_C - _R * (self.t0 - _BETA + 1)
-
     def bands(self, e: np.ndarray, w: np.ndarray) -> np.ndarray:
         best = np.full(SAMPLES, np.inf, np.float32)
         pick, t_of = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
-        usual = w == self.rare
-        k = np.arange(SAMPLES)
-        for part, plain in ((e[usual], True), (e[~usual], False)):
-            logs = None if plain else np.log(w[~usual]).astype(np.float32)
-            for s in range(0, len(part), 2048):
-                x = part[s:s + 2048]
-                i = (x[:, None] * _PICKS >> np.uint64(48)).astype(np.int64)
-                if plain:
-                    a = self.a0[i]
-                else:
-                    t = np.floor(logs[s:s + 2048, None] / _R[i] + _BETA[i])
-                    a = _LOG_C[i] - _R[i] * (t - _BETA[i] + 1)
-                at = a.argmin(0)
-                low = a[at, k]
-                better = low < best
-                best = np.where(better, low, best)
-                pick = np.where(better, x[at], pick)
-                t_of = np.where(better, self.t0[i[at, k]] if plain else t[at, k], t_of)
+        k, logs = np.arange(SAMPLES), np.log(w).astype(np.float32)
+        for s in range(0, len(e), 512):
+            x = e[s:s + 512]
+            bits = (x[:, None] * _PICKS).view(np.uint16).reshape(len(x), SAMPLES, 4)
+            r = _R[bits[:, :, 3]]
+            b = bits[:, :, 1] * np.float32(1 / TABLE)
+            t = np.floor(logs[s:s + 512, None] / r + b)
+            a = _LOG_C[bits[:, :, 2]] - r * (t - b + 1)
+            at = a.argmin(0)
+            low = a[at, k]
+            better = low < best
+            best = np.where(better, low, best)
+            pick = np.where(better, x[at], pick)
+            t_of = np.where(better, t[at, k], t_of)
         s = _mix(pick + t_of.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
         h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
         for r in range(ROWS):
@@ -137,71 +134,62 @@ class Sampler:
 
 
 def _texts(b: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
-    c = b.column(column).cast(pa.binary())
-    for start in range(0, len(b), 500):
-        yield from c.slice(start, 500).to_pylist()
+    return slices(b.column(column).cast(pa.binary()))
 
 
-def fit_idf(docs: DataFrame, text: str, work: Workspace) -> Idf:
-    """Exact document frequencies of all shingles in COMMON of all documents or more, from two passes.
+def fit_idf(texts: DataFrame, text: str = "text") -> Idf:
+    """Document frequencies over ``texts``, which should all be different, from one pass.
 
-    The first adds up counts of hash cells in a sketch of fixed size (a cell never counts less than any of its
-    shingles), tasks' sketches being summed in two levels. The second counts the shingles of heavy cells exactly.
+    Tasks add to CELLS counters each; the counters are summed in Spark by parts, first within salted groups of tasks,
+    and the driver gets one byte for each cell.
     """
-    n_docs = docs.count()
-    least = COMMON * n_docs
-    texts = docs.select(F.col(text).alias("text"))
+    n_texts, n_cells, n_parts = texts.count(), CELLS, CELL_PARTS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, cells = Shingler(), np.zeros(SKETCH, np.int64)
+        shingle, cells, held, size = Shingler(), np.zeros(n_cells, np.uint32), [], 0
+
+        def add():
+            np.add.at(cells, np.concatenate(held), np.uint32(1))
+            held.clear()
+
         for b in batches:
             for t in _texts(b, "text"):
-                np.add.at(cells, (np.unique(shingle(t)) % np.uint64(SKETCH)).astype(np.int64), 1)
-        parts = cells.reshape(SKETCH_PARTS, -1)
-        salt = TaskContext.get().partitionId() % SKETCH_SALTS
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([salt] * SKETCH_PARTS, pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())],
-            names=["part", "salt", "cells"],
-        )
+                held.append(_cell(np.unique(shingle(t)), n_cells))
+                size += len(held[-1])
+                if size > 500_000:
+                    add()
+                    size = 0
+        if held:
+            add()
+        salt = TaskContext.get().partitionId() % CELL_SALTS
+        for i, part in enumerate(cells.reshape(n_parts, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["part", "salt", "cells"])
+        del cells
+        give_back()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH // SKETCH_PARTS, np.int64)
-        for c in group["cells"]:
-            x = np.frombuffer(c, np.int32 if len(c) == 4 * len(total) else np.int64)
-            total += x
-        return pd.DataFrame({"part": group["part"].iloc[:1], "salt": group["salt"].iloc[:1], "cells": [total.tobytes()]})
+        total = sum((_unpack(c) for c in group["cells"]), np.zeros(n_cells // n_parts, np.uint64))
+        return pd.DataFrame({"part": group["part"].iloc[:1], "salt": group["salt"].iloc[:1], "cells": [_pack(total)]})
 
     spec = "part int, salt int, cells binary"
-    summed = texts.mapInArrow(sketch, spec).groupBy("part", "salt").applyInPandas(add, spec).groupBy("part").applyInPandas(add, spec)
-    cells = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
-    for r in summed.collect():  # SKETCH_PARTS rows of fixed size
-        cells[r["part"]] = np.frombuffer(r["cells"], np.int64)
-    heavy = docs.sparkSession.sparkContext.broadcast(cells.ravel() >= max(least, 2))
+    summed = texts.select(F.col(text).alias("text")).mapInArrow(sketch, spec).groupBy("part", "salt").applyInPandas(add, spec)
+    counts, total = np.zeros((n_parts, n_cells // n_parts), np.float32), 0
+    for r in summed.groupBy("part").applyInPandas(add, spec).toLocalIterator():  # CELL_PARTS rows of fixed size
+        row = _unpack(r["cells"])
+        counts[r["part"]] = row
+        total += int(row.sum())
+    return Idf(n_texts, _steps(counts.ravel(), total / n_cells))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, held, size = Shingler(), [], 0
 
-        def out():
-            e, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+def _pack(counts: np.ndarray) -> bytes:
+    """Counters compressed in the smallest unsigned type that holds them; the first byte is its width."""
+    kind = np.min_scalar_type(int(counts.max()))
+    return bytes([kind.itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
 
-        for b in batches:
-            for t in _texts(b, "text"):
-                e = np.unique(shingle(t))
-                e = e[heavy.value[(e % np.uint64(SKETCH)).astype(np.int64)]]
-                if len(e):
-                    held.append(e)
-                    size += len(e)
-                if size > 2_000_000:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
 
-    exact = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(least, 2))
-    rows = exact.collect()
-    return Idf(n_docs, np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], float))
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.uint64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -218,46 +206,64 @@ def near_duplicate_classes(docs: DataFrame, work: Workspace, key: str = "doc_id"
     Classes are the connected components of links; two documents link when their texts are equal or the weighted
     Jaccard similarity of their TF-IDF shingles is at least SIMILAR. Null text counts as empty; texts without words
     link only with texts that are equal. A null key can't be a class id unless its whole class has null keys. Repeated
-    rows fall in one class. An empty table gives no rows; extra columns are ignored.
+    rows fall in one class. Keys need not be unique: each row's class is that of its own text, so rows that share a key
+    can be in different classes. An empty table gives no rows; extra columns are ignored.
 
-    Equal texts are one member (by digest) and are never expanded. Members that share a band are candidates: in each
-    band's group all meet the group's centre. Where a group still holds several classes then, members of different
-    classes meet too, in small groups one by one, in large ones in blocks of bounded size, so no link between different
-    texts is lost to the shortcut, and no group's pairs are ever written out.
+    Texts are known by their digests throughout; equal texts are one member and are never expanded. Members that share
+    a band are candidates: in each band's group all meet the group's centre. Where a group still holds several classes
+    then, members of different classes meet too, in small groups one by one, in large ones in blocks of bounded size,
+    so no link between different texts is lost to the shortcut, and no group's pairs are ever written out.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(fit_idf(base, "text", work))
+    classes = _digest_classes(base, work)
+    keyed = base.select("key", F.unhex(F.md5("text")).alias("digest"))
+    return join_split(keyed, classes.select("digest", "class_id"), "digest", "key", work).select(F.col("key").alias(key), "class_id")
+
+
+def _digest_classes(base: DataFrame, work: Workspace) -> DataFrame:
+    """(digest, rep, class, class_id) of each different text of ``base``: its smallest key, the digest and the smallest
+    key of its class."""
+    spark = base.sparkSession
+    digest = F.unhex(F.md5("text")).alias("digest")
+    unique = work.keep(base.select("key", digest, "text").groupBy("digest").agg(F.min("key").alias("rep"), F.first("text").alias("text")), "unique")
+    idf = spark.sparkContext.broadcast(fit_idf(unique))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sampler = Shingler(), Sampler(idf.value.rare)
+        shingle, sampler = Shingler(), Sampler()
         for b in batches:
             rows = []
             for t in _texts(b, "text"):
                 e, w = idf.value.weigh(shingle(t))
                 rows.append(sampler.bands(e, w) if len(e) else None)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array(rows, pa.list_(pa.int64()))], names=["key", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(rows, pa.list_(pa.int64()))], names=["digest", "bands"])
+        shingle.hash.clear()
+        give_back()
 
-    signed = work.keep(base.select("key", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(sign, "key long, digest binary, bands array<long>"), "signed")
-    members = work.keep(signed.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "members")
-    entries = members.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
+    signed = work.keep(unique.select("digest", "text").mapInArrow(sign, "digest binary, bands array<long>"), "signed")
+    entries = signed.select("digest", F.explode("bands").alias("band"))
     sizes = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    entries = work.keep(entries.join(sizes, "band"), "entries")
-    links = _verified_links(base, entries, idf, work)
-    comps = connected_components(links, work) if links is not None else None
-    work.drop("entries", "ids", "texts", "pairs-0", "checked-0", "pairs-1", "checked-1", "open", "chunked", "meetings", "blocks")
-    reps = members.select("digest", "rep")
-    if comps is not None:
-        reps = reps.join(comps, reps["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
-    return signed.select("key", "digest").join(reps, "digest").select(F.col("key").alias(key), F.col("rep").alias("class_id"))
-
-
-def _verified_links(base: DataFrame, entries: DataFrame, idf, work: Workspace) -> DataFrame | None:
+    entries = work.keep(join_split(entries, sizes, "band", "digest", work), "entries")
+    links = _verified_links(unique, entries, idf, work)
+    reps = unique.select("digest", "rep")
+    if links is None:
+        out = reps.select("digest", "rep", F.col("digest").alias("class"), F.col("rep").alias("class_id"))
+    else:
+        comps = connected_components(links, work).withColumnRenamed("node", "digest")
+        named = reps.join(comps, "digest", "left").withColumn("class", F.coalesce("component", "digest")).drop("component")
+        low = named.join(comps.select("digest"), "digest", "left_semi").groupBy("class").agg(F.min("rep").alias("low"))
+        out = join_split(named, low, "class", "digest", work, "left").select("digest", "rep", "class", F.coalesce("low", "rep").alias("class_id"))
+    out = work.keep(out, "classes")
+    idf.destroy()
+    work.drop("unique", "signed", "entries", "ids", "texts", "pairs-0", "checked-0", "pairs-1", "checked-1", "open", "chunked", "meetings", "blocks")
+    return out
+
+
+def _verified_links(unique: DataFrame, entries: DataFrame, idf, work: Workspace) -> DataFrame | None:
     """(a, b) of members with similarity of SIMILAR or more that share a band: a set of links with the same components
     as all of them."""
-    ids = work.keep(entries.select(F.col("rep").alias("key")).distinct(), "ids")
+    ids = work.keep(entries.select("digest").distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = work.keep(base.join(few, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    texts = work.keep(unique.select("digest", "text").join(few, "digest", "left_semi"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, left = Shingler(), None, None
@@ -268,33 +274,36 @@ def _verified_links(base: DataFrame, entries: DataFrame, idf, work: Workspace) -
                     last, left = a, idf.value.weigh(shingle(x))
                 hit.append(weighted_jaccard(left, idf.value.weigh(shingle(y))) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
+        shingle.hash.clear()
+        give_back()
 
     def checked(pairs: DataFrame, n: int) -> DataFrame:
         pairs = work.keep(pairs.distinct(), f"pairs-{n}")
-        met = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        return work.keep(met.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, linked boolean"), f"checked-{n}")
+        met = join_split(pairs, texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b", "a", work)
+        met = join_split(met, texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a", "b", work)
+        return work.keep(met.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary, linked boolean"), f"checked-{n}")
 
     # Every member of a group meets its centre: the member whose groups are largest, which is the text that the others
     # were made from more often than not.
-    weight = entries.groupBy("rep").agg(F.sum("n").alias("weight"))
-    weighed = entries.join(weight, "rep")
-    centre = weighed.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("a"))).alias("c")).select("band", "c.a")
-    meets = entries.join(centre, "band").filter("rep <> a")
-    first = checked(meets.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), 0)
+    weight = entries.groupBy("digest").agg(F.sum("n").alias("weight"))
+    centre = entries.join(weight, "digest").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("digest").alias("centre"))).alias("c")).select("band", "c.centre")
+    meets = join_split(entries.select("band", "digest"), centre, "band", "digest", work).filter("digest <> centre")
+    first = checked(meets.select(F.col("centre").alias("a"), F.col("digest").alias("b")), 0)
     if first.isEmpty():
         return None
     links = first.filter("linked").select("a", "b")
     comps = connected_components(links, work, name="cc-first")
-    labelled = entries.filter("n > 2").join(comps, F.col("rep") == F.col("node"), "left").select("band", "n", "rep", F.coalesce("component", "rep").alias("class"))
+    labelled = entries.filter("n > 2").join(comps, F.col("digest") == F.col("node"), "left").select("band", "n", "digest", F.coalesce("component", "digest").alias("class"))
     # Groups of one class, or of two members, which have met, are settled.
     still = labelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
-    label = work.keep(labelled.join(still, "band"), "open")
+    label = work.keep(join_split(labelled, still, "band", "digest", work), "open")
     if label.isEmpty():
         return links
     small = label.filter(F.col("n") <= SMALL_GROUP)
-    x, y = small.select("band", F.col("rep").alias("a"), F.col("class").alias("class_a")), small.select("band", F.col("rep").alias("b"), F.col("class").alias("class_b"))
-    pairs = x.join(y, "band").filter("a < b and class_a <> class_b").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(checked(pairs, 1).filter("linked").select("a", "b"))
+    x, y = small.select("band", F.col("digest").alias("a"), F.col("class").alias("class_a")), small.select("band", F.col("digest").alias("b"), F.col("class").alias("class_b"))
+    pairs = x.join(y, "band").filter("a < b and class_a <> class_b").select("a", "b")
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = links.unionByName(checked(pairs.join(met, ["a", "b"], "left_anti"), 1).filter("linked").select("a", "b"))
     large = label.filter(F.col("n") > SMALL_GROUP)
     return links if large.isEmpty() else links.unionByName(_links_in_blocks(large, texts, idf, work))
 
@@ -306,34 +315,30 @@ def _links_in_blocks(label: DataFrame, texts: DataFrame, idf, work: Workspace) -
     are mixed. A meeting multiplies two small matrices of shingles and returns its local components, not its pairs.
     """
     sizes = label.groupBy("band", "class").agg(F.count("*").alias("m"))
-    own = label.join(sizes, ["band", "class"]).withColumn("cls", F.when(F.col("m") >= CHUNK, F.col("class")).otherwise(-1))
+    own = label.join(sizes, ["band", "class"]).withColumn("cls", F.when(F.col("m") >= CHUNK, F.col("class")).otherwise(F.lit(b"")))
     totals = own.groupBy("band", "cls").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
-    chunked = own.join(totals, ["band", "cls"]).select("band", "rep", "cls", F.pmod(F.xxhash64("rep"), F.col("k")).alias("chunk"))
+    chunked = own.join(totals, ["band", "cls"]).select("band", "digest", "cls", F.pmod(F.xxhash64("digest"), F.col("k")).alias("chunk"))
     chunked = work.keep(chunked, "chunked")
     side = lambda s: totals.select("band", F.col("cls").alias(f"cls_{s}"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias(f"chunk_{s}"))
-    order = (F.col("cls_a") < F.col("cls_b")) | ((F.col("cls_a") == -1) & (F.col("cls_b") == -1) & (F.col("chunk_a") <= F.col("chunk_b")))
+    order = (F.col("cls_a") < F.col("cls_b")) | ((F.col("cls_a") == b"") & (F.col("cls_b") == b"") & (F.col("chunk_a") <= F.col("chunk_b")))
     meetings = work.keep(side("a").join(side("b"), "band").filter(order), "meetings")
     group = ["band", "cls_a", "chunk_a", "cls_b", "chunk_b"]
 
-    def members(s: str, number: int) -> DataFrame:
+    def members(s: str) -> DataFrame:
         named = chunked.withColumnsRenamed({"cls": f"cls_{s}", "chunk": f"chunk_{s}"})
-        met = meetings.join(named, ["band", f"cls_{s}", f"chunk_{s}"]).withColumn("side", F.lit(number))
-        return met.join(texts, F.col("rep") == F.col("key")).select(*group, "side", "rep", "text")
+        met = meetings.join(named, ["band", f"cls_{s}", f"chunk_{s}"])
+        return met.join(texts, "digest").select(*group, "digest", "text")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         shingle = Shingler()
-        one = g.drop_duplicates("rep").reset_index(drop=True)
-        vectors = [idf.value.weigh(shingle(t.encode())) for t in one["text"]]
-        i, j = similar_pairs(vectors)
-        keys = one["rep"].to_numpy()
-        root = local_components(i, j, len(keys))
-        # The smallest key stands for a local component.
-        low = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(low, root, keys)
-        linked = np.flatnonzero(low[root] != keys)
-        return pd.DataFrame({"a": low[root[linked]], "b": keys[linked]})
-
-    met = members("a", 0).unionByName(members("b", 1)).groupBy(*group).applyInPandas(compare, "a long, b long")
+        one = g.drop_duplicates("digest").sort_values("digest").reset_index(drop=True)
+        i, j = similar_pairs([idf.value.weigh(shingle(t.encode())) for t in one["text"]])
+        keys = one["digest"].to_numpy()
+        root = local_components(i, j, len(keys))  # the smallest digest stands for a local component
+        linked = np.flatnonzero(root != np.arange(len(keys)))
+        return pd.DataFrame({"a": keys[root[linked]], "b": keys[linked]})
+
+    met = members("a").unionByName(members("b")).groupBy(*group).applyInPandas(compare, "a binary, b binary")
     return work.keep(met.distinct(), "blocks")
 
 
@@ -380,16 +385,20 @@ def similar_pairs(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndar
 def deduplicate(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that with the smallest key. See near_duplicate_classes.
 
-    Rows with a null key stay, as do all other columns; of rows that repeat a kept key, one stays.
+    Nulls come last, so a document with a null key stays only if its whole class has none. If two texts of a class
+    share the smallest key, that with the smaller digest stays; of rows equal in key and text, one. Other columns stay.
     """
-    classes = work.keep(near_duplicate_classes(docs, work, key, text), "classes")
-    gone = work.keep(classes.filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    base = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    classes = _digest_classes(base, work)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("digest").alias("digest"))).alias("one")
+    kept = classes.groupBy("class").agg(first).select(F.col("one.digest").alias("digest"), F.col("one.rep").alias("rep"), F.lit(True).alias("stays"))
+    # What goes: rows whose digest isn't its class's, or whose key isn't the class's smallest.
+    rows = work.keep(base.select("key", F.unhex(F.md5("text")).alias("digest")).groupBy("digest", "key").agg(F.count("*").alias("n")), "rows")
+    told = join_split(rows, kept, "digest", "key", work, "left").withColumn("stays", F.coalesce("stays", F.lit(False)) & F.col("key").eqNullSafe(F.col("rep")))
+    gone = work.keep(told.filter("not stays or n > 1").select(F.col("digest").alias("_digest"), F.col("key").alias("_key"), F.col("stays").alias("_stays")), "gone")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(small, F.col(key).cast("long") == F.col("_gone"), "left_anti")
-    twice = work.keep(classes.filter(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_twice")).count().filter("count > 1").select("_twice"), "twice")
-    n = twice.count()
-    if not n:
-        return kept
-    again = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    once = kept.join(again, F.col(key).cast("long") == F.col("_twice"), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key).cast("long") == F.col("_twice"), "left_anti").unionByName(once)
+    named = docs.withColumn("_is", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    at = (F.col("_is") == F.col("_digest")) & F.col(key).cast("long").eqNullSafe(F.col("_key"))
+    found = named.join(small, at, "left")
+    once = named.join(F.broadcast(gone.filter("_stays")) if gone.filter("_stays").count() <= BROADCAST_ROWS else gone.filter("_stays"), at, "left_semi").dropDuplicates(["_is", key])
+    return found.filter(F.col("_digest").isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))
