@@ -73,7 +73,7 @@ def test_suffix_tree_equals_counting_by_hand(spark, work, monkeypatch):
             below = {x: prob(c, x, depth - 1) for x in kept}
             p = {x: (m + s * below[x]) / (sum(nexts.values()) + s) for x, m in kept.items()}
             rest, rest_below = 1 - sum(p.values()), 1 - sum(below.values())
-            if sum(p[x] * math.log(p[x] / below[x]) for x in p) + rest * math.log(rest / rest_below) >= suffix_tree.DIVERGE:
+            if sum(nexts.values()) * (sum(p[x] * math.log(p[x] / below[x]) for x in p) + rest * math.log(rest / rest_below)) >= suffix_tree.DIVERGE:
                 new[c] = (p, rest / rest_below)
         states.update(new)
         if depth >= 2 and not new:

@@ -49,6 +49,13 @@ class Workspace:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+    def clean(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does when the driver's collector has found that
+        nothing refers to their plans any more, which in a long job can come late."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod
+from .common import Workspace, crc_mod, give_back, join_split, slices
 
 FOLD, HELD_OUT = 7, 2
 FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a table in the task: 1e6 words at most
@@ -20,10 +20,10 @@ TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 WHOLE_DEPTH = 2  # up to this depth every context is tested, beyond it those whose suffix is a state
-DIVERGE = 0.02  # nats by which a state's next-symbol distribution must differ from that of its suffix
+DIVERGE = 1.0  # nats by which a state must tell its own occurrences better than its suffix does: count times divergence
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
 FLUSH = 750_000
-CACHE = 400_000
+CACHE = 200_000
 FILTER = 1 << 27  # bits at most of a filter of hashes, which only saves rows
 END = b""  # the token after the last word; no word is empty
 BEGIN = b" "  # before the first word; no word has a space
@@ -36,7 +36,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
     for b in batches:
-        yield from b.column(0).cast(pa.binary()).to_pylist()
+        yield from slices(b.column(0).cast(pa.binary()))
 
 
 def _table(columns: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -59,9 +59,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for t in _texts(batches):
             c.update(tokens(t))
-            if len(c) > 2 * FLUSH // 3:
+            if len(c) > FLUSH // 3:
                 yield from out()
         yield from out()
+        give_back()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -150,7 +151,7 @@ class Tree:
             below = 10 ** self._suffix(history, x)
             p = (n + SMOOTH * below) / (totals[c] + SMOOTH)
             rest, rest_below = max(1 - p.sum(), 1e-9), max(1 - below.sum(), 1e-9)
-            if (p * np.log(p / below)).sum() + rest * np.log(rest / rest_below) < DIVERGE:
+            if totals[c] * ((p * np.log(p / below)).sum() + rest * np.log(rest / rest_below)) < DIVERGE:
                 continue
             keys.append(c)
             backoff.append(np.log10(rest / rest_below))
@@ -234,8 +235,9 @@ def _passes(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def _count_level(texts: DataFrame, open_contexts, nexts, depth: int) -> DataFrame:
     """(c, s, n): how often the words s (hashed without the first word of the context) stand where context c is before
-    the last of them; s is 0 for all next words that ``nexts`` rules out. Contexts of ``depth`` words, as long as
-    ``open_contexts`` lets pass the context (up to WHOLE_DEPTH) or its suffix."""
+    the last of them. Contexts of ``depth`` words, as long as ``open_contexts`` lets pass the context (up to WHOLE_DEPTH)
+    or its suffix. Next words that ``nexts`` rules out are left out up to WHOLE_DEPTH, where the count of the context
+    is known, and counted together as s = 0 beyond."""
     spec = [("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +259,16 @@ def _count_level(texts: DataFrame, open_contexts, nexts, depth: int) -> DataFram
                 at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0))
                 at = at[_passes(open_contexts.value, (g if depth <= WHOLE_DEPTH else shorter)[at])]
                 s = g[at + 1]
-                held.append((g[at], np.where(_passes(nexts.value, s), s, np.uint64(0))))
-                size += len(at)
+                wanted = _passes(nexts.value, s)
+                held.append((g[at[wanted]], s[wanted]) if depth <= WHOLE_DEPTH else (g[at], np.where(wanted, s, np.uint64(0))))
+                size += len(held[-1][0])
                 if size > FLUSH:
                     yield out()
                     size = 0
         if held:
             yield out()
+        hashes.clear()
+        give_back()
 
     return texts.mapInArrow(count, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
 
@@ -272,8 +277,9 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     """Fits on all ``texts`` (one text column) given their word counts: frequent words, and (g, v, n) of all n-grams.
 
     A context of MIN_CONTEXT occurrences can become a state, a next word is kept from MIN_NEXT on; both are counts, so
-    the tree grows with the corpus. A context becomes a state if its next-word distribution diverges by DIVERGE from
-    that of the longest shorter state; the distribution is smoothed with it, and words not kept share the rest in
+    the tree grows with the corpus. A context becomes a state if its occurrences times the divergence of its next-word
+    distribution from that of the longest shorter state reach DIVERGE: by so much it tells what follows it better, in
+    all, so a rare context must differ much and a frequent one little. The distribution is smoothed with it, and words not kept share the rest in
     proportion to it, so every state's distribution sums to one over all words. Depth goes on until no context passes.
 
     n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
@@ -288,39 +294,38 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     top = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda x: (-x[1], x[0]))
     tree = Tree([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
     level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
-    begin = spark.range(1).select(F.xxhash64(F.lit(BEGIN)).alias("g"))
+    begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
     values, depth, states = [], 0, None
     while True:
         depth += 1
-        if depth <= WHOLE_DEPTH:
-            allowed = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
-            allowed = allowed.unionByName(begin) if depth == 1 else allowed
-        else:
-            allowed = states.select(F.col("c").alias("g"))
+        own = level.filter(F.col("n") >= MIN_CONTEXT).select("g", "n")
+        own = own.unionByName(begin) if depth == 1 else own
+        allowed = own if depth <= WHOLE_DEPTH else states.select(F.col("c").alias("g"))
         filters = [spark.sparkContext.broadcast(_filter(x)) for x in (allowed, level)]
-        found = work.keep(_count_level(texts, *filters, depth), f"found-{depth}")
+        found = work.keep(_count_level(texts, *filters, depth).filter((F.col("n") >= MIN_NEXT) | (F.col("s") == 0) | F.lit(depth > WHOLE_DEPTH)), f"found-{depth}")
+        work.clean()
         below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
-        listed = work.keep(found.filter((F.col("s") != 0) & (F.col("n") >= MIN_NEXT)).join(below, "s"), f"listed-{depth}")
+        listed = work.keep(join_split(found.filter((F.col("s") != 0) & (F.col("n") >= MIN_NEXT)), below, "s", "c", work), f"listed-{depth}")
         m = F.col("n") + SMOOTH * F.col("b")
-        zero = F.lit(0.0)
-        sums = found.select("c", F.col("n").alias("t"), zero.alias("x"), zero.alias("m"), zero.alias("b")).unionByName(
-            listed.select("c", F.lit(0).cast("long").alias("t"), (m * F.log(m / F.col("b"))).alias("x"), m.alias("m"), "b")
-        ).groupBy("c").agg(*[F.sum(k).alias(k) for k in ("t", "x", "m", "b")]).filter((F.col("t") >= MIN_CONTEXT) & (F.col("m") > 0))
+        sums = listed.groupBy("c").agg(F.sum(m * F.log(m / F.col("b"))).alias("x"), F.sum(m).alias("m"), F.sum("b").alias("b"))
+        times = own.select(F.col("g").alias("c"), F.col("n").alias("t")) if depth <= WHOLE_DEPTH else found.groupBy("c").agg(F.sum("n").alias("t"))
+        sums = sums.join(times, "c").filter(F.col("t") >= MIN_CONTEXT)
         weight = F.col("t") + SMOOTH
         rest, rest_below = F.greatest(1 - F.col("m") / weight, F.lit(1e-9)), F.greatest(1 - F.col("b"), F.lit(1e-9))
         apart = (F.col("x") - F.log(weight) * F.col("m")) / weight + rest * F.log(rest / rest_below)
         for f in filters:
             f.destroy()
-        states = work.keep(sums.filter(apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
+        states = work.keep(sums.filter(F.col("t") * apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
         if depth >= WHOLE_DEPTH and states.isEmpty():
             break
-        met = listed.join(states, "c", "left" if depth < WHOLE_DEPTH else "inner")
+        met = join_split(listed, states, "c", "s", work, "left" if depth < WHOLE_DEPTH else "inner")
         p = F.coalesce(m / weight, F.col("b"))
         nxt = work.keep(met.select(
             F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
         ), f"level-{depth}")
         values += [nxt.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
         work.drop(f"found-{depth}", f"listed-{depth}")
+        work.clean()
         level = nxt
     none = spark.createDataFrame([], "g long, v double, n long")
     for v in values:
@@ -405,9 +410,13 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items), deep],
                     names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare", "deep"],
                 )
+        hashes.clear()
+        give_back()
 
     scored = docs.select(key, (fold == HELD_OUT).alias("held_out"), F.col(text)).mapInArrow(score, spec)
     scored = work.keep(scored, "scored")
+    shared.destroy()
+    work.clean()
     below = float(tree.total + tree.distinct + 1)
     rare_counts = counts.filter(F.col("n") < FREQUENT * tree.total).withColumnRenamed("n", "c")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(rare_counts, "word", "left")
