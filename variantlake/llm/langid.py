@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import give_back, slices
+
 TRAIN_ROWS = 16_000  # expected bound of labelled rows that the model is fitted on, taken by a hash of the row
 MAX_GRAMS = 60_000  # most frequent letter trigrams kept per language
 MIN_SCRIPT = 0.01  # share of a language's letters from which on a script is one of its own
 SWITCH = 9.0  # cost of changing the language between two words, in natural log units
 CLIP = 5.0  # most by which one word can set two languages apart
-CACHE = 1 << 18
+CACHE = 1 << 17
 UNKNOWN = "und"
 
 # First and last code point of the main blocks of each script.
@@ -31,7 +33,7 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x3FFFF),
 )
-GROUP = 2_000_000  # characters of text whose new words are scored together
+GROUP = 1_000_000  # characters of text whose new words are scored together
 
 
 @lru_cache(1)
@@ -205,14 +207,15 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
         for texts in batches:
             rows, group, held = [], [], 0
-            for t in texts:
-                t = t.as_py()
+            for t in slices(texts):
                 group.append((t, t.split() if t and m.langs else []))
                 held += len(t or "")
                 if held >= GROUP:
                     rows += _group(m, words, group)
                     group, held = [], 0
             yield pa.array(rows + _group(m, words, group), kind)
+        words.clear()
+        give_back()
 
     found = predict(F.col(text))
     return docs.withColumn("_found", found).select(

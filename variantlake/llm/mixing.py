@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, give_back, slices
 
 WEIGHT_CYCLE = (5, 2, 1)
 SHARE_OF_ALL = 1.5
@@ -26,7 +26,8 @@ def add_word_count(df: DataFrame, text: str = "text", name: str = "size") -> Dat
     @F.arrow_udf("long")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([len(t.split()) if t else 0 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.array([len(t.split()) if t else 0 for t in slices(texts.cast(pa.binary()))], pa.int64())
+        give_back()
 
     return df.withColumn(name, words(F.col(text)))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, slices
+
 MARK = "▁"  # fixed value: how a space is written inside pieces
 _OTHER = 1 << 21  # symbols from here on are single characters outside the vocabulary
 _NONE = np.int64(1 << 40)
@@ -371,7 +373,9 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", name: st
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = Encoder(model.value)
         for texts in batches:
-            yield pa.array(list(e.encode_all(t or "" for t in texts.to_pylist())), pa.list_(pa.int32()))
+            yield pa.array(list(e.encode_all(t or "" for t in slices(texts))), pa.list_(pa.int32()))
+        e.cache.clear()
+        give_back()
 
     return docs.withColumn(name, ids(F.col(text)))
 
@@ -405,10 +409,12 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
         kind = pa.struct([("n", pa.int64()), ("ids", pa.string()), ("text", pa.string())])
         for texts in batches:
             rows = []
-            for ids in e.encode_all(t.as_py() or "" for t in texts):
+            for ids in e.encode_all(t or "" for t in slices(texts)):
                 told = ",".join(map(decimal.__getitem__, ids.tolist()))
                 rows.append({"n": len(ids), "ids": hashlib.sha256(told.encode()).hexdigest(), "text": hashlib.sha256(e.decode(ids)).hexdigest()})
             yield pa.array(rows, kind)
+        e.cache.clear()
+        give_back()
 
     return docs.withColumn("_d", digests(F.col(text))).select(
         *[c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")],
