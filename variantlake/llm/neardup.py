@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 IDF = 0.1  # what the logarithm of (texts / document frequency) adds to a shingle's weight of 1
-CELLS, CELL_PARTS, CELL_SALTS = 1 << 24, 256, 1024
+CELLS, CELL_PARTS, CELL_SALTS = 1 << 24, 256, 1024  # counters, parts of them, and most groups of tasks that are summed first
 STEPS = 8  # document frequencies are kept as whole steps of 1/STEPS in the logarithm
 TABLE = 1 << 16
 CACHE = 200_000
@@ -144,6 +145,7 @@ def fit_idf(texts: DataFrame, text: str = "text") -> Idf:
     and the driver gets one byte for each cell.
     """
     n_texts, n_cells, n_parts = texts.count(), CELLS, CELL_PARTS
+    salts = min(CELL_SALTS, math.isqrt(texts.rdd.getNumPartitions()) + 1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, cells, held, size = Shingler(), np.zeros(n_cells, np.uint32), [], 0
@@ -161,7 +163,7 @@ def fit_idf(texts: DataFrame, text: str = "text") -> Idf:
                     size = 0
         if held:
             add()
-        salt = TaskContext.get().partitionId() % CELL_SALTS
+        salt = TaskContext.get().partitionId() % salts
         for i, part in enumerate(cells.reshape(n_parts, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["part", "salt", "cells"])
