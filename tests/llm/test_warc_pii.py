@@ -63,6 +63,24 @@ def test_long_texts_are_scanned_in_linear_time():
         pii.items(t, pii.base_spans(t))
 
 
+def test_candidates_hold_blanks_and_marks():
+    found = lambda t: [t[s:e] for s, e in pii._candidates(t, pii.base_spans(t))]
+    assert found("call 555 123 4567, or (555) 123-4567 now") == ["555 123 4567", "(555) 123-4567"]
+    assert found("id 4111 1111 1111 1112; a1b2c3d4 x@y; 12 34 56") == ["4111 1111 1111 1112", "a1b2c3d4"]
+    assert found("mail a@b.co 0555/0101234") == ["0555/0101234"]
+    assert found("1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2") == [] == found("")
+
+
+def test_bootstrap_with_half_of_the_instances_unseen(spark, work):
+    known = [(i, f"please reach my desk at phone +1 (555) 010-{1000 + i} during the day") for i in range(10)]
+    unseen = [(100 + i, f"please reach my desk at phone 555 010 {2000 + i} during the day") for i in range(10)]
+    clean = [(200 + i, f"the sum of all parts was 555 010 {3000 + i} in total") for i in range(10)]
+    df = spark.createDataFrame(known + unseen + clean, "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.find_private(df, work).select("doc_id", pii.spans_text(F.col("spans")).alias("spans")).collect()}
+    assert all(by[i].spans.startswith("phone:30:") and by[i].spans.count(":") == 2 for i, _ in known + unseen)
+    assert all(by[i].spans == "" for i, _ in clean)
+
+
 def test_bootstrap_finds_unseen_identifiers(spark, work):
     known = [(i, f"please mail your answer to reach me under phone +1 (555) 010-{1000 + i} thanks a lot") for i in range(12)]
     rows = known + [(100, "you can reach me under phone 0555/0101234 thanks"), (101, "the year 20241231 was fine"), (102, None), (None, "x@y.de"), (103, ""), (104, "a@b.co " * 2), (104, "a@b.co " * 2)]

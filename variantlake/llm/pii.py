@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, give_back, join_split, slices
 
 KINDS = ("email", "ip", "card", "phone")  # fixed values, in the order in which spans are listed
 
@@ -21,13 +22,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9]")
+_GROUPS = re.compile(r"(?<![0-9])\(?[0-9]++(?:(?:\) |[ ./()-])[0-9]++)++")  # digit groups joined by one mark
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
+_EDGES = ".,;:!?()[]{}<>\"'|"
 
-WINDOW = 80  # characters of context in which the two words before and the one after are looked for
+WINDOW = 80  # characters of context in which the words before and after are looked for
+GROUP_DIGITS = (7, 19)  # digits that a candidate of several groups has: fewer say too little, more are tables
 ROUNDS = 3
 MIN_SEEDS = 3  # different known instances that a pattern must have found
-MIN_PATTERN = 0.7  # share of known instances of its kind among all that a pattern finds
+MIN_PATTERN = 0.7  # trust from which on a pattern counts
+UNKNOWN = 0.25  # what an instance of no known kind counts against a pattern; one of another kind counts 1
 MIN_INSTANCE = 0.8  # noisy-or of the patterns that found it
 ITEM = "struct<kind:string,start:int,end:int,inst:string,patterns:array<string>>"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -73,48 +78,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _words(s: str) -> list[str]:
-    return [re.sub(r"[0-9]+", "9", w.strip(".,;:!?()[]{}<>\"'|").lower()) for w in s.split()]
+    return [re.sub(r"[0-9]+", "9", w.strip(_EDGES).lower()) for w in s.split()]
+
+
+def _candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches outside the base spans that may be identifiers: digit groups joined by single marks or blanks, and
+    other tokens with four digits or an inner ``@``."""
+    taken = sorted((s, e) for _, s, e in base)
+    for begin, stop in zip([0, *itertools.accumulate((e for _, e in taken), max)], [*(s for s, _ in taken), len(text)]):
+        groups = []
+        for m in _GROUPS.finditer(text, begin, max(begin, stop)):
+            if GROUP_DIGITS[0] <= sum(map(str.isdigit, m.group())) <= GROUP_DIGITS[1]:
+                # Only whole tokens: nothing but blanks and punctuation may stand next to a group.
+                before, after = text[m.start() - 1:m.start()], text[m.end():m.end() + 1]
+                if not (before.isalnum() or after.isalnum() or before in ("@", "_") or after in ("@", "_")):
+                    groups.append(m.span())
+        yield from groups
+        for a, b in zip([begin, *(e for _, e in groups)], [*(s for s, _ in groups), stop]):
+            pos = a
+            while pos < b and (m := _MARK.search(text, pos, b)):
+                start = m.start()
+                while start > pos and not text[start - 1].isspace():
+                    start -= 1
+                blank = _BLANK.search(text, m.start(), b)
+                pos = blank.start() if blank else b
+                token = text[start:pos]
+                lead = len(token) - len(token.lstrip(_EDGES))
+                token = token.strip(_EDGES)
+                if len(token) >= 5 and (sum(c.isdigit() for c in token) >= 4 or "@" in token[1:-1]):
+                    yield start + lead, start + lead + len(token)
 
 
 def items(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
-    """Known instances and candidates (tokens with a digit or ``@`` outside the base spans) with their patterns.
+    """Known instances and candidates with their patterns: (kind or None, start, end, text, patterns).
 
-    A pattern is what stands around an instance: the two words before it, or the word before and the word after.
+    A pattern is what stands around an instance: the two or three words before it, or the word before and the one
+    after. Digits in words are written as 9, so a pattern covers all words of one shape.
     """
-    found = [(k, s, e) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    pos, done, i = 0, 0, 0
-    while m := _MARK.search(text, pos):
-        p = m.start()
-        while i < len(taken) and taken[i][1] <= p:
-            done = max(done, taken[i][1])
-            i += 1
-        if any(s <= p < e for s, e in taken[max(0, i - 3):i + 4]):
-            pos = next(e for s, e in taken[max(0, i - 3):i + 4] if s <= p < e)
-            continue
-        start = p
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        b = _BLANK.search(text, p)
-        end = b.start() if b else len(text)
-        nxt = next((s for s, _ in taken[max(0, i - 1):] if s > p), None)
-        if nxt is not None and nxt < end:
-            end = nxt
-        done = pos = end
-        token = text[start:end]
-        lead = len(token) - len(token.lstrip(".,;:!?()[]{}<>\"'|"))
-        token = token.strip(".,;:!?()[]{}<>\"'|")
-        if len(token) >= 5 and (sum(c.isdigit() for c in token) >= 4 or "@" in token[1:-1]):
-            found.append((None, start + lead, start + lead + len(token)))
     out = []
-    for kind, s, e in found:
-        before = _words(text[max(0, s - WINDOW):s])[-2:]
+    for kind, s, e in [*base, *((None, s, e) for s, e in _candidates(text, base))]:
+        # A word that touches the instance belongs to neither side's words.
+        before = _words(text[max(0, s - WINDOW):s] + (" " if kind is None else ""))[-3:]
         after = _words(text[e:e + WINDOW])[:1]
-        if kind is None and (s and not text[s - 1].isspace()):
-            before = _words(text[max(0, s - WINDOW):s] + " ")[-2:]
-        patterns = []
-        if len(before) == 2:
-            patterns.append(f"{before[0]} {before[1]} _")
+        patterns = [" ".join(before[-n:]) + " _" for n in (2, 3) if len(before) >= n]
         if before and after:
             patterns.append(f"{before[-1]} _ {after[0]}")
         if patterns:
@@ -132,11 +138,12 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, more = [], []
-            for t in b.column(2).to_pylist():
+            for t in slices(b.column(2)):
                 spans = base_spans(t) if t else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 more.append([{"kind": k, "start": s, "end": e, "inst": x, "patterns": p} for k, s, e, x, p in items(t, spans)] if t else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, span_t), pa.array(more, item_t)], names=[key, "_k", "base", "items"])
+        give_back()
 
     return docs.select(key, F.xxhash64(key, text).alias("_k"), text).mapInArrow(scan, schema)
 
@@ -145,8 +152,8 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
     """Spans that trusted patterns add: key, _k, kind, start, end.
 
     The graph joins patterns with the different instances they found. In each round a pattern's trust in a kind is
-    the share of its instances known to be of that kind (all others, known or not, count against it), given at least
-    MIN_SEEDS of them; an unknown instance is accepted for a kind when the noisy-or of its trusted patterns reaches
+    the share of its instances known to be of that kind, given at least MIN_SEEDS of them; those of another kind count
+    whole against it, unknown ones UNKNOWN, so a pattern may discover more than it knew. An unknown instance is accepted for a kind when the noisy-or of its trusted patterns reaches
     MIN_INSTANCE, and counts as known in the next round. Both sides are sums by key over distinct edges.
     """
     one = scanned.select(key, "_k", F.explode("items").alias("i")).select(key, "_k", "i.*")
@@ -156,12 +163,14 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
     totals = work.keep(edges.groupBy("pattern").agg(F.count("*").alias("total")), "totals")
     before = known.count()
     for r in range(1, ROUNDS + 1):
-        trusted = (
-            edges.join(known, "inst").groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS)
-            .join(totals, "pattern").withColumn("trust", F.col("n") / F.col("total")).filter(F.col("trust") >= MIN_PATTERN)
-        )
+        told = join_split(edges, known, "inst", "pattern", work).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        of_any = told.groupBy("pattern").agg(F.sum("n").alias("known"))
+        against = F.col("known") + UNKNOWN * F.greatest(F.col("total") - F.col("known"), F.lit(0))
+        trusted = told.filter(F.col("n") >= MIN_SEEDS).join(of_any, "pattern").join(totals, "pattern").withColumn("trust", F.col("n") / against)
+        trusted = work.keep(trusted.filter(F.col("trust") >= MIN_PATTERN).select("pattern", "kind", "trust"), f"trusted-{r}")
+        open_edges = edges.join(known.select("inst"), "inst", "left_anti")
         scores = (
-            edges.join(trusted, "pattern").join(known.select("inst"), "inst", "left_anti")
+            join_split(open_edges, trusted, "pattern", "inst", work)
             .groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score"))
             .filter(F.col("score") >= MIN_INSTANCE)
         )
@@ -173,9 +182,10 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
             break
         before = after
     learned = known.groupBy("inst").agg(F.min("kind").alias("as"))
-    added = one.filter("kind is null").drop("kind", "patterns").join(learned, "inst").select(key, "_k", F.col("as").alias("kind"), "start", "end").distinct()
+    found = one.filter("kind is null").drop("kind", "patterns")
+    added = join_split(found, learned, "inst", "_k", work).select(key, "_k", F.col("as").alias("kind"), "start", "end").distinct()
     added = work.keep(added, "added")
-    work.drop("items", "edges", "totals", f"known-{r}")
+    work.drop("items", "edges", "totals", f"known-{r}", *[f"trusted-{i}" for i in range(1, r + 1)])
     return added
 
 
@@ -221,7 +231,7 @@ def redact(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     @F.arrow_udf("string")
     def rewrite(texts: pa.Array, more: pa.Array) -> pa.Array:
         out = []
-        for t, extra in zip(texts.to_pylist(), more.to_pylist()):
+        for t, extra in zip(slices(texts), slices(more)):
             if t:
                 spans = base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in extra or ()]
                 if spans:
