@@ -19,7 +19,7 @@ FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a tab
 TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
-WHOLE_DEPTH = 2  # up to this depth every context is tested, beyond it those whose suffix is a state
+PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
 DIVERGE = 1.0  # nats by which a state must tell its own occurrences better than its suffix does: count times divergence
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
 FLUSH = 750_000
@@ -196,6 +196,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
+    def __init__(self):
+        self[None] = 0
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 42)  # equal to Spark's xxhash64
         if len(self) < CACHE:
@@ -213,15 +216,18 @@ def _longer(g: np.ndarray) -> np.ndarray:
 
 def _words(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
     """Hashes of BEGIN and the tokens of each text, a 0 before each text."""
-    flat = [w for t in texts for w in (None, BEGIN, *t)]
-    return np.fromiter((0 if w is None else hashes[w] for w in flat), np.uint64, len(flat))
+    flat: list = []
+    for t in texts:
+        flat += (None, BEGIN)
+        flat += t
+    return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash modulo its number of bits, about 16 a hash: at most FILTER / 64 rows."""
+    """Two bits for each hash, of about 16 a hash and FILTER at most."""
     bits = min(FILTER, 1 << (16 * hashes.count() + 64).bit_length())
-    cell = F.pmod(F.col("g"), F.lit(bits)).alias("cell")
-    words = hashes.select(cell).groupBy((F.col("cell") / 64).cast("long").alias("at")).agg(
+    cells = F.explode(F.array(F.pmod(F.col("g"), F.lit(bits)), F.pmod(F.shiftrightunsigned("g", 27), F.lit(bits)))).alias("cell")
+    words = hashes.select(cells).groupBy((F.col("cell") / 64).cast("long").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
@@ -229,58 +235,66 @@ def _filter(hashes: DataFrame) -> np.ndarray:
 
 
 def _passes(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    cell = g % np.uint64(64 * len(bits))
-    return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) != 0
+    hit = np.ones(len(g), bool)
+    for part in (g, g >> np.uint64(27)):
+        cell = part & np.uint64(64 * len(bits) - 1)
+        hit &= (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) != 0
+    return hit
+
 
+def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) -> DataFrame:
+    """(d, c, s, n): how often context c of d words stands before the last of the d words s, which are the context
+    without its first word and the next one.
 
-def _count_level(texts: DataFrame, open_contexts, nexts, depth: int) -> DataFrame:
-    """(c, s, n): how often the words s (hashed without the first word of the context) stand where context c is before
-    the last of them. Contexts of ``depth`` words, as long as ``open_contexts`` lets pass the context (up to WHOLE_DEPTH)
-    or its suffix. Next words that ``nexts`` rules out are left out up to WHOLE_DEPTH, where the count of the context
-    is known, and counted together as s = 0 beyond."""
-    spec = [("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())]
+    The filters know n-grams as long as the first depth's contexts: of a context all of them have to pass ``contexts``,
+    of s the last one ``nexts``.
+    """
+    spec = [("d", pa.int32()), ("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        hashes, held, size = _Hashes(), {d: [] for d in depths}, 0
 
         def out():
-            c, s = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, at, n = np.unique(_mix(c, s), return_index=True, return_counts=True)
-            return _table([c[at].view(np.int64), s[at].view(np.int64), n], spec)
+            for d, parts in held.items():
+                if parts:
+                    c, s = (np.concatenate(x) for x in zip(*parts))
+                    parts.clear()
+                    _, at, n = np.unique(_mix(c, s), return_index=True, return_counts=True)
+                    yield _table([np.full(len(at), d), c[at].view(np.int64), s[at].view(np.int64), n], spec)
 
         for b in batches:
             texts = b.column(0).cast(pa.binary())
             for start in range(0, len(b), 100):
                 g = _words([tokens(t) for t in texts.slice(start, 100).to_pylist()], hashes)
-                shorter = g
-                for _ in range(depth - 1):
-                    shorter, g = g, _longer(g)
-                at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0))
-                at = at[_passes(open_contexts.value, (g if depth <= WHOLE_DEPTH else shorter)[at])]
-                s = g[at + 1]
-                wanted = _passes(nexts.value, s)
-                held.append((g[at[wanted]], s[wanted]) if depth <= WHOLE_DEPTH else (g[at], np.where(wanted, s, np.uint64(0))))
-                size += len(held[-1][0])
+                for _ in range(depths[0] - 1):
+                    g = _longer(g)
+                good, wanted = _passes(contexts.value, g), _passes(nexts.value, g)
+                for d in depths:
+                    if d > depths[0]:
+                        g = _longer(g)
+                        good[1:] &= good[:-1]
+                    at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0) & good[:-1] & wanted[1:])
+                    held[d].append((g[at], g[at + 1]))
+                    size += len(at)
                 if size > FLUSH:
-                    yield out()
+                    yield from out()
                     size = 0
-        if held:
-            yield out()
+        yield from out()
         hashes.clear()
         give_back()
 
-    return texts.mapInArrow(count, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "d int, c long, s long, n long").groupBy("d", "c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_NEXT)
 
 
 def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, DataFrame]:
     """Fits on all ``texts`` (one text column) given their word counts: frequent words, and (g, v, n) of all n-grams.
 
-    A context of MIN_CONTEXT occurrences can become a state, a next word is kept from MIN_NEXT on; both are counts, so
-    the tree grows with the corpus. A context becomes a state if its occurrences times the divergence of its next-word
-    distribution from that of the longest shorter state reach DIVERGE: by so much it tells what follows it better, in
-    all, so a rare context must differ much and a frequent one little. The distribution is smoothed with it, and words not kept share the rest in
-    proportion to it, so every state's distribution sums to one over all words. Depth goes on until no context passes.
+    Every context of MIN_CONTEXT occurrences and no more words than the tree's memory is tested, and a next word is kept
+    from MIN_NEXT on; both are counts, so the tree grows with the corpus. A context becomes a state if its occurrences
+    times the divergence of its next-word distribution from that of the longest shorter state reach DIVERGE: by so much
+    it tells what follows it better, in all, so a rare context must differ much and a frequent one little. The
+    distribution is smoothed with that of the shorter state, and words not kept share the rest in proportion to it, so
+    every state's distribution sums to one over all words.
 
     n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
     state, to the next word's score (its back-off), and as a state with a next word, to that word's score (what the
@@ -295,54 +309,50 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     tree = Tree([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
     level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
     begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
-    values, depth, states = [], 0, None
-    while True:
-        depth += 1
-        own = level.filter(F.col("n") >= MIN_CONTEXT).select("g", "n")
-        own = own.unionByName(begin) if depth == 1 else own
-        allowed = own if depth <= WHOLE_DEPTH else states.select(F.col("c").alias("g"))
-        filters = [spark.sparkContext.broadcast(_filter(x)) for x in (allowed, level)]
-        found = work.keep(_count_level(texts, *filters, depth).filter((F.col("n") >= MIN_NEXT) | (F.col("s") == 0) | F.lit(depth > WHOLE_DEPTH)), f"found-{depth}")
-        work.clean()
-        below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
-        listed = work.keep(join_split(found.filter((F.col("s") != 0) & (F.col("n") >= MIN_NEXT)), below, "s", "c", work), f"listed-{depth}")
-        m = F.col("n") + SMOOTH * F.col("b")
-        sums = listed.groupBy("c").agg(F.sum(m * F.log(m / F.col("b"))).alias("x"), F.sum(m).alias("m"), F.sum("b").alias("b"))
-        times = own.select(F.col("g").alias("c"), F.col("n").alias("t")) if depth <= WHOLE_DEPTH else found.groupBy("c").agg(F.sum("n").alias("t"))
-        sums = sums.join(times, "c").filter(F.col("t") >= MIN_CONTEXT)
-        weight = F.col("t") + SMOOTH
-        rest, rest_below = F.greatest(1 - F.col("m") / weight, F.lit(1e-9)), F.greatest(1 - F.col("b"), F.lit(1e-9))
-        apart = (F.col("x") - F.log(weight) * F.col("m")) / weight + rest * F.log(rest / rest_below)
+    values, kept = [], []
+    for depths in PASSES:
+        enough = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
+        filters = [spark.sparkContext.broadcast(_filter(x)) for x in (enough.unionByName(begin.select("g")) if depths[0] == 1 else enough, level)]
+        counted = work.keep(_count_level(texts, *filters, depths), f"counted-{depths[0]}")
         for f in filters:
             f.destroy()
-        states = work.keep(sums.filter(F.col("t") * apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
-        if depth >= WHOLE_DEPTH and states.isEmpty():
-            break
-        met = join_split(listed, states, "c", "s", work, "left" if depth < WHOLE_DEPTH else "inner")
-        p = F.coalesce(m / weight, F.col("b"))
-        nxt = work.keep(met.select(
-            F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
-        ), f"level-{depth}")
-        values += [nxt.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
-        work.drop(f"found-{depth}", f"listed-{depth}")
         work.clean()
-        level = nxt
+        for depth in depths:
+            below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
+            listed = work.keep(join_split(counted.filter(F.col("d") == depth).drop("d"), below, "s", "c", work), f"listed-{depth}")
+            own = level.select(F.col("g").alias("c"), F.col("n").alias("t"))
+            own = own.unionByName(begin.select(F.col("g").alias("c"), F.col("n").alias("t"))) if depth == 1 else own
+            m = F.col("n") + SMOOTH * F.col("b")
+            sums = listed.groupBy("c").agg(F.sum(m * F.log(m / F.col("b"))).alias("x"), F.sum(m).alias("m"), F.sum("b").alias("b"))
+            sums = sums.join(own.filter(F.col("t") >= MIN_CONTEXT), "c")
+            weight = F.col("t") + SMOOTH
+            rest, rest_below = F.greatest(1 - F.col("m") / weight, F.lit(1e-9)), F.greatest(1 - F.col("b"), F.lit(1e-9))
+            apart = (F.col("x") - F.log(weight) * F.col("m")) / weight + rest * F.log(rest / rest_below)
+            states = work.keep(sums.filter(F.col("t") * apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
+            p = F.coalesce(m / weight, F.col("b"))
+            level = work.keep(join_split(listed, states, "c", "s", work, "left").select(
+                F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
+            ), f"level-{depth}")
+            values += [level.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
+            kept += [f"states-{depth}", f"level-{depth}"]
+            work.drop(f"listed-{depth}")
+        work.drop(f"counted-{depths[0]}")
+        work.clean()
     none = spark.createDataFrame([], "g long, v double, n long")
     for v in values:
         none = none.unionByName(v)
-    return tree, work.keep(none.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+    out = work.keep(none.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+    work.drop(*kept)
+    return tree, out
 
 
 def _score_grams(g: np.ndarray, sizes: np.ndarray, keys: np.ndarray, adds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """For each text (of ``sizes`` places) what its frequent n-grams add, and the others that may have a value."""
     text = np.repeat(np.arange(len(sizes)), sizes)
     total, rest, of = np.zeros(len(sizes)), [], []
-    depth = 0
-    while True:
-        at = np.flatnonzero(g != 0)
+    for _ in range(PASSES[-1][-1] + 1):
+        at = np.flatnonzero(g)
         at = at[_passes(bits, g[at])]
-        if depth >= WHOLE_DEPTH and not len(at):
-            break
         if len(keys):
             i = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
             hit = keys[i] == g[at]
@@ -351,7 +361,6 @@ def _score_grams(g: np.ndarray, sizes: np.ndarray, keys: np.ndarray, adds: np.nd
         rest.append(g[at])
         of.append(text[at])
         g = _longer(g)
-        depth += 1
     rest, of = np.concatenate(rest), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     offsets = np.searchsorted(of[order], np.arange(len(sizes) + 1))
