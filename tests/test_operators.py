@@ -64,8 +64,8 @@ def test_lift_over_and_windows(spark):
 
 def test_merge(spark):
     vcf = spark.createDataFrame([("f", 1, "13", 5, "A", ["T", "G"], {"AF": ["1", "2"], "X": ["q"]})], "file string, line long, chrom string, pos long, ref string, alts array<string>, info map<string,array<string>>")
-    ex = merge.explode_alleles(vcf, ordinal=["file", "line"]).orderBy("BX_ID").collect()
-    assert [(r.alt, r.BX_ID, r.info["AF"], r.info["X"]) for r in ex] == [("T", 1, ["1"], ["q"]), ("G", 2, ["2"], ["q"])]
+    ex = merge.explode_alleles(vcf, ordinal=["file", "line"]).orderBy("allele_id").collect()
+    assert [(r.alt, r.allele_id, r.info["AF"], r.info["X"]) for r in ex] == [("T", 1, ["1"], ["q"]), ("G", 2, ["2"], ["q"])]
     spec = merge.SourceSpec("S", {"scv": "", "individuals": "", "other": "", "one": ""}, frozenset({"scv"}), frozenset({"individuals"}), frozenset({"one"}))
     df = spark.createDataFrame([("k", 1, ["s1"], ["2"], ["b", ""], ["x"]), ("k", 2, ["s2"], ["3"], ["a"], ["y"])], "k string, o int, scv array<string>, individuals array<string>, other array<string>, one array<string>")
     r = merge.merge_repeats(df, ["k"], "o", spec).first()

@@ -197,11 +197,10 @@ def vcf_value(c: Column) -> Column:
 
 
 def has_bad_parentheses(c: Column) -> Column:
-    """Whether a name's parentheses don't pair: unequal numbers, or a closing one first."""
-    flat = F.regexp_replace(c, "[^()]", "")
-    for _ in range(8):
-        flat = F.replace(flat, F.lit("()"), F.lit(""))
-    return F.length(flat) > 0
+    """Whether a name's parentheses don't pair: unequal numbers, or a closing one first. Any depth is counted."""
+    marks = F.filter(F.split(c, ""), lambda x: x.isin("(", ")"))
+    depth = F.aggregate(marks, F.lit(0), lambda d, x: F.when(d < 0, d).when(x == "(", d + 1).otherwise(d - 1))
+    return depth != 0
 
 
 def strip_parentheses(c: Column) -> Column:

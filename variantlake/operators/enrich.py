@@ -52,14 +52,16 @@ def must_exist(df: DataFrame, lookup: DataFrame, on: list[str], column: str) ->
     return out.withColumn(column, F.when(F.assert_true(F.col(column).isNotNull(), F.lit(f"no {column} for a key")).isNull(), F.col(column)))
 
 
-def dataset_code(initial: Column, faf: Column, count: Column, depth: Column, flagged: Column, is_snv: Column, measured: Column) -> Column:
-    """The evidence code of one dataset; ``initial`` where the variant isn't in it or can't be observed."""
-    f = M.number(faf)
+def dataset_code(initial: Column, faf: Column, count: Column, depth: Column, flagged: Column, is_snv: Column, measured: Column, parsed: bool = False) -> Column:
+    """The evidence code of one dataset; ``initial`` where the variant isn't in it or can't be observed. ``parsed``:
+    frequency and count are numbers already, not texts."""
+    number = (lambda c: c) if parsed else M.number
+    f, count = number(faf), number(count)
     rare = f.isNull() | F.isnan(f) | (f <= RARE)
     code = (
         F.when(depth < F.when(rare, DEPTH_RARE).otherwise(DEPTH_COMMON), FAIL_DEPTH).when(flagged, FAIL_DEPTH)
         .when(~rare & (f > STRONG), BA1).when(~rare & (f > SUPPORTING), BS1).when(~rare, BS1_SUPPORTING)
-        .when(M.number(count).isNull() | (M.number(count) > 0), NO_CODE).when(is_snv, PM2).otherwise(NO_CODE_NON_SNV)
+        .when(count.isNull() | (count > 0), NO_CODE).when(is_snv, PM2).otherwise(NO_CODE_NON_SNV)
     )
     return F.when(measured, code).otherwise(initial)
 

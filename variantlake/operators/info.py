@@ -65,19 +65,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataF
     """(node, component): the smallest node reachable over the edges.
 
     Minimum labels pass along edges and labels jump to their own label, so a path of n nodes takes about log n rounds.
-    ``keep`` materialises a round (a checkpoint by default).
+    ``keep`` materialises a round (a checkpoint by default). Labels only fall, so equal sums of their hashes tell that a
+    round changed nothing.
     """
     keep = keep or (lambda d: d.checkpoint())
     both = keep(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x is not null and y is not null").distinct())
     labels = keep(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")).select(F.col("x").alias("node"), F.col("m").alias("component")))
+    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(20,0)"))).first())
+    before = mark(labels)
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("m"))
         passed = labels.join(near, labels["node"] == near["x"]).select("node", F.least("component", "m").alias("c"))
         jumped = passed.join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left")
         new = keep(jumped.select("node", F.least("c", F.coalesce("cc", "c")).alias("component")))
-        if new.join(labels.withColumnRenamed("component", "before"), "node").filter("component <> before").isEmpty():
+        after = mark(new)
+        if after == before:
             return new
-        labels = new
+        labels, before = new, after
 
 
 def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, limit: int = 5000) -> DataFrame:

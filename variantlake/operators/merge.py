@@ -24,7 +24,7 @@ class SourceSpec:
     extra: dict[str, str] = field(default_factory=dict)
 
 
-def explode_alleles(df: DataFrame, alts: str = "alts", info: str = "info", ordinal: list[str] | None = None, id_name: str = "BX_ID") -> DataFrame:
+def explode_alleles(df: DataFrame, alts: str = "alts", info: str = "info", ordinal: list[str] | None = None, id_name: str = "allele_id") -> DataFrame:
     """One row per alternative allele, numbered within the file.
 
     An info value with as many items as there are alleles is cut to the allele's own; others are copied whole.
@@ -42,7 +42,7 @@ def explode_alleles(df: DataFrame, alts: str = "alts", info: str = "info", ordin
 
 
 def _distinct_values(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull() & (x != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(c)), lambda x: x.isNotNull() & (x != ""))))
 
 
 def merge_repeats(df: DataFrame, key: list[str], order: str, spec: SourceSpec) -> DataFrame:
@@ -69,6 +69,7 @@ def merge_sources(sources: list[tuple[SourceSpec, DataFrame]], key: list[str]) -
     """The full outer merge of all sources by key, in one shuffle: union, then one group per key.
 
     A source's fields become ``<field>_<source>`` arrays; ``Source`` lists the sources of a key in their given order.
+    Equal values of a key are dropped before the shuffle, so a group gathers its different values only.
     """
     wide = None
     columns: list[str] = []
@@ -79,7 +80,7 @@ def merge_sources(sources: list[tuple[SourceSpec, DataFrame]], key: list[str]) -
     ranked = F.array_sort(F.collect_set(F.struct("_rank", "_source")))
     return wide.groupBy(*key).agg(
         F.array_join(F.transform(ranked, lambda x: x["_source"]), ",").alias("Source"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in columns],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in columns],
     )
 
 

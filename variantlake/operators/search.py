@@ -158,5 +158,11 @@ def words(df: DataFrame, columns: list[str], keep: list[str] = (), longest: int
     return df.select(*keep, F.explode(F.split(text, "[\\s|'\"]+")).alias("word")).filter("word <> ''").withColumn("word", F.left("word", F.lit(longest))).distinct()
 
 
-def complete(vocabulary: DataFrame, prefix: str, limit: int, least: int = 3) -> DataFrame:
+def complete(vocabulary: DataFrame, prefix: str, limit: int, least: int = 3, release: int | None = None) -> DataFrame:
+    """The first words that begin with the prefix. Where words have a ``release``, those of the given one count, or
+    of the newest."""
+    if release is not None:
+        vocabulary = vocabulary.filter(F.col("release") == release)
+    elif "release" in vocabulary.columns:
+        vocabulary = vocabulary.join(F.broadcast(vocabulary.agg(F.max("release").alias("release"))), "release")
     return vocabulary.filter(F.col("word").startswith(prefix.lower()) & (F.length("word") >= least)).select("word").distinct().orderBy("word").limit(limit)

@@ -41,6 +41,17 @@ def history_join(df: DataFrame, key: str, version: str, same: list[str] | None =
     return joined.filter(extra) if extra is not None else joined
 
 
+def history_summary(df: DataFrame, key: str, version: str, count: str, least: dict[str, str], where: Column | None = None) -> DataFrame:
+    """Each row with the number of versions of its key up to its own (``count``), and the least of named columns over
+    them (new name -> column). Only versions that meet ``where`` count; rows without any go. What history_join and a
+    grouping would give, from one sorted pass over each key instead of pairs of its versions.
+    """
+    w = W.partitionBy(key).orderBy(version).rangeBetween(W.unboundedPreceding, W.currentRow)
+    hit = F.lit(True) if where is None else where
+    out = df.withColumns({count: F.count_if(hit).over(w), **{n: F.min(F.when(hit, F.col(c))).over(w) for n, c in least.items()}})
+    return out.filter(F.col(count) > 0)
+
+
 class Releases:
     """A versioned table: one partition per release, replaced as a whole, so an append that fails leaves no part."""
 
