@@ -93,10 +93,29 @@ def test_many_sources_are_repaired_like_few(spark, work, monkeypatch):
     few = taken()
     monkeypatch.setattr(mixing, "_few", lambda state: False)
     assert taken() == few
-    monkeypatch.setattr(mixing, "REPAIRS", 0)
+    monkeypatch.setattr(mixing, "_repairs", lambda mixed, work: None)
     assert taken() != few
 
 
+def test_rates_are_the_optimum_of_the_dual(spark, work):
+    import math
+
+    rows = [(i, f"s{i % 5}", "w " * (1 + (i * 7919) % (3 if i % 5 == 4 else 400)), "") for i in range(300)] + [(900 + i, "s1", "w " * 20_000, "") for i in range(3)]
+    got = mixing.mix_to_weights(docs(spark, rows), work).select("source", "size", "source_size", "target", "rate").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for rs in by.values():
+        target, mean = rs[0].target, sum(r.size for r in rs) / len(rs)
+        rate = lambda lam, size: min(2.0, math.exp(max(-600.0, min(600.0, lam * size / mean))))
+        low, high = -1e6, 1e6
+        for _ in range(200):  # a plain solver: the expected words rise with lam
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(r.size * rate(mid, r.size) for r in rs) < target else (low, mid)
+        full = target >= 2 * rs[0].source_size * (1 - 1e-12)
+        assert all(abs(r.rate - (2.0 if full else rate(low, r.size))) < 1e-4 for r in rs)
+
+
 def test_mix_edge_cases(spark, work):
     assert mixing.mix_to_weights(docs(spark, []), work).collect() == []
     rows = [(1, None, None, ""), (1, None, "a b", ""), (None, "x", "c", ""), (2, "x", "", "")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +16,7 @@ WEIGHT_CYCLE = (5, 2, 1)
 SHARE_OF_ALL = 1.5
 MOST_COPIES = 2
 UNIT = 1 << 20  # rates are summed as whole multiples of 1/UNIT, so sums don't depend on the order of tasks
-NEWTON_ROUNDS = 40
-REPAIRS = 4
+NEWTON_ROUNDS = 80  # bisection alone closes the bracket in as many
 BROADCAST_ROWS = 250_000  # keys with their copies, about 120 bytes each when broadcast: more are joined by shuffle
 
 
@@ -66,14 +66,14 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, work: Workspace) -> Data
     Among all rates between 0 and MOST_COPIES whose expected words meet each source's target, the rates nearest to
     one copy each (in relative entropy) are ``min(MOST_COPIES, exp(lam * x))``, x the document's words over its
     source's mean. ``lam`` is where the convex dual's derivative, the expected words less the target, is zero: Newton
-    steps, kept inside a shrinking bracket, each from two sums by source over all documents. Rows are first summed by
+    steps, kept inside a shrinking bracket (halved on a scale that is fine near zero), each from two sums by source over all documents. Rows are first summed by
     (source, size), so a round reads counts of sizes, not documents. A target of all copies needs no step: ``full``.
     """
     counts = sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     counts = work.keep(counts, "size-counts")
     means = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     state = targets.join(means, targets["source"].eqNullSafe(means["source"]), "left").drop(means["source"]).withColumns({
-        "lam": F.lit(0.0), "low": F.lit(-64.0), "high": F.lit(64.0), "done": F.lit(False),
+        "lam": F.lit(0.0), "low": F.lit(-1e9), "high": F.lit(1e9), "done": F.lit(False),
         "full": F.col("target") >= F.col("source_size") * float(MOST_COPIES) * (1 - 1e-12),
     })
     state = work.keep(state.coalesce(1), "state-0")
@@ -96,12 +96,14 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, work: Workspace) -> Data
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - gap / slope
         done = F.col("full") | (F.abs(gap) <= 1e-6 * F.col("target") + 1e-3) | F.col("mean").isNull() | F.col("done")
-        step = F.when(done, F.col("lam")).when((slope > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        step = F.when(done, F.col("lam")).when((slope > 0) & (newton > low) & (newton < high), newton).otherwise(F.sinh((F.asinh(low) + F.asinh(high)) / 2))
         nxt = joined.select("source", "source_size", "target", "mean", "full", step.alias("lam"), low.alias("low"), high.alias("high"), done.alias("done"))
         state = work.keep(nxt.coalesce(1), f"state-{i}")
         work.drop(f"state-{i - 1}")
         if state.filter("not done").isEmpty():
             break
+    else:
+        raise ValueError(f"targets not met after {NEWTON_ROUNDS} rounds")
     return state.select("source", "source_size", "target", "mean", "full", "lam")
 
 
@@ -134,8 +136,8 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
 
     ``copies`` (0, 1 or 2) rounds the rate: along each source's documents in order of size, a document gets the whole
     units by which the running sum of rates moves past it, so each stretch of similar sizes keeps its share. Running
-    sums come from totals of (source, size class, hash slot) cells, so no source is ordered in one task. Then up to
-    REPAIRS times per source, the one document whose copy, added or removed, best closes the gap is changed.
+    sums come from totals of (source, size class, hash slot) cells, so no source is ordered in one task. Then, as long
+    as it helps, the one document per source whose copy, added or removed, best closes the gap is changed.
 
     Nulls: a null text has size 0 and takes 0 words; a null source is a source of its own, the last; documents with a
     null key are documents like others. Repeated rows are separate documents. An empty table gives no rows. Other
@@ -177,7 +179,8 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
 
 
 def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
-    """At most REPAIRS single-copy changes per source, as (row, change): each the change that leaves the least gap.
+    """Single-copy changes, as (row, change): in each round and source the one that leaves the least gap, until none
+    makes a gap smaller.
 
     Every round is a minimum by source with partial aggregation. Gaps and changes are tables, whatever the number of
     sources: one row per source and round.
@@ -185,7 +188,7 @@ def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
     gaps = mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
     gaps = work.keep(gaps, "gaps-0")
     changes: DataFrame | None = None
-    for i in range(1, REPAIRS + 1):
+    for i in itertools.count(1):
         g = gaps.filter(F.abs("gap") >= 1).select(F.col("source").alias("_s"), "gap")
         room = mixed if changes is None else mixed.join(changes.select("row"), "row", "left_anti")
         room = room.join(F.broadcast(g) if _few(g) else g, room["source"].eqNullSafe(F.col("_s"))).withColumn("dir", F.signum("gap").cast("int"))
