@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantlake.llm import pii, warc
+from variantlake.llm.common import Workspace
 
 
-def test_round_trip(spark, work):
+def test_round_trip(spark, work, monkeypatch):
     big, other = "é" * 600, "x" * 999
     rows = [(1, "http://a", big, 0), (5, "http://b", big, 0), (3, None, big, 0), (4, "http://c\nd", other, 0), (6, "u", other, 0), (7, "u", None, 0), (8, "u", "", 0), (None, "n", "z" * 2000, 0), (9, "u", "y" * 3_000_000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
-    got = {r.page_id: r for r in warc.warc_round_trip(df, work.path("a")).collect()}
+    got = {r.page_id: r for r in warc.warc_round_trip(df, work).collect()}
     assert len(got) == len(rows) and all(r.digest_ok for r in got.values())
     for i, _, html, _ in rows:
         data = (html or "").encode()
@@ -21,7 +22,10 @@ def test_round_trip(spark, work):
     assert [got[i].record_type for i in (1, 3, 5)] == ["revisit", "revisit", "response"]
     assert got[1].refers_to == got[3].refers_to == 5 and got[5].refers_to is None
     assert {got[i].record_type for i in (4, 6, 7, 8, None, 9)} == {"response"}
-    assert warc.warc_round_trip(df.limit(0), work.path("b")).collect() == []
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    again = warc.warc_round_trip(df, Workspace(spark, "again")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got.values()))
+    assert warc.warc_round_trip(df.limit(0), Workspace(spark, "none")).collect() == []
 
 
 def test_one_member_per_record_and_broken_archives():

@@ -32,7 +32,7 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(_read(spark, sf_dir, "pages"), Workspace(spark, "op3").path("archives"))
+    return warc.warc_round_trip(_read(spark, sf_dir, "pages"), Workspace(spark, "op3"))
 
 
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,15 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, join_split
+
 LEVEL = 6
 ROLL_BYTES = 32 << 20  # an archive is closed once it holds this much
 REVISIT_LEAST = 1000
+BROADCAST_ROWS = 250_000  # digests of repeated payloads, about 120 bytes each when broadcast
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC 1.1 standard
 RECORD = "warc_type string, record_id string, target_uri string, date string, refers_to_uri string, payload_digest string, payload_length long, block_length long, digest_ok boolean, content binary"
@@ -84,8 +87,8 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Writes (record_id, uri, date, payload, payload_digest, record_type, refers_to_id) as archives below ``folder``.
 
-    Each task fills archives of about ROLL_BYTES. A file is written under a name of its own attempt and takes its
-    final name only when whole, so a task that runs again leaves no half file behind. Returns (path, records).
+    Each task fills archives of about ROLL_BYTES, under names of its own attempt. What a lost attempt wrote is in no
+    row that is returned, so nothing reads it. Returns (path, records).
     """
     schema = "path string, records long"
 
@@ -151,13 +154,14 @@ def read_archives(paths: DataFrame, with_content: bool = True) -> DataFrame:
     return paths.mapInArrow(read, RECORD)
 
 
-def with_revisits(pages: DataFrame, key: str, payload: Column) -> DataFrame:
+def with_revisits(pages: DataFrame, key: str, payload: Column, work: Workspace) -> DataFrame:
     """Adds payload, size, payload_digest, record_type and refers_to.
 
     Of records with equal payloads (by length, SHA-1 and a second digest) of at least REVISIT_LEAST bytes, the one
     with the largest key is the response and the others revisit it; smaller ones are all responses. Maxima are taken
-    with partial sums per digest, and only digests that occur twice come back to the rows, so a payload that a third
-    of all pages share is neither gathered nor compared.
+    with partial sums per digest, and only digests that occur twice come back to the rows: by broadcast up to
+    BROADCAST_ROWS of them, else to (digest, key) alone with hot digests split, and then by key to the payloads. So a
+    payload that a third of all pages share is neither gathered nor moved by its digest.
     """
     p = pages.withColumn("payload", payload).withColumns({
         "size": F.length("payload").cast("long"), "payload_digest": F.sha1("payload"), "_more": F.xxhash64("payload"),
@@ -165,25 +169,31 @@ def with_revisits(pages: DataFrame, key: str, payload: Column) -> DataFrame:
     group = ["payload_digest", "size", "_more"]
     least = p.filter(F.col("size") >= REVISIT_LEAST).select(*group, F.col(key))
     last = least.groupBy(*group).agg(F.max(key).alias("_last"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    p = p.join(last, group, "left")
+    last = work.keep(last, "repeated")
+    if last.count() <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(last), group, "left")
+    else:
+        ids = p.select(F.col(key).alias("_key"), F.struct(*group).alias("_group")).distinct()
+        told = join_split(ids, last.select(F.struct(*group).alias("_group"), "_last"), "_group", "_key", work)
+        p = p.withColumn("_id", F.struct(*group)).join(told, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_id") == F.col("_group")), "left").drop("_id", "_group", "_key")
     later = F.col("_last").isNotNull() & ~F.col(key).eqNullSafe(F.col("_last"))
     return p.withColumns({
         "record_type": F.when(later, "revisit").otherwise("response"), "refers_to": F.when(later, F.col("_last")),
     }).drop("_last", "_more")
 
 
-def warc_round_trip(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes a record per page below ``folder`` and returns what the reader finds there, per page.
+def warc_round_trip(pages: DataFrame, work: Workspace, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Writes a record per page into ``work`` and returns what the reader finds there, per page.
 
     Columns: key, payload_bytes, payload_digest, record_type, refers_to, url, digest_ok. Null html is an empty payload,
     a null url an empty one; a null key is written as an empty id and read back as null. Repeated rows give repeated
     records, of which those equal in key and payload are all of the same type. An empty table gives no rows. Line
     breaks in a url, which a header can't hold, are percent-coded.
     """
-    spark: SparkSession = pages.sparkSession
+    spark, folder = pages.sparkSession, work.path("archives")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     base = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    typed = with_revisits(base.select("key", "url", payload.alias("payload")), "key", F.col("payload"))
+    typed = with_revisits(base.select("key", "url", payload.alias("payload")), "key", F.col("payload"), work)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     records = typed.select(
         name(F.col("key")).alias("record_id"),
