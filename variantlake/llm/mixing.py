@@ -17,6 +17,7 @@ SHARE_OF_ALL = 1.5
 MOST_COPIES = 2
 UNIT = 1 << 20  # rates are summed as whole multiples of 1/UNIT, so sums don't depend on the order of tasks
 NEWTON_ROUNDS = 80  # bisection alone closes the bracket in as many
+CLOSES = 0.1  # share of a source's gap that a repair has to close
 BROADCAST_ROWS = 250_000  # keys with their copies, about 120 bytes each when broadcast: more are joined by shuffle
 
 
@@ -136,8 +137,8 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
 
     ``copies`` (0, 1 or 2) rounds the rate: along each source's documents in order of size, a document gets the whole
     units by which the running sum of rates moves past it, so each stretch of similar sizes keeps its share. Running
-    sums come from totals of (source, size class, hash slot) cells, so no source is ordered in one task. Then, as long
-    as it helps, the one document per source whose copy, added or removed, best closes the gap is changed.
+    sums come from totals of (source, size class, hash slot) cells, so no source is ordered in one task. Then the one
+    document per source whose copy, added or removed, best closes the gap is changed, as long as that closes enough of it.
 
     Nulls: a null text has size 0 and takes 0 words; a null source is a source of its own, the last; documents with a
     null key are documents like others. Repeated rows are separate documents. An empty table gives no rows. Other
@@ -180,7 +181,7 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
 
 def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
     """Single-copy changes, as (row, change): in each round and source the one that leaves the least gap, until none
-    makes a gap smaller.
+    closes CLOSES of a gap any more. So rounds grow with the logarithm of the gap, not with the number of documents.
 
     Every round is a minimum by source with partial aggregation. Gaps and changes are tables, whatever the number of
     sources: one row per source and round.
@@ -194,7 +195,7 @@ def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
         room = room.join(F.broadcast(g) if _few(g) else g, room["source"].eqNullSafe(F.col("_s"))).withColumn("dir", F.signum("gap").cast("int"))
         free = (F.col("size") > 0) & (F.col("copies") + F.col("dir")).between(0, MOST_COPIES)
         left = F.abs(F.col("gap") - F.col("dir") * F.col("size"))
-        best = room.filter(free & (left < F.abs("gap"))).groupBy("source").agg(
+        best = room.filter(free & (left <= (1 - CLOSES) * F.abs("gap"))).groupBy("source").agg(
             F.min(F.struct(left.alias("left"), F.col("key").alias("key"), F.col("row").alias("row"), F.col("dir").alias("dir"), F.col("size").alias("size"))).alias("b")
         )
         best = work.keep(best.select(F.col("source").alias("_s"), "b.row", F.col("b.dir").alias("change"), "b.size"), f"best-{i}")
