@@ -65,15 +65,19 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def join_split(many: DataFrame, few: DataFrame, key: str, by: str, work: Workspace, how: str = "inner") -> DataFrame:
+def join_split(many: DataFrame, few: DataFrame, key: str, by: str, work: Workspace, how: str = "inner", most: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``many`` joined with ``few`` (one row per key) by an equi-join in which no key's rows meet in one task.
 
     The rows of hot keys are dealt by a hash of ``by`` over as many parts as they fill, and the other side's row is
     repeated for each part. Hot keys are counted first; by their definition there are HOT_KEYS at most, so their table
-    is broadcast. Null keys find nothing.
+    is broadcast. Null keys find nothing. Where bounds of the rows are known, ``most`` saves the count: one row per key
+    with a bound ``n``, and a bound of the sum of ``n``.
     """
-    sizes = work.keep(many.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS), f"sizes-{uuid.uuid4().hex}")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if most:
+        sizes, total = most
+    else:
+        sizes = work.keep(many.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS), f"sizes-{uuid.uuid4().hex}")
+        total = sizes.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(sizes.filter(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))

@@ -223,23 +223,43 @@ def _words(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
 
 
+_BITS = (20, 26, 32)  # where in a hash the places of its bits in a word of the filter are read
+
+
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """Two bits for each hash, of about 16 a hash and FILTER at most."""
-    bits = min(FILTER, 1 << (16 * hashes.count() + 64).bit_length())
-    cells = F.explode(F.array(F.pmod(F.col("g"), F.lit(bits)), F.pmod(F.shiftrightunsigned("g", 27), F.lit(bits)))).alias("cell")
-    words = hashes.select(cells).groupBy((F.col("cell") / 64).cast("long").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
+    """Three bits for each hash, all in one word of 64, of about 16 bits a hash and FILTER bits at most."""
+    n = min(FILTER, 1 << (16 * hashes.count() + 64).bit_length()) // 64
+    bit = [f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - k}) & 63 as int))" for k in _BITS]
+    words = hashes.groupBy((F.col("g").bitwiseAND(F.lit(n - 1))).alias("at")).agg(F.bit_or(F.expr(" | ".join(bit))).alias("bits")).toArrow()
+    out = np.zeros(n, np.uint64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _passes(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(g), bool)
-    for part in (g, g >> np.uint64(27)):
-        cell = part & np.uint64(64 * len(bits) - 1)
-        hit &= (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) != 0
-    return hit
+    one, mask = np.uint64(1), np.zeros(len(g), np.uint64)
+    for k in _BITS:
+        mask |= one << ((g >> np.uint64(64 - k)) & np.uint64(63))
+    return bits[(g & np.uint64(len(bits) - 1)).astype(np.int64)] & mask == mask
+
+
+class _Lookup:
+    """Places of hashes in a sorted array: hashes are even, so their first bits tell where to begin."""
+
+    def __init__(self, keys: np.ndarray):
+        k = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - k)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.start = np.searchsorted(keys, np.arange(1 << k, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash its place, and whether it is there."""
+        i = self.start[(g >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[i] < g)
+        while len(todo):
+            i[todo] += 1
+            todo = todo[self.keys[i[todo]] < g[todo]]
+        return i, (self.keys[i] == g) & (i < len(self.keys) - 1)
 
 
 def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) -> DataFrame:
@@ -286,8 +306,9 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) ->
     return texts.mapInArrow(count, "d int, c long, s long, n long").groupBy("d", "c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_NEXT)
 
 
-def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, DataFrame]:
-    """Fits on all ``texts`` (one text column) given their word counts: frequent words, and (g, v, n) of all n-grams.
+def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, DataFrame, np.ndarray]:
+    """Fits on all ``texts`` (one text column) given their word counts: frequent words, (g, v, n) of all n-grams that
+    have a value, and a filter of all n-grams that were counted: what begins and what ends an n-gram with a value is in it.
 
     Every context of MIN_CONTEXT occurrences and no more words than the tree's memory is tested, and a next word is kept
     from MIN_NEXT on; both are counts, so the tree grows with the corpus. A context becomes a state if its occurrences
@@ -299,7 +320,8 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
     state, to the next word's score (its back-off), and as a state with a next word, to that word's score (what the
     state gives it beyond the back-off and the shorter state). So a text's score is a sum over its n-grams. Levels are
-    joined as DataFrames; only filters of fixed size and the frequent n-grams pass through the driver.
+    joined as DataFrames; only filters of fixed size and the frequent n-grams pass through the driver. No n-gram meets
+    more than a MIN_NEXTth of its occurrences in a join, so hot ones are known without counting the rows.
     """
     spark = texts.sparkSession
     totals = counts.agg(F.sum("n"), F.count("*")).first()
@@ -309,7 +331,7 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     tree = Tree([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
     level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
     begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
-    values, kept = [], []
+    values, kept, known = [], [], [level.select("g"), begin.select("g")]
     for depths in PASSES:
         enough = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
         filters = [spark.sparkContext.broadcast(_filter(x)) for x in (enough.unionByName(begin.select("g")) if depths[0] == 1 else enough, level)]
@@ -319,9 +341,11 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
         work.clean()
         for depth in depths:
             below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
-            listed = work.keep(join_split(counted.filter(F.col("d") == depth).drop("d"), below, "s", "c", work), f"listed-{depth}")
             own = level.select(F.col("g").alias("c"), F.col("n").alias("t"))
             own = own.unionByName(begin.select(F.col("g").alias("c"), F.col("n").alias("t"))) if depth == 1 else own
+            most = own.select("c", (F.col("t") / MIN_NEXT).alias("n")), total // MIN_NEXT
+            listed = counted.filter(F.col("d") == depth).drop("d")
+            listed = work.keep(join_split(listed, below, "s", "c", work, most=(most[0].withColumnRenamed("c", "s"), most[1])), f"listed-{depth}")
             m = F.col("n") + SMOOTH * F.col("b")
             sums = listed.groupBy("c").agg(F.sum(m * F.log(m / F.col("b"))).alias("x"), F.sum(m).alias("m"), F.sum("b").alias("b"))
             sums = sums.join(own.filter(F.col("t") >= MIN_CONTEXT), "c")
@@ -330,11 +354,12 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
             apart = (F.col("x") - F.log(weight) * F.col("m")) / weight + rest * F.log(rest / rest_below)
             states = work.keep(sums.filter(F.col("t") * apart >= DIVERGE).select("c", "t", F.log10(rest / rest_below).alias("backoff")), f"states-{depth}")
             p = F.coalesce(m / weight, F.col("b"))
-            level = work.keep(join_split(listed, states, "c", "s", work, "left").select(
+            level = work.keep(join_split(listed, states, "c", "s", work, "left", most).select(
                 F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
             ), f"level-{depth}")
             values += [level.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
             kept += [f"states-{depth}", f"level-{depth}"]
+            known.append(level.select("g"))
             work.drop(f"listed-{depth}")
         work.drop(f"counted-{depths[0]}")
         work.clean()
@@ -342,25 +367,37 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     for v in values:
         none = none.unionByName(v)
     out = work.keep(none.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+    all_known = known[0]
+    for k in known[1:]:
+        all_known = all_known.unionByName(k)
+    chain = _filter(all_known)
     work.drop(*kept)
-    return tree, out
+    work.clean()
+    return tree, out, chain
+
 
+def _score_grams(g: np.ndarray, sizes: np.ndarray, table: _Lookup, adds: np.ndarray, bits: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each text (of ``sizes`` places) what its frequent n-grams add, and the others that may have a value.
 
-def _score_grams(g: np.ndarray, sizes: np.ndarray, keys: np.ndarray, adds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """For each text (of ``sizes`` places) what its frequent n-grams add, and the others that may have a value."""
+    An n-gram is tried only where the two that it extends passed ``chain``.
+    """
     text = np.repeat(np.arange(len(sizes)), sizes)
     total, rest, of = np.zeros(len(sizes)), [], []
-    for _ in range(PASSES[-1][-1] + 1):
-        at = np.flatnonzero(g)
-        at = at[_passes(bits, g[at])]
-        if len(keys):
-            i = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-            hit = keys[i] == g[at]
-            total += np.bincount(text[at[hit]], adds[i[hit]], len(sizes))
-            at = at[~hit]
-        rest.append(g[at])
-        of.append(text[at])
-        g = _longer(g)
+    ends = np.flatnonzero(g)
+    for length in range(1, PASSES[-1][-1] + 2):
+        h = g[ends]
+        good = _passes(chain, h)
+        ends, h = ends[good], h[good]
+        good = _passes(bits, h)
+        at, own = ends[good], h[good]
+        i, hit = table.find(own)
+        total += np.bincount(text[at[hit]], adds[i[hit]], len(sizes))
+        rest.append(own[~hit])
+        of.append(text[at[~hit]])
+        both = np.flatnonzero(ends[1:] == ends[:-1] + 1) + 1
+        longer = np.zeros(len(g), np.uint64)
+        longer[ends[both]] = _mix(h[both - 1], h[both])
+        g, ends = longer, ends[both]
     rest, of = np.concatenate(rest), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     offsets = np.searchsorted(of[order], np.arange(len(sizes) + 1))
@@ -382,17 +419,18 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
     counts = work.keep(count_words(train), "counts")
-    tree, values = fit(train, counts, work)
+    tree, values, chain = fit(train, counts, work)
     frequent = values.filter(F.col("n") >= TABLE * tree.total).select("g", "v").toArrow()  # at most 1 / TABLE rows per depth
     g, v = frequent["g"].to_numpy().view(np.uint64), frequent["v"].to_numpy()
     order = np.argsort(g)
-    shared = docs.sparkSession.sparkContext.broadcast((tree, g[order], v[order], _filter(values)))
+    shared = docs.sparkSession.sparkContext.broadcast((tree, g[order], v[order], _filter(values), chain))
+    work.clean()
     kind = docs.schema[key].dataType.simpleString()
     spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, deep array<long>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, keys, adds, bits = shared.value
-        hashes = _Hashes()
+        t, keys, adds, bits, chain = shared.value
+        table, hashes = _Lookup(keys), _Hashes()
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = b.column(2).cast(pa.binary())
@@ -400,7 +438,7 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
                 part = b.slice(start, 100)
                 n_tok, known, base, offsets, words, ns = [], [], [], [0], [], []
                 toks = [tokens(x) for x in texts.slice(start, 100).to_pylist()]
-                model, deep = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), keys, adds, bits)
+                model, deep = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), table, adds, bits, chain)
                 for tok in toks:
                     ids = t.ids(tok)
                     own = float(t.base[ids[ids >= 0]].sum())
