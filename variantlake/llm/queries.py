@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, neardup, pieces, pigeonhole, pii, sharding, suffix_tree, warc
+from . import ann, codes, langid, mixing, neardup, pieces, pigeonhole, pii, resampling, sharding, suffix_tree, warc
 from .common import Workspace, crc_mod
 
 SHARD_BYTES = 1 << 20
@@ -75,6 +75,16 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonhole.link_near(_read(spark, sf_dir, "embeddings"), Workspace(spark, "op10"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.rank_by_target(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), Workspace(spark, "op11"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.compress(_read(spark, sf_dir, "embeddings"), Workspace(spark, "op12"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,9 +93,44 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_extendible_sharding, op2_entropy_mixing, op3_warc, op4_private_data, op5_language_id, op6_nearest_neighbours,
-    op7_suffix_tree_scores, op8_sentencepiece, op9_minhash_classes, op10_embedding_links, pipeline,
+    op7_suffix_tree_scores, op8_sentencepiece, op9_minhash_classes, op10_embedding_links, op11_target_resampling, op12_vector_codes, pipeline,
 )}
 
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Assignments and means written out round by round."""
+    steps = [f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (
+            SELECT vec_id, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x FROM v, range(0, {parts}) r(part)),
+        book0 AS MATERIALIZED (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p
+            QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        near{i} AS MATERIALIZED (
+            SELECT vec_id, part, min(d * {entries} + entry) AS best, any_value(x) AS x FROM (
+                SELECT vec_id, part, entry, x, CAST(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                FROM p JOIN book{i} USING (part)) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""
+        mean{i} AS (
+            SELECT part, entry, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS e FROM (
+                SELECT part, best % {entries} AS entry, i, sum(x[i]) AS s, count(*) AS n
+                FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM near{i}) GROUP BY ALL) GROUP BY part, entry),
+        book{i + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(m.e, b.e) AS e FROM book{i} b LEFT JOIN mean{i} m USING (part, entry))""")
+    return ",".join(steps) + f""",
+        digest AS (
+            SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}),
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+            FROM near{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN v USING (vec_id), digest"""
+
+
 ORACLE_SQL = {
     "op1_extendible_sharding": f"""
         WITH d AS (
@@ -116,4 +161,35 @@ ORACLE_SQL = {
         comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
         FROM comp""",
+    "op11_target_resampling": r"""
+        WITH bytes AS MATERIALIZED (
+            SELECT list(v ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+                FROM range(0, 256) r(i))),
+        d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+        texts AS (SELECT 0 AS side, row, text FROM d UNION ALL SELECT 1, NULL, coalesce(text, '') FROM benchmark),
+        w AS MATERIALIZED (
+            SELECT side, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+        c AS MATERIALIZED (
+            SELECT word, xor(list_reduce(list_transform(range(0, strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                   lambda a, b: xor(a >> 8, bytes.t[CAST(xor(a & 255, b) + 1 AS BIGINT)]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT word FROM w), bytes),
+        n AS MATERIALIZED (
+            SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM w JOIN c USING (word) GROUP BY bucket),
+        g AS MATERIALIZED (
+            SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain
+            FROM n, (SELECT CAST(sum(s) AS BIGINT) AS ss, CAST(sum(t) AS BIGINT) AS tt FROM n)),
+        f AS (
+            SELECT row, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+            FROM w JOIN c USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY row),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                   (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM d LEFT JOIN f USING (row)),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+                   10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM r""",
+    "op12_vector_codes": _codes_sql(codes.PARTS, codes.ENTRIES, codes.ROUNDS),
 }
