@@ -132,3 +132,15 @@ def test_repeat_is_the_same_by_broadcast_and_by_shuffle(spark, work, monkeypatch
         monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
         found.append(sorted(map(repr, mixing.repeat(docs(spark, rows), work).collect())))
     assert found[0] == found[1] and len(found[0]) > len(rows) // 2
+
+
+def test_repeated_keys_are_mixed_row_by_row(spark, work):
+    rows = [(i % 200, "w " * (5 + i % 7), f"s{i // 200}", "x") for i in range(400)] + [(None, "w " * 9, "s1", "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    targets = {r.source: r.target for r in mixing.source_targets(mixing.add_word_count(df.drop("size"))).collect()}
+    got = mixing.repeat(df, work)
+    assert got.columns == df.columns
+    taken = {}
+    for r in got.collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert set(taken) == set(targets) and all(abs(taken[s] - t) <= 2 for s, t in targets.items()), (taken, targets)

@@ -98,3 +98,83 @@ def test_bootstrap_finds_unseen_identifiers(spark, work):
     red = {r.doc_id: r.text for r in pii.redact(df, work).collect()}
     assert red[100] == "you can reach me under phone [PHONE] thanks" and red[102] is None and red[101] == rows[13][1]
     assert red[None] == "[EMAIL]" and pii.find_private(df.limit(0), work).collect() == []
+
+
+def _hop(k):
+    """Phone-like numbers of group k, each in a context of the group before it and in one of its own."""
+    shape = lambda i: f"555 0{k} {20 + k}{10 + i:02d} {i:02d}"
+    return [shape(i) for i in range(8)]
+
+
+def test_bootstrap_goes_on_until_nothing_is_new(spark, work):
+    names = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf"]
+    rows = [f"ring me under {names[0]} line: +1 (555) 010-{1000 + i} today" for i in range(10)]
+    for k in range(6):
+        for number in _hop(k):
+            rows.append(f"ring me under {names[k]} line: {number} today")
+            rows.append(f"ring me under {names[k + 1]} line: {number} today")
+    got = pii.find_private(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), work)
+    spans = {r.doc_id: r.spans for r in got.select("doc_id", pii.spans_text(F.col("spans")).alias("spans")).collect()}
+    assert all(spans[i].startswith("phone:") for i in range(len(rows))), [rows[i] for i in range(len(rows)) if not spans[i]]
+
+
+def plain_bootstrap(texts):
+    """The same graph in plain loops: trust of patterns, noisy-or of instances, until nothing is new."""
+    import math
+    from collections import defaultdict
+
+    known, edges = defaultdict(set), defaultdict(set)
+    for t in texts:
+        for kind, _, _, inst, patterns in pii.items(t, pii.base_spans(t)):
+            if kind:
+                known[inst].add(kind)
+            for p in patterns:
+                edges[p].add(inst)
+    while True:
+        trust = {}
+        for p, instances in edges.items():
+            told = defaultdict(int)
+            for i in instances:
+                for k in known.get(i, ()):
+                    told[k] += 1
+            all_told = sum(told.values())
+            for k, n in told.items():
+                if n >= pii.MIN_SEEDS and n / (all_told + pii.UNKNOWN * max(len(instances) - all_told, 0)) >= pii.MIN_PATTERN:
+                    trust[p, k] = n / (all_told + pii.UNKNOWN * max(len(instances) - all_told, 0))
+        score = defaultdict(float)
+        for (p, k), t in trust.items():
+            for i in edges[p]:
+                if i not in known:
+                    score[i, k] += math.log(max(1 - t, 1e-9))
+        new = {}
+        for (i, k), s in score.items():
+            if 1 - math.exp(s) >= pii.MIN_INSTANCE and (1 - math.exp(s), k) > new.get(i, (0, "")):
+                new[i] = (1 - math.exp(s), k)
+        if not new:
+            return {i: min(k) for i, k in known.items()}
+        for i, (_, k) in new.items():
+            known[i].add(k)
+
+
+def test_added_spans_equal_plain_loops(spark, work):
+    import random
+
+    rng = random.Random(11)
+    verbs, places = ["ring", "mail", "pay", "reach"], ["desk", "home", "office", "shop"]
+    numbers = [f"+1 (555) 01{i % 10}-{1000 + i}" for i in range(25)] + [f"555 01{i % 10} {1000 + i}" for i in range(25)] + [f"u{i}x{7000 + i}" for i in range(20)] + [f"{i}.1.2.{i}" for i in range(10)]
+    texts = [" ".join(f"{rng.choice(verbs)} the {rng.choice(places)} {rng.choice(['at', 'by', 'no'])} {rng.choice(numbers)} now" for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    want = plain_bootstrap(texts)
+    got = pii.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), work).collect()
+    added = 0
+    for r in got:
+        base = pii.base_spans(texts[r.doc_id])
+        more = {(want[x], s, e) for kind, s, e, x, _ in pii.items(texts[r.doc_id], base) if kind is None and x in want}
+        added += len(more)
+        assert {tuple(s) for s in r.spans} == set(base) | more
+    assert added > 20
+
+
+def test_one_very_long_text_through_spark(spark, work):
+    text = "1234567a" * 150_000 + " phone +1 (555) 010-1234 and a@b.co " + "word " * 200_000
+    got = pii.find_private(spark.createDataFrame([(1, text)], "doc_id long, text string"), work).collect()
+    assert [s["kind"] for s in got[0].spans] == ["email", "phone"]

@@ -145,7 +145,15 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
     columns of ``docs`` are not carried. Sums are of whole units, so reruns give the same copies.
     """
     sizes = add_word_count(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text")
-    sizes = work.keep(sizes, "sizes")
+    sizes = work.keep(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    mixed = _mix(sizes, work)
+    work.drop("sizes", "size-counts")
+    return mixed.select(F.col("key").alias(key), "size", "source", "source_size", "target", "rate", "copies",
+                        (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _mix(sizes: DataFrame, work: Workspace) -> DataFrame:
+    """Rates and copies of written rows (row, key, source, size); ``row`` tells rows apart, also where all else is equal."""
     state = entropy_rates(sizes, work.keep(source_targets(sizes).coalesce(1), "targets"), work)
     st = state.select(F.col("source").alias("_s"), "source_size", "target", "mean", "full", "lam")
     st = F.broadcast(st) if _few(st) else st
@@ -168,20 +176,20 @@ def mix_to_weights(docs: DataFrame, work: Workspace, key: str = "doc_id", source
     copies = F.floor((F.col("upto") + half) / UNIT) - F.floor((F.col("upto") - F.col("units") + half) / UNIT)
     mixed = placed.select(
         "key", "size", "source", "source_size", "target", "rate",
-        F.least(F.lit(MOST_COPIES), copies).cast("int").alias("copies"), F.monotonically_increasing_id().alias("row"),
+        F.least(F.lit(MOST_COPIES), copies).cast("int").alias("copies"), "row",
     )
     mixed = work.keep(mixed, "mixed-0")
     fixes = _repairs(mixed, work)
     if fixes is not None:
         mixed = mixed.join(fixes, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
-    work.drop("sizes", "size-counts")
-    return mixed.select(F.col("key").alias(key), "size", "source", "source_size", "target", "rate", "copies",
-                        (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed
 
 
 def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
     """Single-copy changes, as (row, change): in each round and source the one that leaves the least gap, until none
-    closes CLOSES of a gap any more. So rounds grow with the logarithm of the gap, not with the number of documents.
+    closes CLOSES of a gap any more. So rounds grow with the logarithm of the gap, not with the number of documents. A gap
+    stays if it is below one word, or if every free document is above nearly twice the gap or below a tenth of it; the
+    rounding before leaves gaps of about one document, so the last is rare.
 
     Every round is a minimum by source with partial aggregation. Gaps and changes are tables, whatever the number of
     sources: one row per source and round.
@@ -209,8 +217,14 @@ def _repairs(mixed: DataFrame, work: Workspace) -> DataFrame | None:
 
 
 def repeat(docs: DataFrame, work: Workspace, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with each row as often as mix_to_weights takes it. Rows that repeat a key all take its largest count."""
-    mixed = work.keep(mix_to_weights(docs, work, key, source, text).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0"), "copies")
-    small = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
-    met = docs.join(small, F.col(key).eqNullSafe(F.col("_key")))
-    return met.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_copies")
+    """``docs`` with each row as often as the mix takes it: not at all, once or twice; rules as in mix_to_weights.
+
+    Rows are numbered when they are written with their sizes, and copies are joined by that number, so rows that repeat a
+    key are mixed one by one.
+    """
+    rows = add_word_count(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_size")
+    rows = work.keep(rows, "rows")
+    sizes = rows.select(F.col("_row").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), F.col("_size").alias("size"))
+    taken = work.keep(_mix(sizes, work).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "copies")
+    small = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
+    return rows.join(small, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_row", "_size", "_copies")

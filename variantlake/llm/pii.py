@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ _EDGES = ".,;:!?()[]{}<>\"'|"
 
 WINDOW = 80  # characters of context in which the words before and after are looked for
 GROUP_DIGITS = (7, 19)  # digits that a candidate of several groups has: fewer say too little, more are tables
-ROUNDS = 3
+LONG = 100  # characters from which on an instance is known by its digest in the graph
 MIN_SEEDS = 3  # different known instances that a pattern must have found
 MIN_PATTERN = 0.7  # trust from which on a pattern counts
 UNKNOWN = 0.25  # what an instance of no known kind counts against a pattern; one of another kind counts 1
@@ -124,7 +125,8 @@ def items(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
         if before and after:
             patterns.append(f"{before[-1]} _ {after[0]}")
         if patterns:
-            out.append((kind, s, e, text[s:e], patterns))
+            inst = text[s:e] if e - s < LONG else hashlib.sha256(text[s:e].encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((kind, s, e, inst, patterns))
     return out
 
 
@@ -153,8 +155,9 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
 
     The graph joins patterns with the different instances they found. In each round a pattern's trust in a kind is
     the share of its instances known to be of that kind, given at least MIN_SEEDS of them; those of another kind count
-    whole against it, unknown ones UNKNOWN, so a pattern may discover more than it knew. An unknown instance is accepted for a kind when the noisy-or of its trusted patterns reaches
-    MIN_INSTANCE, and counts as known in the next round. Both sides are sums by key over distinct edges.
+    whole against it, unknown ones UNKNOWN, so a pattern may discover more than it knew. An unknown instance is accepted
+    for a kind when the noisy-or of its trusted patterns reaches MIN_INSTANCE, and counts as known in the next round. The
+    rounds end when one finds nothing new. Both sides are sums by key over distinct edges.
     """
     one = scanned.select(key, "_k", F.explode("items").alias("i")).select(key, "_k", "i.*")
     one = work.keep(one, "items")
@@ -162,7 +165,7 @@ def _bootstrap(scanned: DataFrame, key: str, work: Workspace) -> DataFrame:
     known = work.keep(one.filter("kind is not null").select("inst", "kind").distinct(), "known-0")
     totals = work.keep(edges.groupBy("pattern").agg(F.count("*").alias("total")), "totals")
     before = known.count()
-    for r in range(1, ROUNDS + 1):
+    for r in itertools.count(1):  # what is known only grows, so this ends
         told = join_split(edges, known, "inst", "pattern", work).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         of_any = told.groupBy("pattern").agg(F.sum("n").alias("known"))
         against = F.col("known") + UNKNOWN * F.greatest(F.col("total") - F.col("known"), F.lit(0))

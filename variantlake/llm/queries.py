@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, langid, mixing, neardup, pieces, pigeonhole, pii, resampling, sharding, suffix_tree, warc
+from . import ann, codes, langid, mixing, neardup, pieces, pigeonhole, pii, resampling, sharding, suffix_tree, toxicity, warc
 from .common import Workspace, crc_mod
 
 SHARD_BYTES = 1 << 20
@@ -85,6 +85,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold, labels = crc_mod("doc_id", 5), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.toxic_scores(_read(spark, sf_dir, "documents"), labels, fold != 0, Workspace(spark, "op13"))
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_extendible_sharding, op2_entropy_mixing, op3_warc, op4_private_data, op5_language_id, op6_nearest_neighbours,
-    op7_suffix_tree_scores, op8_sentencepiece, op9_minhash_classes, op10_embedding_links, op11_target_resampling, op12_vector_codes, pipeline,
+    op7_suffix_tree_scores, op8_sentencepiece, op9_minhash_classes, op10_embedding_links, op11_target_resampling, op12_vector_codes, op13_toxicity, pipeline,
 )}
 
 def _codes_sql(parts: int, entries: int, rounds: int) -> str:
