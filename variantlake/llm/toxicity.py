@@ -18,7 +18,9 @@ from .langid import grams
 FIT_ROWS = 16_000  # expected bound of labelled rows that the weights are fitted on, taken by a hash of the row
 ALPHABET = 96  # letters that the character model tells apart, the most frequent ones; all others count as one
 BACKOFF = 5.0  # strength of the shorter context in each probability
-LEXICON, EVIDENCE, LEAST_DOCS = 400, 16.0, 4  # words at most; least log-likelihood ratio and documents of a word
+LEXICON, EVIDENCE, LEAST_DOCS = 400, 16.0, 4  # features at most; least log-likelihood ratio and documents of one
+STEMS = (4, 5, 6, 7)  # letters of a word's beginning that are features of their own, beside whole words
+MOST = 7  # occurrences from which on more of them say nothing new
 RIDGE = 0.05
 GROUP = 200_000  # different words of a task that are counted together
 NODES = 64  # characters, repeated ones as one, that one search goes over
@@ -251,64 +253,111 @@ def restore(docs: DataFrame, characters: Characters, text: str = "text", to: str
     return docs.withColumn(to, decode(F.col(text)))
 
 
+def features(words: dict[str, int]) -> Counter:
+    """How often each word and each beginning of a longer word occurs; beginnings end in ``*``."""
+    out = Counter(words)
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
+    return out
+
+
 class Lexicon:
-    """Words with weights: a document's score is the logistic of the bias and the weights of the words that occur in it."""
+    """Features with weights: a score is the logistic of the bias, the features' weighted log counts and the length's."""
 
-    def __init__(self, words: dict[str, float], bias: float):
-        self.words, self.bias = words, bias
+    def __init__(self, weights: dict[str, float], bias: float, length: float = 0.0):
+        self.weights, self.bias, self.length = weights, bias, length
+        self.heads = {f[:min(STEMS)] for f in weights}
+
+    def values(self, restored: str) -> tuple[dict[str, int], int]:
+        """Counts of the known features, and the number of words."""
+        words = LETTERS.findall(restored.lower())
+        near = {w: n for w, n in Counter(words).items() if w[:min(STEMS)] in self.heads}
+        return {f: n for f, n in features(near).items() if f in self.weights}, len(words)
 
     def score(self, restored: str) -> float:
-        known = self.words.keys() & LETTERS.findall(restored.lower())
-        z = self.bias + math.fsum(self.words[w] for w in known)
+        known, n = self.values(restored)
+        z = self.bias + self.length * math.log1p(n) + math.fsum(self.weights[f] * amount(k) for f, k in known.items())
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
+def amount(n: int) -> float:
+    return math.log2(1 + min(n, MOST))
+
+
 def fit_lexicon(docs: DataFrame, characters: Characters, work: Workspace, text: str = "text", label: str = "toxic", seed: str = "doc_id", max_rows: int = FIT_ROWS) -> Lexicon:
-    """Learns words and weights from rows with a text and a label of 0 or 1.
+    """Learns features and weights from rows with a text and a label of 0 or 1.
 
     Above ``max_rows`` labelled rows, those whose hash of ``seed`` falls below the share that leaves about ``max_rows``
-    are used, whole, the same on every run. Words that go with the label (log-likelihood ratio over the documents that
-    hold them) get the weights of a ridge regression. Without labels every score is a fourth, with one label the
-    smoothed share.
+    are used, whole, the same on every run. Features that go with the label (log-likelihood ratio over the documents
+    that hold them) get the weights of a ridge regression. Without labels every score is a fourth, with one label the
+    smoothed share. The driver gets the chosen features and, per sampled row, how often each occurs.
     """
     labelled = docs.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1))
     share = min(1.0, max_rows / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.xxhash64(seed), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-    @F.arrow_udf("array<string>")
-    def words_of(values: pa.Array) -> pa.Array:
-        return pa.array([list(dict.fromkeys(LETTERS.findall((t or "").lower()))) for t in slices(values)], pa.list_(pa.string()))
-
-    rows = restore(sample.select(text, F.col(label).alias("_label")), characters, text).select("_label", words_of("restored").alias("words"))
-    rows = work.keep(rows, "fit")
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("n1")).first()
+    rows = work.keep(restore(sample.select(text, F.col(label).cast("int").alias("label")), characters, text).select("label", "restored"), "fit")
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     n, n1 = total["n"], total["n1"]
     bias = math.log((n1 + 0.5) / (n - n1 + 1.5))
     if not 0 < n1 < n:
         return Lexicon({}, bias)
-    counts = rows.select("_label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.sum("_label").alias("k1"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, toxic = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            names = list(seen)
+            columns = [pa.array(names, pa.string()), pa.array([seen[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())]
+            seen.clear()
+            toxic.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "k", "k1"])
+
+        for b in batches:
+            for one, t in zip(b.column(0).to_pylist(), slices(b.column(1))):
+                fs = features(Counter(LETTERS.findall(t.lower()))).keys()
+                seen.update(fs)
+                if one:
+                    toxic.update(fs)
+                if len(seen) > GROUP:
+                    yield out()
+        yield out()
+        give_back()
+
+    counts = rows.mapInArrow(count, "feature string, k long, k1 long").groupBy("feature").agg(F.sum("k").alias("k"), F.sum("k1").alias("k1"))
     side = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     k, k1 = F.col("k"), F.col("k1")
     k0, n0 = k - k1, n - n1
     ratio = side(k1, k * n1 / n) + side(k0, k * n0 / n) + side(n1 - k1, (n - k) * n1 / n) + side(n0 - k0, (n - k) * n0 / n)
     best = counts.filter(k >= LEAST_DOCS).withColumn("ratio", 2 * ratio).filter(F.col("ratio") >= EVIDENCE)
-    words = [r["word"] for r in best.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()]
-    known = F.array_sort(F.array_intersect("words", F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")))
-    patterns = rows.groupBy(known.alias("known")).agg(F.count("*").alias("n"), F.sum("_label").alias("n1")).orderBy("known").collect()
+    chosen = [r["feature"] for r in best.orderBy(F.desc("ratio"), "feature").limit(LEXICON).collect()]
+    plain = Lexicon(dict.fromkeys(chosen, 0.0), bias)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(chosen)}
+        for b in batches:
+            found = [plain.values(t) for t in slices(b.column(1))]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([m for _, m in found], pa.int64()),
+                pa.array([[at[f] for f in fs] for fs, _ in found], pa.list_(pa.int32())), pa.array([list(fs.values()) for fs, _ in found], pa.list_(pa.int64())),
+            ], names=["label", "words", "at", "times"])
+
+    sampled = rows.mapInArrow(known, "label int, words long, at array<int>, times array<long>").orderBy("label", "words", "at", "times").collect()
     work.drop("fit")
-    at = {w: i for i, w in enumerate(words, 1)}
-    x = np.zeros((len(patterns), len(words) + 1), np.float32)
-    x[:, 0] = 1
-    for i, p in enumerate(patterns):
-        x[i, [at[w] for w in p["known"]]] = 1
-    weights = _logistic(x, np.array([p["n"] for p in patterns], float), np.array([p["n1"] for p in patterns], float))
-    return Lexicon(dict(zip(words, weights[1:].tolist())), float(weights[0]))
+    x = np.zeros((len(sampled), len(chosen) + 2), np.float32)
+    x[:, 0], x[:, 1] = 1, [math.log1p(r["words"]) for r in sampled]
+    for i, r in enumerate(sampled):
+        x[i, [j + 2 for j in r["at"]]] = [amount(m) for m in r["times"]]
+    w = _logistic(x, np.ones(len(x)), np.array([r["label"] for r in sampled], float))
+    return Lexicon(dict(zip(chosen, w[2:].tolist())), float(w[0]), float(w[1]))
 
 
 def _logistic(x: np.ndarray, n: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Ridge regression by Newton steps; row i stands for n[i] documents, n1[i] of them positive. The bias is free."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
-    w[0], ridge[0] = math.log((n1.sum() + 0.5) / (n.sum() - n1.sum() + 0.5)), 1e-6
+    w[0] = math.log((n1.sum() + 0.5) / (n.sum() - n1.sum() + 0.5))
+    ridge[0] = 1e-6
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
