@@ -35,6 +35,101 @@ def test_labels_and_mixed_spans(spark):
     assert set(range(120)) <= kept and not kept & {1001, 1002, 1003}
 
 
+FOREIGN = {
+    2000: "az ember nem tudja hogy mikor volt szép az élet mert mindig csak később érti meg a múltat és a jövőt",
+    2001: "これは日本語で書かれた文章であり学習された言語とは異なる文字を使っています",
+    2002: "человек должен знать что завтра будет новый день для всех людей которые живут здесь",
+}
+
+
+def test_unlearned_languages_get_a_low_score(spark):
+    rng = random.Random(5)
+    rows = [(i, text(c, 60, rng), c) for i, c in enumerate(["en", "de"] * 60)] + [(i, t, None) for i, t in FOREIGN.items()]
+    rows += [(2003, text("en", 50, rng) + " " + FOREIGN[2002], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df, F.lit(True)).collect()}
+    for i in FOREIGN:
+        assert got[i].lang_pred in ("en", "de") and got[i].lang_score < 0.3, got[i]
+    assert all(got[i].lang_score > 0.9 for i in range(120)) and [s.lang for s in got[2003].lang_spans] == ["en", "und"]
+    kept = {r.doc_id for r in langid.kept(df, F.lit(True)).collect()}
+    assert kept == {*range(120), 2003}
+
+
+def plain_predictions(train, texts):
+    """Counts, scores and paths in plain loops: dictionaries of trigrams, and dynamic programming without shortcuts."""
+    import math
+    from collections import defaultdict
+
+    def trigrams(word):
+        run, out = "", []
+        for c in word.lower() + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                padded = "^" + run + "^"
+                out += [padded[i:i + 3] for i in range(len(run))]
+                run = ""
+        return out
+
+    counts = {code: defaultdict(int) for code in sorted({c for _, c in train})}
+    scripts = {code: defaultdict(int) for code in counts}
+    letter, script, _ = langid._tables()
+    for t, code in train:
+        for w in t.split():
+            for g in trigrams(w):
+                counts[code][g] += 1
+                scripts[code][script[ord(g[1])]] += 1
+    langs, known = list(counts), {g for c in counts.values() for g in c}
+    total = {c: sum(counts[c].values()) for c in langs}
+    log = lambda c, g: math.log((counts[c].get(g, 0) + 0.1) / (total[c] + 0.1 * (len(known) + 1)))
+    own = {c: sum(n * log(c, g) for g, n in counts[c].items()) / total[c] for c in langs}
+    unknown = min(own[c] - min(langid.MARGIN, (own[c] - math.log(0.1 / (total[c] + 0.1 * (len(known) + 1)))) / 2) for c in langs)
+    out = []
+    for t in texts:
+        rows, sizes = [], []
+        for w in t.split():
+            gs = trigrams(w)
+            kinds = defaultdict(int)
+            for g in gs:
+                kinds[script[ord(g[1])]] += 1
+            main = max(sorted(kinds), key=lambda k: kinds[k]) if gs else None
+            able = [c for c in langs if gs and scripts[c][main] > 0 and scripts[c][main] >= langid.MIN_SCRIPT * total[c]] or langs
+            row = [sum(log(c, g) for g in gs) if c in able else -math.inf for c in langs] + [unknown * len(gs)]
+            rows.append([max(x - max(row), -langid.CLIP) for x in row])
+            sizes.append(len(gs))
+        if not sum(sizes):
+            out.append(("und", 0.0))
+            continue
+        best = [(x, [i]) for i, x in enumerate(rows[0])]
+        for row in rows[1:]:
+            step = []
+            for j, x in enumerate(row):
+                score, path = max([(best[j][0], best[j][1])] + [(s - langid.SWITCH, p) for i, (s, p) in enumerate(best) if i != j], key=lambda z: z[0])  # staying wins ties
+                step.append((score + x, path + [j]))
+            best = step
+        path = max(best, key=lambda z: z[0])[1]
+        share = [sum(n for n, p in zip(sizes, path) if p == j) for j in range(len(langs))]
+        if not any(share):
+            share = [0.0] * len(langs)
+            sums = [sum(r[j] for r in rows) for j in range(len(langs))]
+            out.append((langs[sums.index(max(sums))], 0.0))
+        else:
+            out.append((langs[share.index(max(share))], max(share) / sum(sizes)))
+    return out
+
+
+def test_predictions_equal_a_plain_model(spark):
+    rng = random.Random(8)
+    train = [(text(c, 50, rng), c) for c in ["en", "de", "ru"] * 20]
+    texts = [t for t, _ in train] + list(FOREIGN.values()) + ["", "12 !!"]
+    for _ in range(120):
+        texts.append(" ".join(text(rng.choice(list(WORDS)), rng.randint(1, 12), rng) + rng.choice(["", " xyzzy", " быть", " 語", ", schön"]) for _ in range(rng.randint(1, 4))))
+    rows = [(i, t, c) for i, (t, c) in enumerate(train)] + [(1000 + i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    for i, (code, score) in enumerate(plain_predictions(train, texts)):
+        assert (got[1000 + i].lang_pred, round(got[1000 + i].lang_score, 9)) == (code, round(score, 9)), texts[i]
+
+
 def test_nothing_learned_and_empty(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identify(df, F.lit(True)).first().lang_pred == "und"

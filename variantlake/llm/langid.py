@@ -20,6 +20,7 @@ MAX_GRAMS = 60_000  # most frequent letter trigrams kept per language
 MIN_SCRIPT = 0.01  # share of a language's letters from which on a script is one of its own
 SWITCH = 9.0  # cost of changing the language between two words, in natural log units
 CLIP = 5.0  # most by which one word can set two languages apart
+MARGIN = 3.0  # nats a letter that a word may fall short of a language's own words before no language claims it
 CACHE = 1 << 17
 UNKNOWN = "und"
 
@@ -65,15 +66,16 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """Trigram log probabilities by language, and each language's scripts. Its size is bounded by MAX_GRAMS."""
 
-    def __init__(self, langs: list[str], keys: np.ndarray, logs: np.ndarray, floor: np.ndarray, scripts: np.ndarray):
-        self.langs, self.scripts = langs, scripts
+    def __init__(self, langs: list[str], keys: np.ndarray, logs: np.ndarray, floor: np.ndarray, scripts: np.ndarray, unknown: float):
+        self.langs, self.scripts, self.unknown = langs, scripts, unknown
         self.keys = np.append(keys, np.iinfo(np.int64).max)
         self.logs = np.concatenate([logs, floor[None, :]])  # the last row stands for unknown trigrams
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by language, zero for the best and clipped, and the number of letters, for each word.
+        """Scores by language and, last, of no learned language; zero for the best and clipped. And the number of letters.
 
-        Only languages that use the script of most of a word's letters are candidates for it, if there are any.
+        Only languages that use the script of most of a word's letters are candidates for it, if there are any. No
+        language has ``unknown`` for each letter, so it wins where trigrams are rare in all of them, or their scripts new.
         """
         word, key, script = grams(words)
         n, k = len(words), len(self.langs)
@@ -85,6 +87,7 @@ class Model:
         main = np.bincount(word * kinds + script, minlength=n * kinds).reshape(n, kinds).argmax(1)
         allowed = self.scripts[main]
         s[~allowed & allowed.any(1)[:, None] & (letters > 0)[:, None]] = -np.inf
+        s = np.concatenate([s, (letters * self.unknown)[:, None]], 1)
         return np.maximum(s - s.max(1, keepdims=True), -CLIP), letters
 
 
@@ -97,7 +100,7 @@ class _Words(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.scores, self.letters = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64)
+        self.scores, self.letters = np.zeros((0, len(self.model.langs) + 1)), np.zeros(0, np.int64)
 
     def learn(self, texts: list[list[str]]) -> None:
         new = list({w for words in texts for w in words if w not in self})
@@ -187,15 +190,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", seed: str = "do
     a, v = 0.1, len(keys) + 1
     total = table.sum(0)
     scripts = (letters > 0) & (letters >= MIN_SCRIPT * letters.sum(0))
-    return Model(langs, keys, np.log((table + a) / (total + a * v)), np.log(a / (total + a * v)), scripts)
+    logs, floor = np.log((table + a) / (total + a * v)), np.log(a / (total + a * v))
+    own = (table * logs).sum(0) / np.maximum(total, 1)
+    unknown = float((own - np.minimum(MARGIN, (own - floor) / 2)).min()) if langs else 0.0
+    return Model(langs, keys, logs, floor, scripts, unknown)
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, lang_score and lang_spans to ``docs``.
 
-    lang_pred is the language with most letters in the labelled words, lang_score its share of the letters, lang_spans
-    the stretches of one language as (lang, start, end) in code points. ``und`` with score 0 and no spans stands for a
-    null text, a text without letters, or a model that has learned no language. Whole texts are read, however long.
+    lang_pred is the language with most letters in the labelled words, lang_score its share of all letters, lang_spans
+    the stretches of one language as (lang, start, end) in code points; stretches that no learned language claims are
+    ``und`` there. A text in which none claims a word gets the language that its words speak for most, with score 0.
+    Ties go to the first language by name. ``und`` with score 0 and no spans stands for a null text, a text without
+    letters, or a model that has learned no language. Whole texts are read, however long; repeated rows get equal results.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -238,15 +246,15 @@ def _one(m: Model, words: _Words, text: str | None, tokens: list[str]) -> dict:
     total = int(letters.sum())
     if not total:
         return none
-    path = viterbi(words.scores[rows])
-    first = path[0]
-    if (path == first).all():
-        return {"lang": m.langs[first], "score": 1.0, "spans": [{"lang": m.langs[first], "start": 0, "end": len(text)}]}
-    share = np.bincount(path, letters, len(m.langs))
-    best = int(share.argmax())
-    starts = [x.start() for x in re.finditer(r"\S+", text)]
+    scores = words.scores[rows]
+    path = viterbi(scores)
+    k = len(m.langs)
+    share = np.bincount(path, letters, k + 1)
+    best = int((share[:k] if share[:k].any() else scores[:, :k].sum(0)).argmax())
+    names = [*m.langs, UNKNOWN]
     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
-    spans = [{"lang": m.langs[path[a]], "start": starts[a] if a else 0, "end": starts[b] if b < len(path) else len(text)} for a, b in zip(cuts, cuts[1:])]
+    starts = [x.start() for x in re.finditer(r"\S+", text)] if len(cuts) > 2 else [0]
+    spans = [{"lang": names[path[a]], "start": starts[a] if a else 0, "end": starts[b] if b < len(path) else len(text)} for a, b in zip(cuts, cuts[1:])]
     return {"lang": m.langs[best], "score": float(share[best] / total), "spans": spans}
 
 
@@ -256,7 +264,8 @@ def identify(docs: DataFrame, training: Column, text: str = "text", lang: str =
 
 
 def kept(docs: DataFrame, training: Column, least: float = 0.3, **names: str) -> DataFrame:
-    """``docs`` without those that no language claims: ``und``, or less than ``least`` of the letters in one language."""
+    """``docs`` without those that no language claims: ``und``, or less than ``least`` of the letters in one language,
+    as in texts of a language that wasn't learned."""
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)
     return identify(docs, training, **names).filter(good).select(*docs.columns)
 
