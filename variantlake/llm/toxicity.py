@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, give_back, slices
-from .langid import grams
+from .langid import _tables, grams
 
 FIT_ROWS = 16_000  # expected bound of labelled rows that the weights are fitted on, taken by a hash of the row
 ALPHABET = 96  # letters that the character model tells apart, the most frequent ones; all others count as one
@@ -33,7 +34,6 @@ READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 READ, DROP, JOIN, INSIDE, AFTER, SHRINK, HALVE, DECORATION = 1.5, 2.5, 0.5, 3.0, 1.5, 1.0, 3.0, 3.0
 
 LETTERS = re.compile(r"[^\W\d_]+")
-ODD = re.compile(r"[0-9@$!|+€]|(?<=[^\W\d_])[^\w\s]+(?=[^\W\d_])|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?=[.,;:!?)]*(?!\S))")
 SPACE = re.compile(r"\s")
 EDGES = ".,;:!?()\"'"
@@ -120,11 +120,31 @@ def _trigrams(words: Counter) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(back, times[word], len(found)).astype(np.int64))], names=["key", "n"])
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """By code point: 1 a letter, 2 a character with a reading, 3 white space, 0 anything else."""
+    kinds = _tables()[0].astype(np.uint8)
+    kinds[[i for i in range(0x3001) if chr(i).isspace()]] = 3
+    kinds[[ord(c) for c in READINGS]] = 2
+    return kinds
+
+
+def odd_places(text: str) -> np.ndarray:
+    """Where a word may be disguised: a character with a reading, a sign inside a word, a letter for the third time."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    odd = kind == 2
+    if len(points) > 2:
+        odd[1:-1] |= (kind[1:-1] == 0) & (kind[2:] == 1) & (kind[:-2] != 3)
+        odd[2:] |= (kind[2:] == 1) & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
+    return np.flatnonzero(odd)
+
+
 class Decoder:
     """Finds the most probable words behind disguised ones, stretch by stretch."""
 
     def __init__(self, characters: Characters):
-        self.lm, self.seen = characters, {}
+        self.lm, self.seen, self.words = characters, {}, {}
 
     def text(self, text: str) -> str:
         """The text with its disguised words restored; everything else stays as it is.
@@ -133,25 +153,35 @@ class Decoder:
         and an odd place: a character with a reading, a sign between letters, or a letter three times.
         """
         spans = [m.span() for m in SPACED.finditer(text) if len(LETTERS.findall(m.group())) >= 2]
-        done, more, k = 0, [], 0
-        for m in ODD.finditer(text):
-            start = m.start()
-            if start < done:
-                continue
+        odd = odd_places(text)
+        done, more, i, k = 0, [], 0, 0
+        while i < len(odd):
+            start = int(odd[i])
             while k < len(spans) and spans[k][1] <= start:
                 k += 1
             if k < len(spans) and spans[k][0] <= start:
                 done = spans[k][1]
-                continue
-            end = SPACE.search(text, m.end())
-            end = end.start() if end else len(text)
-            while start > done and not text[start - 1].isspace():
-                start -= 1
-            done = end
-            more.append((start, end))
+            else:
+                end = SPACE.search(text, start)
+                end = end.start() if end else len(text)
+                while start > done and not text[start - 1].isspace():
+                    start -= 1
+                done = end
+                more.append((start, end))
+            i += 1
+            if i < len(odd) and odd[i] < done:
+                i = int(np.searchsorted(odd, done))
         out, at = [], 0
         for a, b in sorted(spans + more):
-            out += [text[at:a], self.word(text[a:b])]
+            word = text[a:b]
+            found = self.words.get(word)
+            if found is None:
+                found = self.word(word)
+                if len(word) <= NODES:
+                    if len(self.words) >= CACHE:
+                        self.words.clear()
+                    self.words[word] = found
+            out += [text[at:a], found]
             at = b
         return "".join(out) + text[at:] if out else text
 
@@ -160,19 +190,20 @@ class Decoder:
         if not LETTERS.search(word):
             return word
         nodes = [(m.group(), m.group()[0]) for m in re.finditer(r"(.)\1*", word, re.S)]
-        choices = [self._choices(i, nodes) for i in range(len(nodes))]
+        fixed = [len(run) == 1 and c.isalpha() for run, c in nodes]  # one reading
         out, a, b, i = [], 0, 0, 0
         while i < len(nodes):
-            if len(choices[i]) == 1 and len(choices[i][0][0]) == 1 and choices[i][0][0][0]:
-                out.append(choices[i][0][1])  # one reading: no search before the next open place
-                a, b, i = b, choices[i][0][0][0], i + 1
+            if fixed[i]:  # no search before the next open place
+                out.append(nodes[i][0])
+                a, b, i = b, self.lm.of(nodes[i][1].lower()[0]), i + 1
                 continue
-            j, fixed = i, 0
-            while j < len(nodes) and fixed < 2 and j - i < NODES:
-                fixed = fixed + 1 if len(choices[j]) == 1 and len(choices[j][0][0]) == 1 and choices[j][0][0][0] else 0
+            j, sure = i, 0
+            while j < len(nodes) and sure < 2 and j - i < NODES:
+                sure = sure + 1 if fixed[j] else 0
                 j += 1
-            picked, a, b = self._search(a, b, choices[i:j], j == len(nodes))
-            out += [c[k][1] for c, k in zip(choices[i:j], picked)]
+            choices = [self._choices(x, nodes) for x in range(i, j)]
+            picked, a, b = self._search(a, b, choices, j == len(nodes))
+            out += [c[x][1] for c, x in zip(choices, picked)]
             i = j
         return "".join(out)
 
