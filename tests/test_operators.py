@@ -196,8 +196,8 @@ def test_information(spark):
     assert rows(info.top_k_identifiability(g, "ind", "site", "v", [1])) == [(1, 2 / 3)]
 
 
-def test_uncorrelated_sites_beyond_the_first_block(spark):
-    # A hub whose 30 proxies fill the first blocks, then linked pairs: 10 hubs of 2, and one site without a score.
+def test_uncorrelated_sites_equal_the_greedy_loop(spark):
+    # A hub with 30 proxies, then linked pairs: 10 hubs of 2, and one site without a score.
     ranked = [("hub", 100.0)] + [(f"p{i:02d}", 99.0 - i) for i in range(30)] + [(f"q{i}", 20.0 - i // 2) for i in range(20)] + [("z", None)]
     near = [("hub", f"p{i:02d}") for i in range(30)] + [(f"q{i + 1}", f"q{i}") for i in range(0, 20, 2)]
     r, n = spark.createDataFrame(ranked, "site string, score double"), spark.createDataFrame(near, "site string, proxy string")
@@ -208,5 +208,18 @@ def test_uncorrelated_sites_beyond_the_first_block(spark):
             want.append(s)
     assert len(want) == 12
     for k in (3, 12, 50):
-        got = info.select_uncorrelated(r, n, k, limit=8).orderBy("rank").collect()
+        got = info.select_uncorrelated(r, n, k).orderBy("rank").collect()
         assert [x.site for x in got] == want[:k] and [x.rank for x in got] == list(range(1, len(got) + 1))
+    import random
+
+    rng = random.Random(2)
+    ranked = [(i, None if i % 17 == 0 else float(rng.randrange(12))) for i in range(150)]
+    near = [(rng.randrange(150), rng.randrange(160)) for _ in range(260)] + [(3, 3)]
+    linked, want = {frozenset(x) for x in near}, []
+    for s, _ in sorted(ranked, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])):
+        if all(frozenset((s, w)) not in linked for w in want):
+            want.append(s)
+    r, n = spark.createDataFrame(ranked, "site long, score double"), spark.createDataFrame(near, "site long, proxy long")
+    for k in (5, 150):
+        assert [x.site for x in info.select_uncorrelated(r, n, k).orderBy("rank").collect()] == want[:k]
+    assert info.select_uncorrelated(r.limit(0), n, 3).collect() == []

@@ -131,7 +131,7 @@ def test_history_summary_equals_the_join_of_all_versions(spark):
     assert rows(versions.number_by_date(spark.createDataFrame([("2021", 0), ("2020", 1)], "d string, x int"), "d"), "d", "name") == [("2020", 1), ("2021", 2)]
 
 
-def test_components_equal_plain_loops(spark, tmp_path):
+def test_components_equal_plain_loops(spark):
     import random
 
     rng = random.Random(3)
@@ -140,7 +140,6 @@ def test_components_equal_plain_loops(spark, tmp_path):
     for _ in range(100):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
     got = info.components(spark.createDataFrame(edges + [(None, "x"), ("p0", None)], "a string, b string"))
     assert {r.node: r.component for r in got.collect()} == least
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import ranges as X
+from .rounds import keeper
 
 TILE, FLANK = 1 << 14, 1 << 10  # bases of a sequence tile, and how far it reaches into its neighbours
 CELL = 1 << 14
@@ -79,9 +80,9 @@ def shift(df: DataFrame, sequence_tiles: DataFrame, right: Column, keep: Callabl
 
     Only pure insertions and deletions move; what lies in no sequence stays. An edit that reaches the edge of its tile
     goes on in the next one, in further rounds until all are done, so repeats may have any length. ``keep`` materialises
-    a round (a checkpoint by default).
+    a round (Parquet by default).
     """
-    keep = keep or (lambda d: d.checkpoint())
+    keep = keep or keeper(df.sparkSession)
     columns = df.columns
     t = sequence_tiles.withColumnRenamed("chrom", "_chrom")
     slid = F.arrow_udf(_slid, "struct<pos:long,ref:string,alt:string,done:boolean>")
@@ -158,13 +159,14 @@ def cdna_names(variants: DataFrame, segment_rows: DataFrame, sequence_tiles: Dat
     changed base in the coding sequence (of an insertion the base behind it), null outside exons; g_pos, g_ref and g_alt are
     the edit as moved, on the forward strand. Rows on no transcript are left out; no change (equal alleles) gives ``=``.
     """
+    keep = keep or keeper(variants.sparkSession)
     own = segment_rows.groupBy("transcript").agg(F.first("chrom").alias("_c"), F.first("strand").alias("strand"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
     v = trim(variants.withColumns({"_pos": F.col("pos"), "_ref": F.col("ref"), "_alt": F.col("alt")}))
     v = X.point_lookup(v, own.withColumnRenamed("_c", "chrom"), ["chrom"], "pos", "_lo", "_hi", width, "inner", closed=True).drop("_lo", "_hi")
     v = shift(v, sequence_tiles, F.col("strand") != "-", keep)
     v = v.withColumns({"g_pos": F.col("pos"), "g_ref": F.col("ref"), "g_alt": F.col("alt")})
     v = v.withColumns({"pos": F.col("_pos"), "ref": F.col("_ref"), "alt": F.col("_alt")}).drop("_pos", "_ref", "_alt").withColumn("_id", F.monotonically_increasing_id())
-    v = (keep or (lambda d: d.checkpoint()))(v)
+    v = keep(v)
     n, m = F.length("g_ref"), F.length("g_alt")
     inserted = n == 0
     plus = F.col("strand") != "-"

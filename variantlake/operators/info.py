@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rounds import keeper
+
 
 def frequencies(df: DataFrame, site: list[str], value: str) -> DataFrame:
     """site, value, n and share of the site's rows."""
@@ -62,75 +64,81 @@ def common_sites(df: DataFrame, site: list[str], share: str, least: float) -> Da
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataFrame:
-    """(node, component): the smallest node reachable over the edges.
-
-    Minimum labels pass along edges and labels jump to their own label, so a path of n nodes takes about log n rounds.
-    ``keep`` materialises a round (a checkpoint by default). Labels only fall, so equal sums of their hashes tell that a
-    round changed nothing.
+    """(node, component): the smallest node reachable over the edges. Loops, repeats and nulls are ignored but for a
+    node's own row.
+
+    The graph is contracted: each node points to its smallest neighbour if that is smaller, pointers are followed to their
+    ends by doubling, and edges between ends make the next graph, with at most half of the nodes, until none is left. Then
+    the pointers of all rounds are chained from the last to the first. Every step is a minimum by key or an equi-join with
+    one row per node on one side, which Spark can split where a node is hot. ``keep`` materialises a round (Parquet
+    by default).
     """
-    keep = keep or (lambda d: d.checkpoint())
-    both = keep(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x is not null and y is not null").distinct())
-    labels = keep(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")).select(F.col("x").alias("node"), F.col("m").alias("component")))
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(20,0)"))).first())
-    before = mark(labels)
-    while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("m"))
-        passed = labels.join(near, labels["node"] == near["x"]).select("node", F.least("component", "m").alias("c"))
-        jumped = passed.join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left")
-        new = keep(jumped.select("node", F.least("c", F.coalesce("cc", "c")).alias("component")))
-        after = mark(new)
-        if after == before:
-            return new
-        labels, before = new, after
-
-
-def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, limit: int = 5000) -> DataFrame:
-    """The k best sites of which none is a proxy of a better one taken.
-
-    Greedy selection is sequential, so it runs over blocks of the best ``limit`` sites by score, each in one grouped
-    task. The next block is of what comes after, without the proxies of all sites taken, until k are taken or no site
-    is left: at most k blocks, as the best site of each is always taken. The k sites pass through the driver.
+    keep = keep or keeper(edges.sparkSession)
+    present = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
+    loops = present.filter("u = v").select(F.col("u").alias("node"))
+    e = keep(present.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = []
+    while not e.isEmpty():
+        ends = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to"))
+        low = e.select(F.col("v").alias("node")).distinct()
+        one = low.join(ends, "node", "left").select("node", F.coalesce("to", "node").alias("to")).unionByName(ends.join(low, "node", "left_anti"))
+        points = keep(one)
+        while True:
+            near = points.select(F.col("node").alias("to"), F.col("to").alias("_further"))
+            jumped = keep(points.select("node", "to").join(near, "to").select("node", F.col("_further").alias("to"), (F.col("_further") != F.col("to")).alias("moved")))
+            points = jumped.select("node", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        rounds.append(points)
+        p = points.select(F.col("node").alias("u"), F.col("to").alias("_pu"))
+        q = points.select(F.col("node").alias("v"), F.col("to").alias("_pv"))
+        joined = e.join(p, "u").join(q, "v").select(F.greatest("_pu", "_pv").alias("u"), F.least("_pu", "_pv").alias("v"))
+        e = keep(joined.filter("u <> v").distinct())
+    if not rounds:
+        return loops.distinct().select("node", F.col("node").alias("component"))
+    last = rounds[-1].select("node", F.col("to").alias("component"))
+    for points in reversed(rounds[:-1]):
+        on = last.select(F.col("node").alias("to"), "component")
+        last = points.join(on, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    alone = loops.distinct().join(last.select("node"), "node", "left_anti")
+    return last.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, keep=None) -> DataFrame:
+    """The k best sites of which none is a proxy of a better one taken: rank, site. Null scores come last, ties go to the
+    smaller site.
+
+    This is the greedy answer, found in rounds over the whole graph instead of site by site: a site that outranks all its
+    remaining neighbours is taken, and its neighbours go. Rounds end when no site is left, or when k taken ones outrank
+    all that are left. A round is a maximum by site and two equi-joins; what is left shrinks, and no site is gathered with
+    all others. Chains of neighbours of falling rank take a round for each second site. ``keep`` materialises a round
+    (Parquet by default).
     """
-    spark = ranked.sparkSession
-    one = spark.createDataFrame([], ranked.select("site").schema).schema
-    taken: list = []
-    rest = ranked.select("site", "score")
-    while len(taken) < k:
-        block = rest.orderBy(F.desc("score"), "site").limit(limit).persist()
-        end = block.orderBy(F.asc("score"), F.desc("site")).first()
-        if end is None:
+    keep = keep or keeper(ranked.sparkSession)
+    sites = ranked.filter("site is not null").groupBy("site").agg(F.max("score").alias("score"))
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("low"), "site")  # smaller is better
+    left = keep(sites.select("site", place.alias("place")))
+    both = proxies.select(F.col("site").alias("x"), F.col("proxy").alias("y")).unionByName(proxies.select(F.col("proxy").alias("x"), F.col("site").alias("y"))).filter("x <> y").distinct()
+    own, other = left.select(F.col("site").alias("x"), F.col("place").alias("px")), left.select(F.col("site").alias("y"), F.col("place").alias("py"))
+    edges = keep(both.join(own, "x").join(other, "y"))
+    taken = None
+    while True:
+        beaten = edges.filter("py < px").select(F.col("x").alias("site")).distinct()
+        best = keep(left.join(beaten, "site", "left_anti"))
+        taken = best if taken is None else taken.unionByName(best)
+        gone = keep(edges.join(best.select(F.col("site").alias("y")), "y", "left_semi").select(F.col("x").alias("site")).unionByName(best.select("site")).distinct())
+        left = keep(left.join(gone, "site", "left_anti"))
+        first = left.agg(F.min("place")).first()[0]
+        if first is None or taken.filter(F.col("place") < F.lit(_literal(first))).limit(k).count() >= k:
             break
-        taken += [r["site"] for r in _pick(block, proxies, k - len(taken)).orderBy("rank").collect()]
-        block.unpersist()
-        s, t = F.lit(end["score"]), F.lit(end["site"])
-        later = (F.col("score").isNull() & (F.col("site") > t)) if end["score"] is None else (
-            (F.col("score") < s) | F.col("score").isNull() | ((F.col("score") == s) & (F.col("site") > t)))
-        mine = F.broadcast(spark.createDataFrame([(x,) for x in taken], one).withColumnRenamed("site", "_taken"))
-        banned = proxies.join(mine, F.col("proxy") == F.col("_taken")).select("site").unionByName(
-            proxies.join(mine, F.col("site") == F.col("_taken")).select(F.col("proxy").alias("site")))
-        rest = ranked.select("site", "score").filter(later).join(banned.distinct(), "site", "left_anti")
-    return spark.createDataFrame([(i, s) for i, s in enumerate(taken, 1)], f"rank int, site {one['site'].dataType.simpleString()}")
-
-
-def _pick(top: DataFrame, proxies: DataFrame, k: int) -> DataFrame:
-    pairs = proxies.join(top.select("site"), "site", "left_semi").join(top.select(F.col("site").alias("proxy")), "proxy", "left_semi")
-    listed = top.join(pairs.groupBy("site").agg(F.collect_set("proxy").alias("proxies")), "site", "left")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, banned = [], set()
-        near: dict = {}
-        for s, ps in zip(pdf["site"], pdf["proxies"]):
-            for p in ps if ps is not None else ():
-                near.setdefault(s, set()).add(p)
-                near.setdefault(p, set()).add(s)
-        for s in pdf.sort_values(["score", "site"], ascending=[False, True])["site"]:
-            if s not in banned and len(taken) < k:
-                taken.append(s)
-                banned |= near.get(s, set())
-        return pd.DataFrame({"rank": range(1, len(taken) + 1), "site": taken})
-
-    kind = top.schema["site"].dataType.simpleString()
-    return listed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pick, f"rank int, site {kind}")
+        still = left.select("site")
+        edges = keep(edges.join(still.withColumnRenamed("site", "x"), "x", "left_semi").join(still.withColumnRenamed("site", "y"), "y", "left_semi"))
+    top = taken.orderBy("place").limit(k)  # k rows, so one task numbers them
+    return top.select(F.row_number().over(W.orderBy("place")).alias("rank"), "site")
+
+
+def _literal(place) -> Column:
+    return F.struct(F.lit(place["none"]).alias("none"), F.lit(place["low"]).alias("low"), F.lit(place["site"]).alias("site"))
 
 
 def knapsack(items: DataFrame, capacity: int, most: int) -> DataFrame:

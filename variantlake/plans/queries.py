@@ -405,9 +405,13 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
 
 
-@query()  # a recursive statement over all pairs is too slow; tests compare small graphs with plain loops
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem),
+    l(node, component) USING KEY (node) AS (
+        SELECT node, node FROM (SELECT a AS node FROM e UNION SELECT b FROM e)
+        UNION SELECT x.node, min(l.component) FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e) x JOIN l ON l.node = x.other
+            JOIN recurring.l o ON o.node = x.node WHERE l.component < o.component GROUP BY x.node)
+    SELECT node, component FROM l""")
 def haplotype_components(spark, sf_dir):
-    spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark)) if not spark.sparkContext.getCheckpointDir() else None
     return I.components(_pairs(spark, sf_dir))
 
 
@@ -417,17 +421,17 @@ def knapsack(spark, sf_dir):
     return I.knapsack(items, 60, 6)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c),
+    d AS MATERIALIZED (SELECT user_id AS site, row_number() OVER (ORDER BY round(-sum(p * ln(p)), 9) DESC, user_id) AS place FROM p GROUP BY 1),
+    n AS MATERIALIZED (SELECT a.site, b.site AS better FROM d a JOIN d b ON abs(a.site - b.site) = 1 AND b.place < a.place),
+    s(site, status) USING KEY (site) AS (
+        SELECT site, CASE WHEN site IN (SELECT site FROM n) THEN 'open' ELSE 'taken' END FROM d
+        UNION SELECT o.site, CASE WHEN bool_or(b.status = 'taken') THEN 'gone' ELSE 'taken' END
+            FROM recurring.s o JOIN n ON n.site = o.site JOIN recurring.s b ON b.site = n.better
+            WHERE o.status = 'open' AND EXISTS (SELECT 1 FROM s) GROUP BY o.site HAVING bool_or(b.status = 'taken') OR bool_and(b.status = 'gone'))
+    SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS rank, site FROM s JOIN d USING (site) WHERE status = 'taken' ORDER BY place LIMIT 20""")
 def low_redundancy(spark, sf_dir):
     d = I.diversity(_t(spark, sf_dir, "events"), ["user_id"], "event_type").select(F.col("user_id").alias("site"), F.round("entropy", 9).alias("score"))
     near = d.select("site", (F.col("site") + 1).alias("proxy"))
     return I.select_uncorrelated(d, near, 20)
 
-
-def _checkpoint_dir(spark) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root or tempfile.mkdtemp(prefix="variantlake-")
