@@ -120,7 +120,7 @@ def test_release_diff_entries(spark):
     assert [tuple(e) for e in got["a"]["diff"]] == [("names", "list", ["r"], ["p"]), ("x", "individual", ["2"], ["1"])]
 
 
-COLS = search.SearchColumns("gene", "tx", "cdna", "prot", "short", "syn", "ca", "vr", ("scv",), ("coord", "bic"), ("hgvs",), ("gene", "tx", "cdna", "prot", "short", "coord", "bic"))
+COLS = search.SearchColumns("gene", "tx", "cdna", "prot", "short", "syn", "ca", "vr", ("scv", "scv2"), "bic", "coord", "hgvs", "coord37", "hgvs37", ("cls",))
 
 
 @pytest.mark.parametrize("term, kind", [("CA123", "registry"), ("ga4gh:VA.x", "digest"), ("NP_000050.2:p.Arg3", "protein"), ("BRCA1:c.5", "gene"), ("brca2 p.arg", "gene"), ("NM_000059.3 c.5", "transcript"), ("SCV000123456", "accession"), ("SCV1", "any"), ("chr13:5", "any")])
@@ -130,9 +130,9 @@ def test_terms(term, kind):
 
 
 def test_search_and_facets(spark):
-    s = "id int, gene string, tx string, cdna string, prot string, short string, syn string, ca string, vr string, scv string, coord string, bic string, hgvs string, f1 boolean, f2 boolean"
-    df = spark.createDataFrame([(1, "BRCA1", "NM_007294.3", "c.5A>T", "NP_1.1:p.(Arg3Cys)", "R3C", "old1,c.9del", "CA7", "v", "SCV000123456", "chr17:g.5", "124del", "NC:5", True, False),
-                                (2, "BRCA2", "NM_000059.3", "c.7A>T", "-", "-", "c.5A>T", "-", "-", "-", "chr13:g.7", "-", "NC:7", False, True), (3, "BRCA2", None, None, None, None, None, None, None, None, None, None, None, False, False)], s)
+    s = "id int, gene string, tx string, cdna string, prot string, short string, syn string, ca string, vr string, scv string, coord string, bic string, hgvs string, coord37 string, hgvs37 string, cls string, scv2 string, f1 boolean, f2 boolean"
+    df = spark.createDataFrame([(1, "BRCA1", "NM_007294.3", "c.5A>T", "NP_1.1:p.(Arg3Cys)", "R3C", "old1,c.9del", "CA7", "v", "SCV000123456", "chr17:g.5", "124del", "NC:5", "-", "-", "-", "-", True, False),
+                                (2, "BRCA2", "NM_000059.3", "c.7A>T", "-", "-", "c.5A>T", "-", "-", "-", "chr13:g.7", "-", "NC:7", "-", "-", "-", "-", False, True), (3, "BRCA2", *[None] * 15, False, False)], s)
     ids = lambda t: [r.id for r in search.search(df, t, COLS)[0].orderBy("id").collect()]
     counts = lambda t: tuple(search.search(df, t, COLS)[1].first())
     assert ids("c.5a>t") == [1, 2] and counts("c.5A>T") == (2, 1)

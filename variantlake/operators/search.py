@@ -24,9 +24,20 @@ def by_sources(df: DataFrame, flags: list[str], include: list[str], exclude: lis
     return df.filter(kept & T.all_of([~F.col(c) for c in exclude]))
 
 
+# How a filter's values are written in the data.
+SPELLINGS = {"Likely Benign": "Likely benign", "Likely Pathogenic": "Likely pathogenic"}
+
+
 def by_values(df: DataFrame, values: dict[str, str | int], exact: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Rows whose columns all start with the given values, case kept; ``exact`` columns must equal them."""
-    return df.filter(T.all_of([F.col(c) == v if c in exact else F.col(c).cast("string").startswith(str(v)) for c, v in values.items()]))
+    """Rows whose columns all start with the given values, case kept; ``exact`` columns must equal them. Values that the
+    data spell otherwise are respelled first, wherever they stand in a value."""
+    def spelled(v: str | int) -> str:
+        v = str(v)
+        for a, b in SPELLINGS.items():
+            v = v.replace(a, b)
+        return v
+
+    return df.filter(T.all_of([F.col(c) == v if c in exact else F.col(c).cast("string").startswith(spelled(v)) for c, v in values.items()]))
 
 
 def by_release(df: DataFrame, release: int | None, changes: list[str] | None = None, release_column: str = "release", change: str = "change_type", deleted: str = "deleted") -> tuple[DataFrame, Column]:
@@ -51,7 +62,7 @@ def mask(df: DataFrame, hide: Column, columns: list[str], value: str | None = ""
 
 @dataclass(frozen=True)
 class SearchColumns:
-    """The roles that columns play in a search."""
+    """The roles that columns play in a search. Columns of the older assembly find rows, but count as synonyms do."""
 
     gene: str
     transcript: str
@@ -62,10 +73,14 @@ class SearchColumns:
     registry: str
     digest: str
     accessions: tuple[str, ...]
-    starts: tuple[str, ...]  # coordinates and names that a term must begin
-    genomic: tuple[str, ...]  # full genomic names, which a term must begin
-    shown: tuple[str, ...]  # columns whose hits do not count as synonym hits
+    designation: str  # the older nomenclature
+    coordinates: str
+    genomic: str  # full genomic names
+    older_coordinates: str
+    older_genomic: str
+    also: tuple[str, ...] = ()  # searched by terms without a prefix only, as classifications are
     genes: tuple[str, ...] = ("brca1", "brca2")
+    sequences: tuple[str, ...] = ("chr17:", "chr13:", "nc_000013.11:", "nc_000017.11:", "nc_000013.10:", "nc_000017.10:")
 
 
 @dataclass(frozen=True)
@@ -77,33 +92,36 @@ class Term:
 
 
 def classify(term: str, cols: SearchColumns) -> Term:
-    """What a search term is; the first that fits of registry id, digest, protein, gene, transcript, accession, any."""
-    t = term.replace("\x00", "").strip().lower()
-    if re.match(r"(chr(13|17)|nc_0000(13|17)\.\d+):", t) and "g." not in t:
-        t = t.replace(":", ":g.", 1)
+    """What a search term is; the first that fits of registry id, digest, protein, gene, transcript, accession, any.
+
+    Coordinates anywhere in the term may lack ``g.``; where a term has none, it is added behind the sequence's name.
+    """
+    t = term.lower().strip().replace("\x00", "")
     if t.startswith("ca"):
         return Term("registry", "", t, t)
     if t.startswith("ga4gh"):
         return Term("digest", "", t, t)
-    if m := re.match(r"(np_\d{6}\.\d)[: ](.*)$", t):
-        return Term("protein", m[1], T.open_protein(m[2].strip()), t)
+    for name in cols.sequences:
+        if "g." not in t:
+            t = t.replace(name, name + "g.")
+    if re.match(r"np_[0-9]{6}.[0-9][: ]", t):
+        return Term("protein", t[:11], T.open_protein(t[12:]), t)
     for g in cols.genes:
         if t.startswith((g + ":", g + " ")):
-            return Term("gene", g, T.open_protein(t[len(g) + 1:].strip()), t)
-    if m := re.match(r"(nm_\d{6}\.\d)[: ](.*)$", t):
-        return Term("transcript", m[1], T.open_protein(m[2].strip()), t)
+            return Term("gene", g, T.open_protein(t[len(g) + 1:]), t)
+    if re.match(r"nm_[0-9]{6}.[0-9][: ]", t):
+        return Term("transcript", t[:11], t[12:], t)
     if t.startswith("scv") and len(t) >= 12:
         return Term("accession", "", t, t)
-    return Term("any", "", T.open_protein(t), t)
+    return Term("any", "", t, t)
 
 
 def predicates(term: Term, c: SearchColumns) -> tuple[Column, Column]:
-    """Which rows match, and which match without synonyms (all cases ignored)."""
-    low = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
-    has = lambda name, s: low(name).contains(s)
-    begins = lambda name, s: low(name).startswith(s)
-    in_synonyms = lambda s: begins(c.synonyms, s) | has(c.synonyms, "," + s) | has(c.synonyms, ":" + s)
-    s = term.rest
+    """Which rows match, and which of them count as found without synonyms (all cases ignored; nulls match nothing)."""
+    has = lambda name, s: F.coalesce(F.lower(F.col(name)).contains(s), F.lit(False))
+    begins = lambda name, s: F.coalesce(F.lower(F.col(name)).startswith(s), F.lit(False))
+    s, whole = term.rest, term.whole
+    listed = has(c.synonyms, "," + s) | begins(c.synonyms, s)
     if term.kind in ("registry", "digest"):
         hit = has(c.registry if term.kind == "registry" else c.digest, s)
         return hit, hit
@@ -111,22 +129,25 @@ def predicates(term: Term, c: SearchColumns) -> tuple[Column, Column]:
         hit = T.any_of([has(a, s) for a in c.accessions])
         return hit, hit
     if term.kind == "protein":
-        bare = s[3:] if s.startswith("p.(") else s
-        named = begins(c.protein, term.prefix) & (begins(c.protein_short, bare) | has(c.protein, s) | in_synonyms(s))
-        hit = named | has(c.protein, term.whole) | has(c.synonyms, term.whole)
-        return hit, hit & (begins(c.protein_short, bare) | has(c.protein, s))
+        named = begins(c.protein, term.prefix) & (begins(c.protein_short, s) | has(c.protein, s) | listed)
+        hit = named | has(c.protein, whole) | has(c.synonyms, whole)
+        return hit, (hit & begins(c.protein_short, s)) | has(c.protein, whole)
     if term.kind in ("gene", "transcript"):
-        own = low(c.gene if term.kind == "gene" else c.transcript) == term.prefix
-        shown = has(c.cdna, s) | T.any_of([begins(x, s) for x in (*c.starts, *c.genomic, c.protein_short)])
+        own = F.coalesce(F.lower(F.col(c.gene if term.kind == "gene" else c.transcript)) == term.prefix, F.lit(False))
+        shown = has(c.cdna, s) | T.any_of([begins(x, s) for x in (c.coordinates, c.genomic, c.designation)])
         if term.kind == "gene":
-            shown = shown | has(c.protein, s)
-        return (own & (shown | in_synonyms(s))) | has(c.synonyms, term.whole), own & shown
-    shown = T.any_of([has(x, s) for x in c.shown]) | T.any_of([begins(x, s) for x in c.genomic])
-    return shown | has(c.synonyms, s), shown
+            shown = shown | has(c.protein, s) | begins(c.protein_short, s)
+            listed = listed | has(c.synonyms, ":" + s)
+        older = begins(c.older_coordinates, s) | begins(c.older_genomic, s)
+        hit = (own & (shown | older | listed)) | has(c.synonyms, whole)
+        return hit, hit & shown
+    shown = T.any_of([has(x, s) for x in (*c.also, c.coordinates, c.gene, c.cdna, c.designation, c.protein, c.protein_short)]) | begins(c.genomic, s)
+    return shown | has(c.older_coordinates, s) | begins(c.older_genomic, s) | has(c.synonyms, s), shown
 
 
 def search(df: DataFrame, term: str, cols: SearchColumns) -> tuple[DataFrame, DataFrame]:
-    """Matching rows, and one row with ``count`` and ``synonyms_count`` (hits that only a synonym explains)."""
+    """Matching rows, and one row with ``count`` and ``synonyms_count`` (hits that only a synonym or the older assembly
+    explains)."""
     hit, shown = predicates(classify(term, cols), cols)
     found = df.filter(hit)
     return found, df.agg(F.count_if(hit).alias("count"), (F.count_if(hit) - F.count_if(hit & shown)).alias("synonyms_count"))

@@ -313,8 +313,8 @@ def facet_filter_or_and(spark, sf_dir):
     return S.by_values(S.by_sources(p, ["small", "big", "economy"], ["small", "big"], ["economy"]), {"p_brand": "Brand#1"}).select("p_partkey")
 
 
-_PART = S.SearchColumns(gene="p_type", transcript="p_brand", cdna="p_name", protein="p_name", protein_short="p_type", synonyms="p_brand", registry="p_brand", digest="p_brand",
-                        accessions=("p_name",), starts=("p_type",), genomic=("p_type",), shown=("p_name", "p_type"), genes=("economy", "standard"))
+_PART = S.SearchColumns(gene="p_type", transcript="p_brand", cdna="p_name", protein="p_name", protein_short="p_type", synonyms="p_brand", registry="p_brand", digest="p_brand", accessions=("p_name",),
+                        designation="p_type", coordinates="p_name", genomic="p_type", older_coordinates="p_brand", older_genomic="p_brand", genes=("economy", "standard"))
 
 
 @query("""SELECT count(*) FILTER (p_name ILIKE '%ring%' OR p_type ILIKE '%ring%' OR starts_with(lower(p_brand), 'ring') OR p_brand ILIKE '%,ring%' OR p_brand ILIKE '%:ring%' OR p_brand ILIKE '%ring%') AS count,
