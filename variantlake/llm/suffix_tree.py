@@ -67,113 +67,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """Frequent words with their base scores, and in one process the states that ``fit`` finds with DataFrames.
-
-    States are sorted arrays. Symbols are numbers by falling count; -1 is any other word, ``begin`` the start of a text. A context of d symbols
-    has a key in which the last symbol is the lowest digit. A transition's key is its state's number and the symbol.
-    """
+class Words:
+    """Frequent words, numbered by falling count, with their base scores."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.number = {w: i for i, w in enumerate(words)}
         self.total, self.distinct = total, distinct
         self.base = np.log10((counts + 1) / (total + distinct + 1)) if len(words) else np.zeros(0)
-        self.symbols = int((counts >= MIN_NEXT).sum())
-        self.begin, self.radix = self.symbols, self.symbols + 1
-        self.levels: list[dict] = []
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def small(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.symbols, ids, -1)
-
-    def contexts(self, small: np.ndarray, depth: int) -> np.ndarray:
-        """For each position the key of the ``depth`` symbols before it, or -1 where one of them is no symbol."""
-        n = len(small)
-        padded = np.concatenate([np.full(depth, -1), small])
-        padded[depth - 1] = self.begin
-        key, ok = np.zeros(n, np.int64), np.ones(n, bool)
-        for d in range(depth, 0, -1):
-            part = padded[depth - d:depth - d + n]
-            ok &= part >= 0
-            key = key * self.radix + part
-        return np.where(ok, key, -1)
-
-    def states(self, small: np.ndarray, level: int) -> np.ndarray:
-        keys = self.levels[level]["keys"]
-        c = self.contexts(small, level + 1)
-        if not len(keys):
-            return np.full(len(c), -1)
-        i = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-        return np.where(keys[i] == c, i, -1)
-
-    def score(self, ids: np.ndarray) -> tuple[float, float]:
-        """log10 of the text without what words outside the table add: by the base and by the longest states."""
-        own = np.where(ids >= 0, self.base[ids] if len(self.base) else 0.0, 0.0)
-        return float(own.sum()), float(self.apply(ids, own).sum())
-
-    def apply(self, ids: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        small = self.small(ids)
-        for level, t in enumerate(self.levels):
-            s = self.states(small, level)
-            at = np.flatnonzero(s >= 0)
-            if not len(at):
-                continue
-            lp = lp.copy()
-            lp[at] += t["backoff"][s[at]]
-            if len(t["next"]):
-                key = s[at] * self.radix + small[at]
-                i = np.minimum(np.searchsorted(t["next"], key), len(t["next"]) - 1)
-                hit = (t["next"][i] == key) & (small[at] >= 0)
-                lp[at[hit]] = t["logs"][i[hit]]
-        return lp
-
-    def grow(self, rows: list[tuple[int, int, int]], totals: dict[int, int]) -> None:
-        """Adds the states of the next depth, from counts by (context, symbol) and each context's own count."""
-        depth = len(self.levels) + 1
-        by: dict[int, list[tuple[int, int]]] = {}
-        for c, x, n in rows:
-            by.setdefault(c, []).append((x, n))
-        keys, backoff, nexts, logs = [], [], [], []
-        for c in sorted(totals):
-            pairs = sorted(by.get(c, []))
-            if not pairs:
-                continue
-            digits, k = [], c
-            for _ in range(depth):
-                digits.append(k % self.radix)
-                k //= self.radix
-            history = np.array(digits[::-1])
-            x = np.array([p[0] for p in pairs])
-            n = np.array([p[1] for p in pairs], float)
-            below = 10 ** self._suffix(history, x)
-            p = (n + SMOOTH * below) / (totals[c] + SMOOTH)
-            rest, rest_below = max(1 - p.sum(), 1e-9), max(1 - below.sum(), 1e-9)
-            if totals[c] * ((p * np.log(p / below)).sum() + rest * np.log(rest / rest_below)) < DIVERGE:
-                continue
-            keys.append(c)
-            backoff.append(np.log10(rest / rest_below))
-            nexts.append((len(keys) - 1) * self.radix + x)
-            logs.append(np.log10(p))
-        cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        self.levels.append({"keys": np.array(keys, np.int64), "backoff": np.array(backoff), "next": cat(nexts, np.int64), "logs": cat(logs, float)})
-
-    def _suffix(self, history: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """log10 of each symbol after the longest kept state that is shorter than ``history``."""
-        lp = self.base[x]
-        for level, t in enumerate(self.levels):
-            c = 0
-            for h in history[len(history) - level - 1:]:
-                c = c * self.radix + int(h)
-            i = int(np.searchsorted(t["keys"], c))
-            if i < len(t["keys"]) and t["keys"][i] == c:
-                key = i * self.radix + x
-                j = np.minimum(np.searchsorted(t["next"], key), max(0, len(t["next"]) - 1))
-                lp = np.where(t["next"][j] == key, t["logs"][j], lp + t["backoff"][i])
-        return lp
-
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -306,7 +211,7 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) ->
     return texts.mapInArrow(count, "d int, c long, s long, n long").groupBy("d", "c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_NEXT)
 
 
-def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, DataFrame, np.ndarray]:
+def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, DataFrame, np.ndarray]:
     """Fits on all ``texts`` (one text column) given their word counts: frequent words, (g, v, n) of all n-grams that
     have a value, and a filter of all n-grams that were counted: what begins and what ends an n-gram with a value is in it.
 
@@ -328,7 +233,7 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Tree, Dat
     total, distinct = int(totals[0] or 0), int(totals[1])
     top = counts.filter(F.col("n") >= FREQUENT * total).collect()  # at most 1 / FREQUENT rows
     top = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda x: (-x[1], x[0]))
-    tree = Tree([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
+    tree = Words([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
     level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
     begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
     values, kept, known = [], [], [level.select("g"), begin.select("g")]
@@ -414,7 +319,9 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     columns are ignored.
 
     Frequent words and n-grams are scored in the tasks from tables. Each other word or n-gram of a document meets its
-    count or value in an equi-join; by their definition none makes up more than FREQUENT or TABLE of the tokens.
+    count or value in an equi-join. None of those makes up more than FREQUENT or TABLE of the training tokens; one that
+    training lacks and other texts repeat can be hot, as its word passes no filter: there Spark's own splitting of skewed
+    joins helps, as the sums by row come after another shuffle.
     """
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
