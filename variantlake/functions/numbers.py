@@ -98,3 +98,39 @@ def site_score_udf(table: dict[str, np.ndarray], background: float = 0.25, decim
         return seqs.map(one, na_action="ignore").astype("float64")
 
     return score
+
+
+def window_score_udf(length: int, factors: list[tuple[tuple[int, ...], np.ndarray, int]], fixed: dict[int, dict[str, float]] | None = None, decimals: int = 2):
+    """A vectorised scorer of sequences of ``length`` bases by overlapping sub-windows: log2 of a product of table values.
+
+    A factor is (positions, table, power): the bases at the positions, read as a number of base 4 (A, C, G, T), choose a
+    value of the table, which counts with the power: 1, or -1 where windows overlap and the shared part is taken out.
+    ``fixed`` gives positions with factors by base, such as a consensus over its background. Tables are arguments, as
+    published ones carry licences of their own. Sequences that are null, of another length or hold other letters get
+    NULL; case doesn't count.
+    """
+    code = np.full(256, -1, np.int64)
+    code[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
+    logs = [(np.array(p), np.log2(np.asarray(t, float)) * power) for p, t, power in factors]
+    for p, t, _ in factors:
+        if len(t) != 4 ** len(p):
+            raise ValueError("a table has one value for each word of its positions")
+    single = [(p, np.log2([t[c] for c in "ACGT"])) for p, t in (fixed or {}).items()]
+
+    @F.pandas_udf("double")
+    def score(seqs: pd.Series) -> pd.Series:
+        out = np.full(len(seqs), np.nan)
+        fits = np.flatnonzero([isinstance(s, str) and len(s) == length and s.isascii() for s in seqs])
+        if len(fits):
+            x = code[np.frombuffer("".join(seqs.iloc[fits]).encode(), np.uint8)].reshape(-1, length)
+            ok = (x >= 0).all(1)
+            fits, x = fits[ok], x[ok]
+            total = np.zeros(len(x))
+            for p, t in logs:
+                total += t[x[:, p] @ (4 ** np.arange(len(p) - 1, -1, -1))]
+            for p, t in single:
+                total += t[x[:, p]]
+            out[fits] = np.round(total, decimals)
+        return pd.Series(out).astype("float64").where(~np.isnan(out), None).astype("Float64")
+
+    return score

@@ -37,15 +37,6 @@ def unscored(df: DataFrame, scored: DataFrame, on: list[str], batch: int | None
     return left.orderBy(*on).limit(batch) if batch else left
 
 
-def score_until_done(df: DataFrame, scored: DataFrame, on: list[str], score, batch: int, keep) -> DataFrame:
-    """Scores what has no score, batch by batch, until none is left. ``keep`` materialises the scores after a batch."""
-    while True:
-        todo = unscored(df, scored, on, batch)
-        if todo.isEmpty():
-            return scored
-        scored = keep(scored.unionByName(score(todo)))
-
-
 def must_exist(df: DataFrame, lookup: DataFrame, on: list[str], column: str) -> DataFrame:
     """A left join in which every row must find its value: a miss fails the job."""
     out = df.join(lookup.select(*on, column).dropDuplicates(on), on, "left")
