@@ -119,7 +119,7 @@ def test_window_scores_equal_plain_products(spark):
     fixed = {18: dict(zip("ACGT", (0.9, 0.01, 0.02, 0.03))), 19: dict(zip("ACGT", (0.02, 0.01, 0.95, 0.01)))}
     r = random.Random(4)
     seqs = ["".join(r.choice("ACGT") for _ in range(23)) for _ in range(60)] + ["acgt" * 5 + "acg", "ACG", None, "N" * 23, "", "é" * 23]
-    got = spark.createDataFrame(list(enumerate(seqs)), "i int, s string").select("i", numbers.window_score_udf(23, factors, fixed)("s").alias("x")).collect()
+    got = spark.createDataFrame(list(enumerate(seqs)), "i int, s string").select("i", numbers.score_udf(numbers.WindowScorer(23, factors, fixed))("s").alias("x")).collect()
 
     def plain(s):
         if s is None or len(s) != 23 or set(s.upper()) - set("ACGT"):
@@ -138,4 +138,4 @@ def test_window_scores_equal_plain_products(spark):
         want = plain(seqs[x.i])
         assert x.x is None if want is None else abs(x.x - want) <= 0.005 + 1e-9
     with pytest.raises(ValueError):
-        numbers.window_score_udf(3, [((0, 1), np.ones(15), 1)])
+        numbers.WindowScorer(3, [((0, 1), np.ones(15), 1)])

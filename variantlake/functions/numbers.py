@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -100,37 +101,53 @@ def site_score_udf(table: dict[str, np.ndarray], background: float = 0.25, decim
     return score
 
 
-def window_score_udf(length: int, factors: list[tuple[tuple[int, ...], np.ndarray, int]], fixed: dict[int, dict[str, float]] | None = None, decimals: int = 2):
-    """A vectorised scorer of sequences of ``length`` bases by overlapping sub-windows: log2 of a product of table values.
+class WindowScorer:
+    """Scores of sequences of ``length`` bases by overlapping sub-windows: log2 of a product of table values.
 
     A factor is (positions, table, power): the bases at the positions, read as a number of base 4 (A, C, G, T), choose a
     value of the table, which counts with the power: 1, or -1 where windows overlap and the shared part is taken out.
     ``fixed`` gives positions with factors by base, such as a consensus over its background. Tables are arguments, as
-    published ones carry licences of their own. Sequences that are null, of another length or hold other letters get
-    NULL; case doesn't count.
+    published ones carry licences of their own. Sequences that are null, of another length or hold other letters get no
+    score; case doesn't count.
     """
-    code = np.full(256, -1, np.int64)
-    code[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
-    logs = [(np.array(p), np.log2(np.asarray(t, float)) * power) for p, t, power in factors]
-    for p, t, _ in factors:
-        if len(t) != 4 ** len(p):
-            raise ValueError("a table has one value for each word of its positions")
-    single = [(p, np.log2([t[c] for c in "ACGT"])) for p, t in (fixed or {}).items()]
 
-    @F.pandas_udf("double")
-    def score(seqs: pd.Series) -> pd.Series:
+    def __init__(self, length: int, factors: list[tuple[tuple[int, ...], np.ndarray, int]], fixed: dict[int, dict[str, float]] | None = None, decimals: int = 2):
+        for p, t, _ in factors:
+            if len(t) != 4 ** len(p):
+                raise ValueError("a table has one value for each word of its positions")
+        self.length, self.decimals = length, decimals
+        self.logs = [(np.array(p), np.log2(np.asarray(t, float)) * power) for p, t, power in factors]
+        self.single = [(p, np.log2([t[c] for c in "ACGT"])) for p, t in (fixed or {}).items()]
+        self.code = np.full(256, -1, np.int64)
+        self.code[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
+
+    def __call__(self, seqs: list[str | None]) -> np.ndarray:
+        """NaN stands for no score."""
         out = np.full(len(seqs), np.nan)
-        fits = np.flatnonzero([isinstance(s, str) and len(s) == length and s.isascii() for s in seqs])
+        fits = np.flatnonzero([isinstance(s, str) and len(s) == self.length and s.isascii() for s in seqs])
         if len(fits):
-            x = code[np.frombuffer("".join(seqs.iloc[fits]).encode(), np.uint8)].reshape(-1, length)
+            x = self.code[np.frombuffer("".join(seqs[i] for i in fits).encode(), np.uint8)].reshape(-1, self.length)
             ok = (x >= 0).all(1)
             fits, x = fits[ok], x[ok]
             total = np.zeros(len(x))
-            for p, t in logs:
+            for p, t in self.logs:
                 total += t[x[:, p] @ (4 ** np.arange(len(p) - 1, -1, -1))]
-            for p, t in single:
+            for p, t in self.single:
                 total += t[x[:, p]]
-            out[fits] = np.round(total, decimals)
-        return pd.Series(out).astype("float64").where(~np.isnan(out), None).astype("Float64")
+            out[fits] = np.round(total, self.decimals)
+        return out
 
-    return score
+
+def score_udf(scorer):
+    """A column function from a sequence to its score, by a function from lists of sequences to arrays; NaN becomes NULL."""
+    return F.arrow_udf(lambda seqs: pa.array(scorer(seqs.to_pylist()), from_pandas=True), "double")
+
+
+def array_score_udf(scorer):
+    """The same from an array of sequences to the array of their scores, all sequences of a batch in one call."""
+    def score(lists: pa.Array) -> pa.Array:
+        flat = pa.array(scorer(lists.flatten().to_pylist()), pa.float64(), from_pandas=True)
+        offsets = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists.to_pylist()])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+    return F.arrow_udf(score, "array<double>")

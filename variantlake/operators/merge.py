@@ -129,7 +129,7 @@ def equivalence_key(df: DataFrame, regions: DataFrame, work_columns: tuple[str,
     """
     chrom, pos, ref, alt = work_columns
     r = regions.select(F.col("chrom").alias("_chrom"), "seq", "seq_start", (F.col("seq_start") + F.length("seq")).alias("seq_end"))
-    m = df.join(F.broadcast(r), (F.col(chrom) == F.col("_chrom")) & (F.col(pos) >= F.col("seq_start")) & (F.col(pos) < F.col("seq_end")), "left")
+    m = df.join(r, (F.col(chrom) == F.col("_chrom")) & (F.col(pos) >= F.col("seq_start")) & (F.col(pos) < F.col("seq_end")), "left")
     # Without common ends: suffix first, here down to nothing.
     k = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(ref), F.length(alt))), lambda n: F.right(F.col(ref), n) == F.right(F.col(alt), n)))
     m = m.withColumn("_k", k)
