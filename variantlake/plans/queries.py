@@ -139,6 +139,16 @@ def combine_submissions(spark, sf_dir):
     return G.combine_submissions(o, ["o_custkey"], ["total"])
 
 
+@query("""WITH d AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus),
+    f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS n FROM d GROUP BY ALL), g AS (SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY n) AS flags FROM f GROUP BY 1)
+    SELECT l_orderkey, arg_min(l_suppkey, l_linenumber) AS supplier, any_value(flags) AS flags FROM d JOIN g USING (l_orderkey) GROUP BY 1""")
+def upsert_lists(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").repartition("l_orderkey")  # serves the rows of a line and those of an order
+    one = V.current_version(li, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_linestatus")])
+    u = G.upsert(one.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("supplier"), F.array("l_returnflag").alias("flags")), ["l_orderkey"], "l_linenumber", ["supplier"])
+    return u.select("l_orderkey", "supplier", F.array_join("flags", ",").alias("flags"))
+
+
 # -- intervals -----------------------------------------------------------------------------------------------------
 
 def _brackets(spark) -> DataFrame:
@@ -192,14 +202,15 @@ def nearest_before(spark, sf_dir):
     return n.select("event_id", F.col("before.view_id").alias("view_id"))
 
 
-@query("""WITH a AS (SELECT l_suppkey AS k, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-    b AS (SELECT l_suppkey AS k, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-    SELECT k, round(coalesce((a.m * a.d + b.m * b.d) / (a.d + b.d), a.m, b.m), 6) AS mean FROM a FULL JOIN b USING (k)""")
+@query("""WITH a AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+    b AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS m, count(*) AS d FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)
+    SELECT l_partkey, l_suppkey, round(coalesce((a.m * a.d + b.m * b.d) / (a.d + b.d), a.m, b.m), 6) AS mean FROM a FULL JOIN b USING (l_partkey, l_suppkey)""")
 def full_outer_weighted_mean(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    agg = lambda d: d.groupBy(F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("depth"))
-    w = E.weighted_coverage(agg(li.filter("l_returnflag = 'R'")), agg(li.filter("l_returnflag = 'A'")), ["k"])
-    return w.select("k", F.round("mean", 6).alias("mean"))
+    # Many pairs of part and supplier have rows with one of the flags only, so both outer parts are there.
+    li, k = _t(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"]
+    agg = lambda d: d.groupBy(*k).agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("depth"))
+    w = E.weighted_coverage(agg(li.filter("l_returnflag = 'R'")), agg(li.filter("l_returnflag = 'A'")), k)
+    return w.select(*k, F.round("mean", 6).alias("mean"))
 
 
 # -- annotation ----------------------------------------------------------------------------------------------------
@@ -267,6 +278,47 @@ def subset_by_source(spark, sf_dir):
     return E.without_sources(e, ["click", "view"], "sources")
 
 
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d %B %Y') AS shown, strftime(o_orderdate, '%B %Y') AS release, o_orderdate >= TIMESTAMP '1996-07-01' AS recent,
+    CASE WHEN o_orderpriority = '1-URGENT' AND o_orderdate < TIMESTAMP '1997-01-01' OR o_orderpriority = '2-HIGH' AND o_orderdate < TIMESTAMP '1995-01-01' THEN NULL ELSE o_orderstatus END AS status FROM orders""")
+def date_forms(spark, sf_dir):
+    from ..functions import dates as D2
+
+    day, text = F.col("o_orderdate").cast("timestamp"), F.date_format("o_orderdate", "MMMM d, yyyy")
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", D2.iso_date(text).alias("iso"), D2.display_date(text).alias("shown"), D2.release_date(text).alias("release"), D2.since(day, "1996-07-01").alias("recent"),
+        D2.hide_before(F.col("o_orderstatus"), F.col("o_orderpriority"), day, {"1-URGENT": "1997-01-01", "2-HIGH": "1995-01-01"}).alias("status"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - 25) / 14, 9) AS z, l_tax = l_discount OR abs(l_tax - l_discount) <= greatest(greatest(abs(l_tax), abs(l_discount)) * 0.25, 0.005) AS near,
+    l_quantity = l_linenumber AS same, greatest(l_quantity / 100, l_discount) AS most FROM lineitem""")
+def number_forms(spark, sf_dir):
+    q, t, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(M.z_score(q, 25.0, 14.0), 9).alias("z"), M.close(t, d, 0.25, 0.005).alias("near"),
+        M.same_value(q.cast("string"), F.col("l_linenumber").cast("string")).alias("same"), M.greatest_number((q / 100).cast("string"), d.cast("string")).alias("most"))
+
+
+@query("""SELECT p_partkey, CAST(least(length(p_name), length(p_type)) AS INTEGER) AS changed, CAST(length(p_name) - least(length(p_name), length(p_type)) AS INTEGER) AS deleted, CAST(length(p_type) - least(length(p_name), length(p_type)) AS INTEGER) AS inserted,
+    CASE WHEN length(p_name) = 1 AND length(p_type) = 1 THEN 'substitution' WHEN length(p_name) = 1 AND length(p_type) > 1 AND left(p_type, 1) = p_name THEN 'insertion' WHEN length(p_type) = 1 AND length(p_name) > 1 AND left(p_name, 1) = p_type THEN 'deletion' ELSE 'delins' END AS kind,
+    regexp_full_match(upper(p_name), '[ACTGNRY]+') AS bases FROM part""")
+def change_sizes(spark, sf_dir):
+    from ..operators import splice as P
+
+    n, t = F.col("p_name"), F.col("p_type")
+    return _t(spark, sf_dir, "part").select("p_partkey", *[c.alias(k) for k, c in M.change_size(n, t).items()], P.variant_type(n, t).alias("kind"), T.sequence_only(F.upper(n)).alias("bases"))
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_quantity) >= 20")
+def common_sites(spark, sf_dir):
+    return I.common_sites(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", 20.0)
+
+
+@query("""SELECT p_partkey AS site, coalesce(round(avg(l_discount), 9), 0.0) AS mean_r2, count(l_discount) > 0 AS found FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) ON l_partkey = p_partkey GROUP BY 1""")
+def linkage(spark, sf_dir):
+    near = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("site"), F.col("l_discount").alias("r2"))
+    return I.linkage(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("site")), near).select("site", F.round("mean_r2", 9).alias("mean_r2"), "found")
+
+
 # -- comparison ----------------------------------------------------------------------------------------------------
 
 @query("""WITH o AS (SELECT c_custkey, c_mktsegment AS seg, c_acctbal AS bal, c_name AS name FROM customer WHERE c_acctbal >= 0),
