@@ -39,6 +39,15 @@ def test_one_member_per_record_and_broken_archives():
         warc.parse_record(gzip.decompress(data)[:-9])
 
 
+def test_archives_cut_between_members_are_found(spark, tmp_path):
+    parts = [warc.encode_record("response", f"<urn:page:{i}>", "u", "d", b"p" * i, hashlib.sha1(b"p" * i).hexdigest(), None, i) for i in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts[:2]))
+    paths = lambda n: spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", n)], "path string, records long")
+    assert warc.read_archives(paths(2)).count() == warc.read_archives(paths(None)).count() == 2
+    with pytest.raises(Exception, match="2 records, not 3"):
+        warc.read_archives(paths(3)).count()
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -103,7 +103,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 out = None
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for a in range(0, len(batch), 64) for r in batch.slice(a, 64).to_pylist()):
                 if out is None:
                     name, held, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open(name, "w")
@@ -121,10 +121,11 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(paths: DataFrame, with_content: bool = True) -> DataFrame:
-    """Reads each archive named in ``paths.path`` record by record: RECORD's columns.
+    """Reads each archive named in ``paths`` (path, records) record by record: RECORD's columns.
 
     ``digest_ok`` tells whether the block digest, and for responses the payload digest, match what was read. A broken
-    member, header or length raises. ``with_content`` off returns null content, for checks that need no payloads.
+    member, header or length raises, and so does an archive with more or fewer records than ``records`` says (null: not
+    known), as one cut between two members would have. ``with_content`` off returns null content, for checks that need no payloads.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +133,11 @@ def read_archives(paths: DataFrame, with_content: bool = True) -> DataFrame:
         kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         rows, held = [], 0
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                found = 0
                 with _open(path, "r") as f:
                     for raw in members(f):
+                        found += 1
                         h, block = parse_record(raw)
                         payload = block.partition(b"\r\n\r\n")[2]
                         http = dict(x.partition(b":")[::2] for x in block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:])
@@ -148,10 +151,12 @@ def read_archives(paths: DataFrame, with_content: bool = True) -> DataFrame:
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                             rows, held = [], 0
+                if expected is not None and found != expected:
+                    raise ValueError(f"{path} has {found} records, not {expected}")
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return paths.mapInArrow(read, RECORD)
+    return paths.select("path", "records").mapInArrow(read, RECORD)
 
 
 def with_revisits(pages: DataFrame, key: str, payload: Column, work: Workspace) -> DataFrame:
