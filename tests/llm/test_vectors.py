@@ -63,6 +63,22 @@ def test_links_equal_all_pairs(spark, work):
     assert len(got) == 508 and pigeonhole.link_near(vectors(spark, x[:0]), work).collect() == []
 
 
+def test_other_lengths_search_and_link_among_themselves(spark, work):
+    rng = np.random.default_rng(9)
+    long, short = rng.normal(size=(60, 16)), rng.normal(size=(8, 5))
+    short[1], long[2] = short[0] * 2, long[40]
+    rows = [(i, [float(v) for v in x], "") for i, x in enumerate(long)] + [(100 + i, [float(v) for v in x], "") for i, x in enumerate(short)] + [(0, [float(v) for v in short[0]], "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")
+    links = {r.vec_id: (r.n_links, r.component_id) for r in pigeonhole.link_near(df, work).collect()}
+    assert links[100] == (2, 0) and links[101] == (2, 0) and links[0] == (2, 0) and links[2] == (1, 2) and links[40] == (1, 2) and links[103] == (0, 103) and len(links) == 68
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(3, 103), 20, work).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    s = short @ short[3]
+    want = sorted(((-v, 100 + i) for i, v in enumerate(s) if i != 3)) + []
+    assert [v for _, v, _ in sorted(found[103]) if v >= 100] == [v for _, v in want] and len(found[103]) == 8 and len(found[3]) == 20
+
+
 def test_crowded_cells_are_cut(spark, work, monkeypatch):
     monkeypatch.setattr(pigeonhole, "HOME_ROWS", 16)
     monkeypatch.setattr(pigeonhole, "VISITOR_ROWS", 32)

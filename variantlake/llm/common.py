@@ -36,6 +36,12 @@ class Workspace:
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
 
+    def sub(self, name: str) -> Workspace:
+        """A workspace below this one, for a part of the work whose steps have the same names."""
+        other = object.__new__(Workspace)
+        other.spark, other.root = self.spark, self.path(name)
+        return other
+
     def keep(self, df: DataFrame, step: str) -> DataFrame:
         """Writes ``df`` and returns what reads it back; the plan behind it ends here."""
         df.write.mode("overwrite").parquet(self.path(step))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .components import connected_components, local_components
-from .vectors import common_size, equal_classes, usable
+from .vectors import equal_classes, lengths, usable
 
 BLOCK_SIZE = 16  # components of a block after the rotation
 GRID = 2  # leading components of a block that its cells are cut along
@@ -31,9 +31,10 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
     """One row per row of ``df``: key, n_links, component_id, kept.
 
     Two rows link when the cosine of their vectors, in double precision, is at least ``threshold``. Vectors that are
-    null, empty, zero, hold null or non-finite components, or are not of the most frequent length link with nothing;
-    neither do rows with a null key. Of repeated rows (one key twice) each is returned, with the same values; they
-    count as one. Extra columns are ignored; an empty table gives no rows.
+    null, empty, zero, or hold null or non-finite components link with nothing; neither do rows with a null key, nor
+    vectors of different lengths with each other. Of repeated rows (one key twice) each is returned, with the same
+    values; they count as one. A key with several vectors has the links of all, and the smallest of their components.
+    Extra columns are ignored; an empty table gives no rows.
 
     Unit vectors at cosine c are sqrt(2 - 2c) apart. After a rotation, the vector is split into blocks, each with a
     share of the squared distance in proportion to its components: a pair within the whole distance is within the
@@ -44,11 +45,23 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
     and local components, never pairs.
     Equal vectors are joined once, with the number of their copies.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     good = rows.filter(usable(F.col("vector")) & F.col("key").isNotNull()).distinct()
-    size = common_size(good, "vector")
-    good = good.filter(F.size("vector") == size)
+    exact = "float32" if df.schema[vector].dataType.elementType.typeName() == "float" else "float64"
+    linked = None
+    for size in lengths(good, "vector"):
+        part = _linked(good.filter(F.size("vector") == size), size, exact, threshold, work.sub(f"length-{size}"))
+        linked = part if linked is None else linked.unionByName(part)
+    linked = linked.groupBy("k").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = rows.select("key").join(linked, F.col("key") == F.col("k"), "left").select(
+        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id")
+    )
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _linked(good: DataFrame, size: int, exact: str, threshold: float, work: Workspace) -> DataFrame:
+    """(k, n_links, component_id) of the rows (key, vector), whose vectors have one length."""
+    spark = good.sparkSession
     classes = equal_classes(good, "key", "vector", 1).drop("keys")
     sizes = good.groupBy("vector").agg(F.count("*").alias("copies"))
     classes = work.keep(classes.join(sizes, "vector").select("rep", "copies", "vector"), "classes")
@@ -57,7 +70,6 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
     whole = 2 - 2 * threshold
     budgets = [whole * (min(a + BLOCK_SIZE, size) - a) / max(size, 1) + SLACK / len(cuts) for a in cuts]
     width = float(np.sqrt(max(budgets)) + 1e-4)
-    exact = "float32" if df.schema[vector].dataType.elementType.typeName() == "float" else "float64"
     turn = spark.sparkContext.broadcast(rotation(max(size, 1)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +156,7 @@ def link_near(df: DataFrame, work: Workspace, threshold: float = 0.95, key: str
         .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = good.join(per_class, "vector").select(F.col("key").alias("k"), "n_links", "component_id")
-    linked = linked.groupBy("k").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("key").join(linked, F.col("key") == F.col("k"), "left").select(
-        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id")
-    )
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return good.join(per_class, "vector").select(F.col("key").alias("k"), "n_links", "component_id")
 
 
 _NOTHING = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})

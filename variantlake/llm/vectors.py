@@ -19,6 +19,11 @@ def common_size(df: DataFrame, vector: str) -> int:
     return top[0]["n"] if top else 0
 
 
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The different lengths of vectors, ascending; they are few, as one is at most a few thousand. [0] if there are none."""
+    return sorted(r["n"] for r in df.select(F.size(vector).alias("n")).distinct().collect()) or [0]
+
+
 def equal_classes(df: DataFrame, key: str, vector: str, least: int) -> DataFrame:
     """One row per different vector: rep (its smallest key), vector, copies, and the ``least`` smallest keys, sorted.
 
