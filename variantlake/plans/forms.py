@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import collections as R
 from ..functions import text as T
+from ..operators import coordinates as C
 from ..operators import diff as D
 from ..operators import enrich as E
 from ..operators import serving as S
+from ..operators import splice as P
+from ..operators import textindex as X
 from ..operators import versions as V
+from ..sources import binned
 from .queries import _t, query
 
 
@@ -140,3 +147,51 @@ def best_structure(spark, sf_dir):
 def max_over(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("a"), F.lit("-").alias("b"), F.col("c_nationkey").cast("string").alias("n"))
     return S.max_over(c, ["a", "b", "n"], "most").select("c_custkey", "most")
+
+
+# -- indexes and coordinates ---------------------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    """A new folder that the driver and all executors share; a temporary one in local mode where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='variantlake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS w, p_size < 25 AS early FROM part)
+    SELECT 2 AS release, id FROM w GROUP BY id HAVING bool_or(starts_with(w, 'r')) AND bool_or(starts_with(w, 'st')) AND bool_or(starts_with(w, 'brand#1'))
+    UNION ALL SELECT 1, id FROM w WHERE early GROUP BY id HAVING bool_or(starts_with(w, 'econ'))""")
+def word_index(spark, sf_dir):
+    index = X.TextIndex(spark, _folder(spark, "words"))
+    p, columns = _t(spark, sf_dir, "part"), ["p_name", "p_type", "p_brand"]
+    index.add(p.filter("p_size < 25"), "p_partkey", columns, 1)
+    index.add(p, "p_partkey", columns, 2)
+    found = index.find("R brand#1 ST").select(F.lit(2).alias("release"), "id")
+    return found.unionByName(index.find("econ", 1).select(F.lit(1).alias("release"), "id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 3 = 1 AND l_orderkey * 1000 + 1 <= 9000000 AND l_orderkey * 1000 + l_partkey >= 4000000""")
+def region_records(spark, sf_dir):
+    path = _folder(spark, "regions")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 3).cast("string").alias("chrom"), (F.col("l_orderkey") * 1000 + 1).alias("pos"))
+    binned.write_binned(li, path, end=F.col("l_orderkey") * 1000 + F.col("l_partkey"))
+    return binned.read_region(spark, path, "1", 4_000_000, 9_000_000).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""WITH t AS (SELECT s_suppkey, s_suppkey * 1000 AS s, s_suppkey % 2 = 0 AS plus FROM supplier), p AS (SELECT DISTINCT o_orderkey * 7 AS pos FROM orders),
+    x AS (SELECT s_suppkey, pos, plus, CASE WHEN plus THEN pos - s ELSE s + 501 - pos END AS d FROM t JOIN p ON pos > s AND pos <= s + 500),
+    y AS (SELECT *, d // 200 AS k, d % 200 AS r FROM x),
+    z AS (SELECT s_suppkey, pos, CASE WHEN r BETWEEN 1 AND 100 THEN 100 * k + r WHEN r = 0 THEN 100 * k + 1 WHEN r - 100 <= 50 THEN 100 * k + 100 ELSE 100 * k + 101 END AS n,
+        CASE WHEN r BETWEEN 1 AND 100 THEN 0 WHEN r = 0 THEN -1 WHEN r - 100 <= 50 THEN r - 100 ELSE r - 201 END AS o FROM y)
+    SELECT s_suppkey, pos, n, CASE WHEN n < 31 THEN CAST(n - 31 AS VARCHAR) WHEN n > 270 THEN '*' || (n - 270) ELSE CAST(n - 30 AS VARCHAR) END || CASE WHEN o > 0 THEN '+' || o WHEN o < 0 THEN CAST(o AS VARCHAR) ELSE '' END AS name FROM z""")
+def transcript_positions(spark, sf_dir):
+    # Each supplier is a transcript of three exons of 100 bases, 100 apart; its first and last 30 bases aren't coding.
+    s = F.col("s_suppkey") * 1000
+    plus = F.col("s_suppkey") % 2 == 0
+    tx = _t(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("transcript"), F.lit("1").alias("chrom"), F.when(plus, "+").otherwise("-").alias("strand"),
+        F.concat_ws(",", s, s + 200, s + 400).alias("exon_starts"), F.concat_ws(",", s + 100, s + 300, s + 500).alias("exon_ends"), (s + 30).alias("cds_start"), (s + 470).alias("cds_end"))
+    points = _t(spark, sf_dir, "orders").select(F.lit("1").alias("chrom"), (F.col("o_orderkey") * 7).alias("pos")).distinct()
+    named = C.transcript_positions(points, C.segments(P.exons(tx)), to="name")
+    return named.select(F.col("transcript").cast("long").alias("s_suppkey"), "pos", "n", "name")
