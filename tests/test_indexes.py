@@ -56,17 +56,17 @@ def test_index_reads_only_the_folders_of_its_terms(spark, tmp_path):
 
 def test_region_reads_equal_a_scan_and_prune(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(i, rng.choice(["1", "2", "X"]), rng.choice([rng.randint(1, 300_000_000), rng.randint(1, 5_000_000), (1 << 20) * rng.randint(1, 5)]), "A" * rng.choice([1, 1, 2, 50, 3000])) for i in range(3000)]
+    rows = [(i, rng.choice(["1", "2", "X"]), rng.choice([rng.randint(1, 30_000_000), rng.randint(1, 5_000_000), (1 << 20) * rng.randint(1, 5)]), "A" * rng.choice([1, 1, 2, 50, 3000])) for i in range(700)]
     df = spark.createDataFrame([*rows, (9999, None, 5, "A"), (9998, "1", None, "A")], "id long, chrom string, pos long, ref string")
     path = str(tmp_path / "v")
     binned.write_binned(df, path)
-    for chrom, a, b in [("1", 1, 2_000_000), ("2", 1 << 20, (1 << 20) + 1), ("X", 4_000_000, 4_100_000), ("1", 299_000_000, 400_000_000), ("3", 1, 10), ("2", 5, 5)]:
+    for chrom, a, b in [("1", 1, 2_000_000), ("2", 1 << 20, (1 << 20) + 1), ("X", 4_000_000, 4_100_000), ("1", 29_000_000, 400_000_000), ("3", 1, 10), ("2", 5, 5)]:
         got = binned.read_region(spark, path, chrom, a, b)
         assert got.columns == df.columns
         assert sorted(r.id for r in got.collect()) == sorted(i for i, c, p, r in rows if c == chrom and p <= b and p + len(r) - 1 >= a)
     scanned = binned.read_region(spark, path, "X", 4_000_000, 4_100_000).select(F.input_file_name()).distinct().count()
     plan = binned.read_region(spark, path, "X", 4_000_000, 4_100_000)._jdf.queryExecution().executedPlan().toString()
-    assert "_bin" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and scanned <= 12 < len(spark.read.parquet(path).inputFiles()) / 10
+    assert "_bin" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and scanned <= 12 < len(spark.read.parquet(path).inputFiles()) / 4
 
 
 def test_bins_hold_their_ranges(spark):
