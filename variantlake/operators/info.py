@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .rounds import keeper
 
+LOCAL_EDGES = 1 << 18  # edges that one task turns into stars together
+
 
 def frequencies(df: DataFrame, site: list[str], value: str) -> DataFrame:
     """site, value, n and share of the site's rows."""
@@ -64,10 +70,11 @@ def common_sites(df: DataFrame, site: list[str], share: str, least: float) -> Da
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataFrame:
-    """(node, component): the smallest node reachable over the edges. Loops, repeats and nulls are ignored but for a
-    node's own row.
+    """(node, component): the smallest node reachable over the edges; nodes are texts or whole numbers. Loops, repeats and
+    nulls are ignored but for a node's own row.
 
-    The graph is contracted: each node points to its smallest neighbour if that is smaller, pointers are followed to their
+    Tasks first replace the edges that they hold by stars: each node with the smallest it reaches over these edges, so
+    a dense graph shrinks to a few rows a node before anything is shuffled. Then the graph is contracted: each node points to its smallest neighbour if that is smaller, pointers are followed to their
     ends by doubling, and edges between ends make the next graph, with at most half of the nodes, until none is left. Then
     the pointers of all rounds are chained from the last to the first. Every step is a minimum by key or an equi-join with
     one row per node on one side, which Spark can split where a node is hot. ``keep`` materialises a round (Parquet
@@ -76,7 +83,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataF
     keep = keep or keeper(edges.sparkSession)
     present = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     loops = present.filter("u = v").select(F.col("u").alias("node"))
-    e = keep(present.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = keep(_stars(present.filter("u <> v")).distinct())
     rounds = []
     while not e.isEmpty():
         ends = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to"))
@@ -104,6 +111,42 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep=None) -> DataF
     return last.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components, u the larger end: in portions of LOCAL_EDGES, each node beside the smallest
+    one of its component there."""
+    kind = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[t]) for n, t in edges.dtypes])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= LOCAL_EDGES:
+                yield star(held)
+                held, n = [], 0
+        if held:
+            yield star(held)
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[:len(u)], at[len(u):]
+        root = np.arange(len(names))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            for side in (a, b, root[a], root[b]):
+                np.minimum.at(new, side, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        some = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[some], kind.field(0).type), pa.array(names[root[some]], kind.field(1).type)], schema=kind)
+
+    return edges.mapInArrow(local, edges.schema)
+
+
 def select_uncorrelated(ranked: DataFrame, proxies: DataFrame, k: int, keep=None) -> DataFrame:
     """The k best sites of which none is a proxy of a better one taken: rank, site. Null scores come last, ties go to the
     smaller site.

@@ -454,7 +454,7 @@ def source_overlap(spark, sf_dir):
 
 def _pairs(spark, sf_dir) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")
-    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
 
 
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem),
