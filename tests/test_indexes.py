@@ -75,3 +75,14 @@ def test_bins_hold_their_ranges(spark):
     got = spark.createDataFrame(rows, "a long, b long").select("a", "b", binned.bin_of(F.col("a"), F.col("b")).alias("bin")).collect()
     for r in got:
         assert r.bin in binned.bins_of(r.a, r.b) and r.bin in binned.bins_of(r.a, r.a) and r.bin in binned.bins_of(r.b, r.b)
+
+
+def test_folders_do_not_grow_with_the_positions(spark, tmp_path):
+    rows = [(i, str(i % 2), i * (1 << 25) + 7) for i in range(2500)]  # up to 2**36: 32,768 bins of the least width don't reach that far
+    df, path = spark.createDataFrame(rows, "id long, chrom string, pos long"), str(tmp_path / "v")
+    binned.write_binned(df, path, end=F.col("pos") + 5)
+    read = spark.read.parquet(path)
+    assert read.select("_chrom", "_bin").distinct().count() <= 2 * 600 and read.filter("_bin = 0").count() < 10
+    for a, b in ((1, 1 << 26), (1 << 35, (1 << 35) + (1 << 28)), ((1 << 36) + 1, 1 << 40)):
+        got = {r.id for r in binned.read_region(spark, path, "1", a, b).collect()}
+        assert got == {i for i, c, p in rows if c == "1" and p <= b and p + 5 >= a}
