@@ -57,3 +57,13 @@ def test_samples_repeat_and_hold_their_share(spark):
     df = spark.range(4000)
     a, b = ({r.id for r in info.sample_rows(df, 0.25, 3).collect()} for _ in range(2))
     assert a == b and 800 < len(a) < 1200 and info.sample_rows(df.limit(0), 0.5, 1).count() == 0
+
+
+def test_harmonised_keys_name_their_text_a_few_times(spark):
+    c = F.concat(F.col("a"), F.lit("_"))
+    df = spark.createDataFrame([("NC_000013.11:g.100:A>T",), ("chr1:5:A>T:",), ("X",), ("1:g.2:3:c",), ("NC_0:7",), (None,)], "a string")
+    got = [r.k for r in df.select(T.harmonise_key(c).alias("k")).collect()]
+    assert got == ["chr13:g.100A>T_", "chr1:g.5A>T:_", "X_:g.X_", "1:g.23c_", "NC_0:g.7_", None]
+    for f in (T.harmonise_key, T.add_g):  # what repeats its text in each step is too large to compile in a query
+        plan = df.select(f(c).alias("k"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("concat(a#") <= 2

@@ -96,9 +96,15 @@ def coordinate(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
 
 def parse_coordinate(c: Column) -> dict[str, Column]:
     """chrom, pos, ref, alt of a coordinate with or without ``g.``; NULL where it isn't one."""
-    pattern = "^chr([0-9XYM]+):(?:g\\.)?([0-9]+):?([A-Za-z-]*)>([A-Za-z-]*)$"
-    part = lambda i: F.when(c.rlike(pattern), F.regexp_extract(c, pattern, i))
-    return {"chrom": part(1), "pos": part(2).try_cast("long"), "ref": part(3), "alt": part(4)}
+    pattern = "^chr([0-9XYM]+):(?:g\\.)?([0-9]+):?([A-Za-z-]*)>([A-Za-z-]*)(?:\\r\\n|[\\n\\r\\u0085\\u2028\\u2029])?\\z"
+    found = F.regexp_replace(c, pattern, "$1:$2:$3:$4")  # matched once for all parts, none of which has a colon
+    parts = F.when(found != c, F.split(found, ":"))
+    return {"chrom": parts[0], "pos": parts[1].try_cast("long"), "ref": parts[2], "alt": parts[3]}
+
+
+def _after_colon(c: Column) -> Column:
+    """What follows the first colon; the whole where there is none."""
+    return F.when(c.contains(":"), F.substr(c, F.instr(c, ":") + 1)).otherwise(c)
 
 
 def accession_to_chromosome(c: Column) -> Column:
@@ -108,23 +114,27 @@ def accession_to_chromosome(c: Column) -> Column:
 
 
 def harmonise_key(c: Column) -> Column:
-    """Coordinate keys of either writing in one: accessions as chromosomes, no colon between position and bases."""
-    chrom = F.coalesce(accession_to_chromosome(F.substring_index(c, ":", 1)), F.substring_index(c, ":", 1))
-    rest = F.regexp_replace(c, "^[^:]*:", "")
-    return add_g(F.concat(chrom, F.lit(":"), F.regexp_replace(rest, "([0-9]):", "$1")))
+    """Coordinate keys of either writing in one: accessions as chromosomes, no colon between position and bases.
+
+    Each step names its text once: Spark doesn't compile expressions that repeat what they are made of many times.
+    """
+    c = F.regexp_replace(c, "^([^:]*)\\z", "$1:$1")
+    c = F.regexp_replace(c, "^NC_0*([1-9][0-9]*)[^:]*", "chr$1")
+    return add_g(F.regexp_replace(c, "(^[^:]*:)|([0-9]):", "$1$2"))  # behind the first colon only
 
 
 def add_g(c: Column) -> Column:
     """``chr13:100`` as ``chr13:g.100``; what already has it stays."""
-    return F.when(c.contains(":g."), c).otherwise(F.regexp_replace(c, "^([^:]*):", "$1:g."))
+    return F.regexp_replace(c, "^(?![\\s\\S]*:g\\.)([^:]*):", "$1:g.")
 
 
 def unpack_change(c: Column) -> tuple[Column, Column]:
     """Sequence name and change of ``NM_1.2:c.3A>T``; also of ``NM_1.2.c.3A>T``, and of a change alone."""
     pattern = "^(.*?)[:.]([cgn]\\..*)$"
-    named = F.when(c.contains(":"), F.substring_index(c, ":", 1)).when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
-    change = F.when(c.contains(":"), F.regexp_replace(c, "^[^:]*:", "")).when(c.rlike(pattern), F.regexp_extract(c, pattern, 2)).otherwise(c)
-    return named, change
+    has = c.contains(":")
+    found = F.when(~has, F.regexp_extract(c, pattern, 2))  # not empty where it matches
+    named = F.when(found != "", F.regexp_extract(c, pattern, 1)).otherwise(F.when(has, F.substring_index(c, ":", 1)))
+    return named, F.when(found != "", found).otherwise(_after_colon(c))
 
 
 def strip_protein_suffix(c: Column) -> Column:
