@@ -232,3 +232,25 @@ def test_samples_agree_as_often_as_the_similarity():
         total += len(a)
     j = w[40:].sum() / w.sum()
     assert abs(agree / total - j**neardup.ROWS) < 0.06
+
+
+def test_values_meet_the_rarer_n_grams_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "PACKED", 3000)
+    rng = np.random.default_rng(7)
+    model = {int(g): float(v) for g, v in zip(rng.integers(-2**63, 2**63, 5000), rng.normal(size=5000))}
+    known, seen, packs, want = np.array([*model]), [], [], Counter()
+    for batch in (0, 40, 1 << 33):
+        at = np.sort(rng.integers(0, 40, 9000))
+        g = np.where(rng.random(9000) < 0.6, rng.choice(known, 9000), rng.integers(-2**63, 2**63, 9000))
+        g[::3] = known[0]  # a hot one
+        for a, x in zip(at.tolist(), g.tolist()):
+            if x in model:
+                want[batch + a] += model[x]
+        packs += [(i, batch, x.tobytes(), suffix_tree._steps(y)) for i, x, y in suffix_tree._pack(g.view(np.uint64), at, 16)]
+        seen.append(len(packs))
+    values = spark.createDataFrame([*model.items()], "g long, v double")
+    packed = spark.createDataFrame(packs, "bucket int, batch long, gs binary, at binary")
+    assert seen[-1] <= 3 * 16  # rows that are shuffled, of 27,000 n-grams
+    got = {r.row: r.states for r in suffix_tree._sum_values(packed, values, 16).collect()}
+    assert set(got) == set(want) and all(abs(got[r] - want[r]) < 1e-9 for r in want)
+    assert suffix_tree._sum_values(packed, values.limit(0), 16).collect() == []

@@ -17,6 +17,9 @@ from .common import Workspace, crc_mod, give_back, join_split, slices
 FOLD, HELD_OUT = 7, 2
 FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a table in the task: 1e6 words at most
 TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
+NO_VALUE = 2e-6  # share from which on the table also tells that an n-gram has no value
+PACKED = 1 << 20  # rarer n-grams that a task packs together
+BUCKET = 1 << 19  # training tokens for each bucket of them
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
@@ -84,20 +87,34 @@ _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _turn(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal to Spark's xxhash64(a, b); in place and in pieces that stay in a core's cache."""
+    out = np.full(len(a), 42, np.uint64)
+    x_, t_ = np.empty((2, min(len(a), 1 << 13)), np.uint64)
+    for i in range(0, len(a), 1 << 13):
+        h = out[i:i + (1 << 13)]
+        x, t = x_[:len(h)], t_[:len(h)]
+        for part in (a, b):
+            np.multiply(part[i:i + (1 << 13)], _P2, out=x)
+            _turn(x, 31, t)
+            x *= _P1
+            h += _P5 + np.uint64(8)
+            h ^= x
+            _turn(h, 27, t)
+            h *= _P1
+            h += _P4
+            for n, p in ((33, _P2), (29, _P3), (32, None)):
+                np.right_shift(h, np.uint64(n), out=t)
+                h ^= t
+                if p is not None:
+                    h *= p
+    return out
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal to Spark's xxhash64(a, b)."""
-    h = np.full(len(a), 42, np.uint64)
-    for x in (a, b):
-        h = (h + _P5 + np.uint64(8)) ^ (_turn(x * _P2, 31) * _P1)
-        h = _turn(h, 27) * _P1 + _P4
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        h = h ^ (h >> np.uint64(32))
-    return h
+def _turn(x: np.ndarray, n: int, t: np.ndarray) -> None:
+    np.right_shift(x, np.uint64(64 - n), out=t)
+    x <<= np.uint64(n)
+    x |= t
 
 
 class _Hashes(dict):
@@ -184,7 +201,11 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) ->
                 if parts:
                     c, s = (np.concatenate(x) for x in zip(*parts))
                     parts.clear()
-                    _, at, n = np.unique(_mix(c, s), return_index=True, return_counts=True)
+                    both = _mix(c, s)
+                    order = np.argsort(both)  # of equal ones any will do
+                    both = both[order]
+                    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                    at, n = order[first], np.diff(np.append(first, len(both)))
                     yield _table([np.full(len(at), d), c[at].view(np.int64), s[at].view(np.int64), n], spec)
 
         for b in batches:
@@ -213,7 +234,7 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) ->
 
 def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, DataFrame, np.ndarray]:
     """Fits on all ``texts`` (one text column) given their word counts: frequent words, (g, v, n) of all n-grams that
-    have a value, and a filter of all n-grams that were counted: what begins and what ends an n-gram with a value is in it.
+    have a value (and, with a value of 0, of those without one from NO_VALUE on, which would be hot), and a filter of all n-grams that were counted: what begins and what ends an n-gram with a value is in it.
 
     Every context of MIN_CONTEXT occurrences and no more words than the tree's memory is tested, and a next word is kept
     from MIN_NEXT on; both are counts, so the tree grows with the corpus. A context becomes a state if its occurrences
@@ -236,7 +257,8 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, Da
     tree = Words([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
     level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
     begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
-    values, kept, known = [], [], [level.select("g"), begin.select("g")]
+    bare = lambda x: x.filter(F.col("n") >= NO_VALUE * total).select("g", F.lit(0.0).alias("v"), "n")
+    values, kept, known = [bare(level)], [], [level.select("g"), begin.select("g")]
     for depths in PASSES:
         enough = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
         filters = [spark.sparkContext.broadcast(_filter(x)) for x in (enough.unionByName(begin.select("g")) if depths[0] == 1 else enough, level)]
@@ -262,7 +284,7 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, Da
             level = work.keep(join_split(listed, states, "c", "s", work, "left", most).select(
                 F.xxhash64("c", "s").alias("g"), "n", p.alias("p"), (F.log10(p / F.col("b")) - F.col("backoff")).alias("v")
             ), f"level-{depth}")
-            values += [level.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
+            values += [bare(level.filter("v is null")), level.filter("v is not null").select("g", "v", "n"), states.select(F.col("c").alias("g"), F.col("backoff").alias("v"), F.col("t").alias("n"))]
             kept += [f"states-{depth}", f"level-{depth}"]
             known.append(level.select("g"))
             work.drop(f"listed-{depth}")
@@ -281,8 +303,9 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, Da
     return tree, out, chain
 
 
-def _score_grams(g: np.ndarray, sizes: np.ndarray, table: _Lookup, adds: np.ndarray, bits: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """For each text (of ``sizes`` places) what its frequent n-grams add, and the others that may have a value.
+def _score_grams(g: np.ndarray, sizes: np.ndarray, table: _Lookup, adds: np.ndarray, bits: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text (of ``sizes`` places) what its frequent n-grams add; the others that may have a value, and of which
+    text each is.
 
     An n-gram is tried only where the two that it extends passed ``chain``.
     """
@@ -303,10 +326,82 @@ def _score_grams(g: np.ndarray, sizes: np.ndarray, table: _Lookup, adds: np.ndar
         longer = np.zeros(len(g), np.uint64)
         longer[ends[both]] = _mix(h[both - 1], h[both])
         g, ends = longer, ends[both]
-    rest, of = np.concatenate(rest), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    offsets = np.searchsorted(of[order], np.arange(len(sizes) + 1))
-    return total, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rest[order].view(np.int64)))
+    return total, np.concatenate(rest), np.concatenate(of)
+
+
+def _pack(g: np.ndarray, what: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hashes with something of each, by bucket: the last bits of the hash. In a bucket they keep their order."""
+    k = (g & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(buckets + 1))
+    g, what = g[order], what[order]
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield i, g[cuts[i]:cuts[i + 1]], what[cuts[i]:cuts[i + 1]]
+
+
+def _steps(rows: np.ndarray) -> bytes:
+    """Rising row numbers below 2^16 as their differences, which compress well."""
+    return np.diff(rows.astype(np.uint16), prepend=np.uint16(0)).tobytes()
+
+
+def _rows(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.uint16).astype(np.int64)
+
+
+def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
+    """(row, states): the sum of the values of each row's n-grams.
+
+    ``packed`` has (bucket, batch, gs, at): hashes with the rows, from ``batch`` on, that they are in. Both sides meet by
+    bucket, so no row is made for an n-gram; sums go back by batch.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spec = [("bucket", pa.int32()), ("gs", pa.binary()), ("vs", pa.binary())]
+        held, size = [], 0
+
+        def out():
+            g, v = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            rows = [(i, x.tobytes(), y.tobytes()) for i, x, y in _pack(g, v, buckets)]
+            return _table(list(zip(*rows)), spec)
+
+        for b in batches:
+            if len(b):
+                held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+                size += len(b)
+            if size > PACKED:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    def meet(texts: pa.Table, model: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if len(model):
+            keys, v = (np.concatenate([np.frombuffer(x, t) for x in model[c].to_pylist()]) for c, t in (("gs", np.uint64), ("vs", float)))
+            order = np.argsort(keys)
+            table, v = _Lookup(keys[order]), v[order]
+            for chunk in texts.to_batches():
+                for batch, gs, at in zip(chunk.column("batch").to_pylist(), chunk.column("gs"), chunk.column("at")):
+                    i, hit = table.find(np.frombuffer(gs.as_py(), np.uint64))
+                    at = _rows(at.as_py())[hit]
+                    if len(at):
+                        sums, there = np.bincount(at, v[i[hit]]), np.flatnonzero(np.bincount(at))
+                        rows.append((batch, _steps(there), sums[there].tobytes()))
+        return pa.Table.from_batches([_table(list(zip(*rows)) or [[], [], []], [("batch", pa.int64()), ("at", pa.binary()), ("sums", pa.binary())])])
+
+    def add(met: pa.Table) -> pa.Table:
+        total, there = np.zeros(1 << 16), np.zeros(1 << 16, bool)
+        for at, sums in zip(met["at"], met["sums"]):
+            at = _rows(at.as_py())
+            total[at] += np.frombuffer(sums.as_py(), float)
+            there[at] = True
+        at = np.flatnonzero(there)
+        return pa.table({"row": pa.array(met["batch"][0].as_py() + at, pa.int64()), "states": pa.array(total[at])})
+
+    model = values.mapInArrow(pack, "bucket int, gs binary, vs binary")
+    met = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(meet, "batch long, at binary, sums binary")
+    return met.groupBy("batch").applyInArrow(add, "row long, states double")
 
 
 def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,9 +414,10 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     columns are ignored.
 
     Frequent words and n-grams are scored in the tasks from tables. Each other word or n-gram of a document meets its
-    count or value in an equi-join. None of those makes up more than FREQUENT or TABLE of the training tokens; one that
-    training lacks and other texts repeat can be hot, as its word passes no filter: there Spark's own splitting of skewed
-    joins helps, as the sums by row come after another shuffle.
+    count or value by key: words in an equi-join, n-grams packed in buckets of their hashes, whose number follows the
+    training tokens. None of those makes up more than FREQUENT, TABLE or NO_VALUE of the training tokens. A word that
+    training lacks and other texts repeat can be hot, as it passes no filter: there Spark's own splitting of skewed joins
+    helps, as the sums by row come after another shuffle.
     """
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
@@ -333,19 +429,29 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast((tree, g[order], v[order], _filter(values), chain))
     work.clean()
     kind = docs.schema[key].dataType.simpleString()
-    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, deep array<long>"
+    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, bucket int, batch long, gs binary, at binary"
+    buckets = 1 << (tree.total // BUCKET).bit_length()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, keys, adds, bits, chain = shared.value
         table, hashes = _Lookup(keys), _Hashes()
         row = TaskContext.get().partitionId() << 33
+        since, held, size = row, [], 0
+
+        def out(like: pa.RecordBatch):
+            g, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            packs = [(i, since, x.tobytes(), _steps(y)) for i, x, y in _pack(g, at, buckets)]
+            mine = _table(list(zip(*packs)) or [[]] * 4, [("bucket", pa.int32()), ("batch", pa.int64()), ("gs", pa.binary()), ("at", pa.binary())])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(mine), f.type) for f in like.schema)][:8] + mine.columns, names=like.schema.names)
+
         for b in batches:
             texts = b.column(2).cast(pa.binary())
             for start in range(0, len(b), 100):
                 part = b.slice(start, 100)
                 n_tok, known, base, offsets, words, ns = [], [], [], [0], [], []
                 toks = [tokens(x) for x in texts.slice(start, 100).to_pylist()]
-                model, deep = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), table, adds, bits, chain)
+                model, g, of = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), table, adds, bits, chain)
                 for tok in toks:
                     ids = t.ids(tok)
                     own = float(t.base[ids[ids >= 0]].sum())
@@ -358,17 +464,27 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
                     offsets.append(len(words))
                 items = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], names=["word", "n"])
                 rows = pa.array(range(row, row + len(part)), pa.int64())
+                order = np.argsort(of, kind="stable")
+                held.append((g[order], of[order] + (row - since)))
+                size += len(g)
                 row += len(part)
-                yield pa.RecordBatch.from_arrays(
+                done = pa.RecordBatch.from_arrays(
                     [rows, part.column(0), part.column(1), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(base) + model, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items), deep],
-                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare", "deep"],
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items), *(pa.nulls(len(part), x) for x in (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare", "bucket", "batch", "gs", "at"],
                 )
+                yield done
+                if size > PACKED or row - since > 1 << 15:
+                    yield out(done)
+                    since, size = row, 0
+        if held:
+            yield out(done)
         hashes.clear()
         give_back()
 
     scored = docs.select(key, (fold == HELD_OUT).alias("held_out"), F.col(text)).mapInArrow(score, spec)
     scored = work.keep(scored, "scored")
+    packed, scored = scored.filter("bucket is not null").select("bucket", "batch", "gs", "at"), scored.filter("bucket is null").drop("bucket", "batch", "gs", "at")
     shared.destroy()
     work.clean()
     below = float(tree.total + tree.distinct + 1)
@@ -378,9 +494,9 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / below)).alias("rest"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"),
     )
-    deep = scored.select("row", F.explode("deep").alias("g")).join(values.filter(F.col("n") < TABLE * tree.total), "g").groupBy("row").agg(F.sum("v").alias("states"))
+    deep = _sum_values(packed, values.filter(F.col("n") < TABLE * tree.total).select("g", "v"), buckets)
     more = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare", "deep").join(rest, "row", "left").join(deep, "row", "left").select(
+    return scored.drop("rare").join(rest, "row", "left").join(deep, "row", "left").select(
         key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
     )
