@@ -254,3 +254,12 @@ def test_values_meet_the_rarer_n_grams_without_a_row_for_each(spark, monkeypatch
     got = {r.row: r.states for r in suffix_tree._sum_values(packed, values, 16).collect()}
     assert set(got) == set(want) and all(abs(got[r] - want[r]) < 1e-9 for r in want)
     assert suffix_tree._sum_values(packed, values.limit(0), 16).collect() == []
+
+
+def test_frequencies_are_the_same_from_lists_and_from_counters(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELLS", 1 << 16)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(" ".join(rng.choices("abc", k=rng.randint(5, 60))),) for _ in range(200)], "text string").repartition(2).cache()
+    lists = neardup.fit_idf(df).steps
+    monkeypatch.setattr(neardup, "FEW", 50)
+    assert lists.any() and (neardup.fit_idf(df).steps == lists).all()

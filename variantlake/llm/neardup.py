@@ -23,6 +23,7 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 IDF = 0.1  # what the logarithm of (texts / document frequency) adds to a shingle's weight of 1
 CELLS, CELL_PARTS, CELL_SALTS = 1 << 24, 256, 1024  # counters, parts of them, and most groups of tasks that are summed first
+FEW = 1 << 22  # shingles up to which a task keeps a list of cells instead of all counters
 STEPS = 8  # document frequencies are kept as whole steps of 1/STEPS in the logarithm
 TABLE = 1 << 16
 CACHE = 200_000
@@ -141,33 +142,36 @@ def _texts(b: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
 def fit_idf(texts: DataFrame, text: str = "text") -> Idf:
     """Document frequencies over ``texts``, which should all be different, from one pass.
 
-    Tasks add to CELLS counters each; the counters are summed in Spark by parts, first within salted groups of tasks,
-    and the driver gets one byte for each cell.
+    Tasks add to CELLS counters each, made when they have met more than FEW shingles; the counters are summed in Spark by
+    parts, first within salted groups of tasks, and the driver gets one byte for each cell.
     """
     n_texts, n_cells, n_parts = texts.count(), CELLS, CELL_PARTS
     salts = min(CELL_SALTS, math.isqrt(texts.rdd.getNumPartitions()) + 1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, cells, held, size = Shingler(), np.zeros(n_cells, np.uint32), [], 0
-
-        def add():
-            np.add.at(cells, np.concatenate(held), np.uint32(1))
-            held.clear()
-
+        shingle, cells, held, size, most = Shingler(), None, [], 0, FEW
         for b in batches:
             for t in _texts(b, "text"):
-                held.append(_cell(np.unique(shingle(t)), n_cells))
+                held.append(_cell(np.unique(shingle(t)), n_cells).astype(np.uint32))
                 size += len(held[-1])
-                if size > 500_000:
-                    add()
+                if size > most:
+                    cells, most = np.zeros(n_cells, np.uint32) if cells is None else cells, 500_000
+                    for x in held:  # the cells of a text can repeat
+                        np.add.at(cells, x, np.uint32(1))
+                    held.clear()
                     size = 0
-        if held:
-            add()
-        salt = TaskContext.get().partitionId() % salts
-        for i, part in enumerate(cells.reshape(n_parts, -1)):
+        last = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+        held.clear()
+        salt, width = TaskContext.get().partitionId() % salts, n_cells // n_parts
+        cuts = np.searchsorted(last, np.arange(n_parts + 1) * width)
+        for i in range(n_parts):
+            part = np.bincount(last[cuts[i]:cuts[i + 1]] - np.uint32(i * width), minlength=width)
+            if cells is not None:
+                part += cells[i * width:(i + 1) * width]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["part", "salt", "cells"])
-        del cells
+        del cells, last
+        shingle.hash.clear()
         give_back()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
