@@ -19,7 +19,7 @@ FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a tab
 TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
 NO_VALUE = 2e-6  # share from which on the table also tells that an n-gram has no value
 PACKED = 1 << 20  # rarer n-grams that a task packs together
-BUCKET = 1 << 19  # training tokens for each bucket of them
+BUCKET = 1 << 21  # training tokens for each bucket of them
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
