@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from variantlake.llm import neardup, suffix_tree
 from variantlake.llm.common import Workspace
@@ -263,3 +264,32 @@ def test_frequencies_are_the_same_from_lists_and_from_counters(spark, monkeypatc
     lists = neardup.fit_idf(df).steps
     monkeypatch.setattr(neardup, "FEW", 50)
     assert lists.any() and (neardup.fit_idf(df).steps == lists).all()
+
+
+def test_words_of_the_suffix_tree_are_hashed_as_split_and_counted_without_a_row_each(spark, work):
+    rng = random.Random(8)
+    texts = [None, b"", b" ", b"\tA b \x0b\x0c", b"x" * 100_000, b"y " + b"z" * 40_000 + b" y", b"Ab", b"aB c\r\nd\x1c\x85e", "Äh äh".encode()]
+    texts += [b"".join(rng.choice([b"a", b"B", b" ", b"\n", b"cd", b"\x00", b"\x08", b"\x0e"]) for _ in range(rng.randrange(300))) for _ in range(200)]
+    array, seen, counts = pa.array(texts, pa.binary()), {}, Counter()
+    for part in (array, array[1:5], array[5:6], array[:2], array[:0]):
+        hashes, sizes = suffix_tree._words(part)
+        want = [[0, "begin", *(t or b"").lower().split(), "end"] for t in part.to_pylist()]
+        assert sizes.tolist() == [len(t) for t in want]
+        for word, h in zip((w for t in want for w in t), hashes.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+        if part is array:
+            counts.update(seen[w] for t in want for w in t[2:])
+    assert len({*seen.values()}) == len(seen)
+    got = suffix_tree.count_words(spark.createDataFrame([(None if t is None else t,) for t in texts], "text binary"))
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()  # which takes a row for each word of a task
+    assert {r.g % (1 << 64): r.n for r in got.collect()} == counts
+
+
+def test_keys_sort_where_their_first_bits_are_equal():
+    keys = np.array([5, 3, 5, 1, 1 << 63, 3, 4, (1 << 63) + 1, 1 << 63], np.uint64)
+    order, done, first = suffix_tree._sort(keys)
+    assert done.tolist() == sorted(keys.tolist()) == keys[order].tolist() and done[first].tolist() == sorted({*keys.tolist()})
+    assert [len(x) for x in suffix_tree._sort(keys[:0])] == [0, 0, 0]
+    for buckets in (1, 2, 16):
+        parts = [*suffix_tree._parts(done, buckets, done)]
+        assert b"".join(x for _, x in parts) == done.tobytes() and len({i for i, _ in parts}) == len(parts) <= buckets

@@ -98,6 +98,15 @@ def slices(array: pa.Array, rows: int = 256):
         yield from array.slice(start, rows).to_pylist()
 
 
+def keep_freed() -> None:
+    """Lets a worker keep 64 MB that it freed: to get each short-lived array from the system takes longer than to fill it."""
+    try:
+        ctypes.CDLL(None).mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
+        ctypes.CDLL(None).mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+    except AttributeError:  # only some C libraries have it
+        pass
+
+
 def give_back() -> None:
     """Hands memory that a task used and freed back to the system: Python workers live on and are shared by stages."""
     gc.collect()

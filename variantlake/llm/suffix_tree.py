@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod, give_back, join_split, slices
+from .common import Workspace, crc_mod, give_back, join_split, keep_freed
 
 FOLD, HELD_OUT = 7, 2
-FREQUENT = 1e-6  # share of all tokens from which on a word is scored from a table in the task: 1e6 words at most
-TABLE = 2e-7  # the same for contexts and next words: 5e6 at most per depth
+TABLE = 2e-7  # share of all tokens from which on a word or n-gram is scored from a table in the task: 5e6 at most per depth
 NO_VALUE = 2e-6  # share from which on the table also tells that an n-gram has no value
 PACKED = 1 << 20  # rarer n-grams that a task packs together
 BUCKET = 1 << 21  # training tokens for each bucket of them
@@ -25,66 +22,14 @@ MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
 DIVERGE = 1.0  # nats by which a state must tell its own occurrences better than its suffix does: count times divergence
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
-FLUSH = 750_000
-CACHE = 200_000
+FLUSH = 1_000_000  # places counted together in a task
+BYTES = 1 << 15  # bytes of text hashed together
 FILTER = 1 << 27  # bits at most of a filter of hashes, which only saves rows
-END = b""  # the token after the last word; no word is empty
-BEGIN = b" "  # before the first word; no word has a space
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text, A to Z in lower case, and the end."""
-    return [*text.lower().split(), END] if text else [END]
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
-    for b in batches:
-        yield from slices(b.column(0).cast(pa.binary()))
-
-
-def _table(columns: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts: counted in the tasks, in tables that are handed on when full, then summed by word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        spec = [("word", pa.binary()), ("n", pa.int64())]
-
-        def out():
-            items = list(c.items())
-            c.clear()
-            for i in range(0, len(items), 50_000):
-                part = items[i:i + 50_000]
-                yield _table([[k for k, _ in part], [n for _, n in part]], spec)
-
-        for t in _texts(batches):
-            c.update(tokens(t))
-            if len(c) > FLUSH // 3:
-                yield from out()
-        yield from out()
-        give_back()
-
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Words:
-    """Frequent words, numbered by falling count, with their base scores."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.total, self.distinct = total, distinct
-        self.base = np.log10((counts + 1) / (total + distinct + 1)) if len(words) else np.zeros(0)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+END, BEGIN = _P3, _P4  # in place of hashes: the token after the last word, and what stands before the first
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,15 +62,143 @@ def _turn(x: np.ndarray, n: int, t: np.ndarray) -> None:
     x |= t
 
 
-class _Hashes(dict):
-    def __init__(self):
-        self[None] = 0
+def _table(columns: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
+
+
+def _powers(p: int) -> np.ndarray:
+    return np.multiply.accumulate(np.array([1] + [p] * BYTES, np.uint64))
+
+
+_BYTE = _mix(np.arange(256, dtype=np.uint64), np.arange(256, dtype=np.uint64))  # a number of 64 bits for each byte
+_BYTE[65:91] = _BYTE[97:123]  # A to Z in lower case
+_POWER, _BACK = _powers(int(_P5)), _powers(pow(int(_P5), -1, 1 << 64))
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words between the given places of the bytes, A to Z in lower case.
+
+    Polynomials in _P5 over the bytes' numbers, modulo 2^64, then mixed: those of all words come from one running sum.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        if ends[i] - lo > BYTES:
+            at = range(0, int(ends[i] - lo), BYTES)
+            parts = (_BYTE[data[lo + k:min(lo + k + BYTES, ends[i])]] for k in at)
+            out[i] = sum(int((x * _POWER[:len(x)]).sum()) * pow(int(_P5), k, 1 << 64) for k, x in zip(at, parts)) % (1 << 64)
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, lo + BYTES, "right"))
+        x = np.zeros(ends[j - 1] - lo + 1, np.uint64)
+        np.multiply(_BYTE.take(data[lo:ends[j - 1]], mode="wrap"), _POWER[:len(x) - 1], out=x[1:])
+        np.cumsum(x, out=x)
+        a = starts[i:j] - lo
+        out[i:j] = (x[ends[i:j] - lo] - x[a]) * _BACK[a]
+        i = j
+    for n, p in ((32, _P2), (29, _P3), (32, None)):
+        out ^= out >> np.uint64(n)
+        if p is not None:
+            out *= p
+    return np.maximum(out, np.uint64(1), out=out)
+
+
+def _words(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of BEGIN, the words and END of each text, a 0 before each text; and how many places each text takes.
+
+    Words are what bytes.split() gives. A null text has none.
+    """
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    texts = texts.fill_null(b"") if texts.null_count else texts
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]]
+    at -= at[0]
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    first, last, filled = ~space, ~space, at[1:] > at[:-1]
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    lo, hi = at[:-1][filled], at[1:][filled] - 1
+    first[lo], last[hi] = ~space[lo], ~space[hi]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = np.diff(np.searchsorted(starts, at)) + 3
+    stop = np.cumsum(sizes)
+    out, word = np.zeros(stop[-1], np.uint64), np.ones(stop[-1], bool)
+    for place, x in ((stop - sizes, 0), (stop - sizes + 1, BEGIN), (stop - 1, END)):
+        out[place], word[place] = x, False
+    out[word] = _hash_words(data, starts, ends)
+    return out, sizes
+
+
+def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch a hundred rows at a time, with the hashes of the texts in a column."""
+    for start in range(0, len(b), 100):
+        part = b.slice(start, 100)
+        yield part, *_words(part.column(column).cast(pa.binary()))
+
+
+def _sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, the sorted keys, and where in them a new one begins.
+
+    Numbers sort several times faster than places, so each key's last bits give way to its place, if that sorts them too.
+    """
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    done = keys[order]
+    if (done[1:] < done[:-1]).any():
+        order = np.argsort(keys)
+        done = keys[order]
+    return order, done, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), done[1:] != done[:-1]]))
+
+
+def _parts(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Bucket and columns, as bytes, for each bucket (the first bits of a hash) of sorted keys."""
+    bounds = np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length() if buckets > 1 else 0)
+    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            yield i, *(x[a:b].tobytes() for x in columns)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 42)  # equal to Spark's xxhash64
-        if len(self) < CACHE:
-            self[word] = h
-        return h
+
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(g, n): hashes of all words and of the end, with their counts. Counted in the tasks, then summed in buckets of
+    hashes that are packed, so no row is made for a word before it is summed."""
+    buckets = 1 << (4 * texts.rdd.getNumPartitions()).bit_length()
+    spec = [("bucket", pa.int32()), ("gs", pa.binary()), ("ns", pa.binary())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
+        held, size = [], 0
+
+        def out():
+            keys = np.sort(np.concatenate(held))
+            held.clear()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            return _table(list(zip(*_parts(keys[first], buckets, keys[first], n))), spec)
+
+        for b in batches:
+            for _, g, _ in _batches(b, 0):
+                held.append(g[(g != 0) & (g != BEGIN)])
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
+        give_back()
+
+    def merge(packed: pa.Table) -> pa.Table:
+        order, keys, first = _sort(_column(packed, "gs", np.uint64))
+        n = np.add.reduceat(_column(packed, "ns", np.uint32)[order].astype(np.int64), first)
+        return pa.table({"g": keys[first].view(np.int64), "n": n})
+
+    return texts.mapInArrow(count, "bucket int, gs binary, ns binary").groupBy("bucket").applyInArrow(merge, "g long, n long")
 
 
 def _longer(g: np.ndarray) -> np.ndarray:
@@ -136,15 +209,6 @@ def _longer(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
-    """Hashes of BEGIN and the tokens of each text, a 0 before each text."""
-    flat: list = []
-    for t in texts:
-        flat += (None, BEGIN)
-        flat += t
-    return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
-
-
 _BITS = (20, 26, 32)  # where in a hash the places of its bits in a word of the filter are read
 
 
@@ -184,34 +248,32 @@ class _Lookup:
         return i, (self.keys[i] == g) & (i < len(self.keys) - 1)
 
 
-def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) -> DataFrame:
+def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...], buckets: int) -> DataFrame:
     """(d, c, s, n): how often context c of d words stands before the last of the d words s, which are the context
-    without its first word and the next one.
+    without its first word and the next one; from MIN_NEXT on.
 
     The filters know n-grams as long as the first depth's contexts: of a context all of them have to pass ``contexts``,
-    of s the last one ``nexts``.
+    of s the last one ``nexts``. What tasks counted is packed by buckets of the hashes of both, where it is summed.
     """
-    spec = [("d", pa.int32()), ("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())]
+    spec = [("d", pa.int32()), ("bucket", pa.int32()), ("cs", pa.binary()), ("ss", pa.binary()), ("ns", pa.binary())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), {d: [] for d in depths}, 0
+        keep_freed()
+        held, size = {d: [] for d in depths}, 0
 
         def out():
             for d, parts in held.items():
-                if parts:
-                    c, s = (np.concatenate(x) for x in zip(*parts))
-                    parts.clear()
-                    both = _mix(c, s)
-                    order = np.argsort(both)  # of equal ones any will do
-                    both = both[order]
-                    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                    at, n = order[first], np.diff(np.append(first, len(both)))
-                    yield _table([np.full(len(at), d), c[at].view(np.int64), s[at].view(np.int64), n], spec)
+                c, s = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                order, keys, first = _sort(_mix(c, s))
+                n = np.diff(np.append(first, len(keys))).astype(np.uint32)
+                at = order[first]  # of equal ones any will do
+                rows = [(d, *x) for x in _parts(keys[first], buckets, c[at], s[at], n)]
+                if rows:
+                    yield _table(list(zip(*rows)), spec)
 
         for b in batches:
-            texts = b.column(0).cast(pa.binary())
-            for start in range(0, len(b), 100):
-                g = _words([tokens(t) for t in texts.slice(start, 100).to_pylist()], hashes)
+            for _, g, _ in _batches(b, 0):
                 for _ in range(depths[0] - 1):
                     g = _longer(g)
                 good, wanted = _passes(contexts.value, g), _passes(nexts.value, g)
@@ -225,15 +287,30 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...]) ->
                 if size > FLUSH:
                     yield from out()
                     size = 0
-        yield from out()
-        hashes.clear()
+        if size:
+            yield from out()
         give_back()
 
-    return texts.mapInArrow(count, "d int, c long, s long, n long").groupBy("d", "c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_NEXT)
+    def merge(packed: pa.Table) -> pa.Table:
+        c, s = _column(packed, "cs", np.uint64), _column(packed, "ss", np.uint64)
+        order, _, first = _sort(_mix(c, s))
+        n = np.add.reduceat(_column(packed, "ns", np.uint32)[order].astype(np.int64), first)
+        at, n = order[first][n >= MIN_NEXT], n[n >= MIN_NEXT]
+        return pa.table({"d": np.full(len(at), packed["d"][0].as_py(), np.int32), "c": c[at].view(np.int64), "s": s[at].view(np.int64), "n": n})
+
+    return texts.mapInArrow(count, "d int, bucket int, cs binary, ss binary, ns binary").groupBy("d", "bucket").applyInArrow(merge, "d int, c long, s long, n long")
+
 
+def _buckets(total: int) -> int:
+    return 1 << (total // BUCKET).bit_length()
 
-def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, DataFrame, np.ndarray]:
-    """Fits on all ``texts`` (one text column) given their word counts: frequent words, (g, v, n) of all n-grams that
+
+def _signed(g: np.uint64) -> int:
+    return int(np.int64(g.astype(np.int64)))
+
+
+def fit(texts: DataFrame, counts: DataFrame, total: int, distinct: int, work: Workspace) -> tuple[DataFrame, np.ndarray]:
+    """Fits on all ``texts`` (one text column) given their word counts, with the sum and the number of those: (g, v, n) of all n-grams that
     have a value (and, with a value of 0, of those without one from NO_VALUE on, which would be hot), and a filter of all n-grams that were counted: what begins and what ends an n-gram with a value is in it.
 
     Every context of MIN_CONTEXT occurrences and no more words than the tree's memory is tested, and a next word is kept
@@ -243,26 +320,21 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, Da
     distribution is smoothed with that of the shorter state, and words not kept share the rest in proportion to it, so
     every state's distribution sums to one over all words.
 
-    n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
+    Words and n-grams are known by 64-bit hashes. ``v`` is what each occurrence of an n-gram adds to the log10 of its text: as a
     state, to the next word's score (its back-off), and as a state with a next word, to that word's score (what the
     state gives it beyond the back-off and the shorter state). So a text's score is a sum over its n-grams. Levels are
     joined as DataFrames; only filters of fixed size and the frequent n-grams pass through the driver. No n-gram meets
     more than a MIN_NEXTth of its occurrences in a join, so hot ones are known without counting the rows.
     """
     spark = texts.sparkSession
-    totals = counts.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = int(totals[0] or 0), int(totals[1])
-    top = counts.filter(F.col("n") >= FREQUENT * total).collect()  # at most 1 / FREQUENT rows
-    top = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda x: (-x[1], x[0]))
-    tree = Words([w for w, _ in top], np.array([n for _, n in top], float), total, distinct)
-    level = counts.select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
-    begin = counts.filter(F.col("word") == END).select(F.xxhash64(F.lit(BEGIN)).alias("g"), "n")
+    level = counts.select("g", "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p")).filter(F.col("n") >= MIN_NEXT)
+    begin = counts.filter(F.col("g") == _signed(END)).select(F.lit(_signed(BEGIN)).alias("g"), "n")
     bare = lambda x: x.filter(F.col("n") >= NO_VALUE * total).select("g", F.lit(0.0).alias("v"), "n")
     values, kept, known = [bare(level)], [], [level.select("g"), begin.select("g")]
     for depths in PASSES:
         enough = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
         filters = [spark.sparkContext.broadcast(_filter(x)) for x in (enough.unionByName(begin.select("g")) if depths[0] == 1 else enough, level)]
-        counted = work.keep(_count_level(texts, *filters, depths), f"counted-{depths[0]}")
+        counted = work.keep(_count_level(texts, *filters, depths, _buckets(total)), f"counted-{depths[0]}")
         for f in filters:
             f.destroy()
         work.clean()
@@ -290,17 +362,17 @@ def fit(texts: DataFrame, counts: DataFrame, work: Workspace) -> tuple[Words, Da
             work.drop(f"listed-{depth}")
         work.drop(f"counted-{depths[0]}")
         work.clean()
-    none = spark.createDataFrame([], "g long, v double, n long")
-    for v in values:
-        none = none.unionByName(v)
-    out = work.keep(none.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+    every = values[0]
+    for v in values[1:]:
+        every = every.unionByName(v)
+    out = work.keep(every.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
     all_known = known[0]
     for k in known[1:]:
         all_known = all_known.unionByName(k)
     chain = _filter(all_known)
     work.drop(*kept)
     work.clean()
-    return tree, out, chain
+    return out, chain
 
 
 def _score_grams(g: np.ndarray, sizes: np.ndarray, table: _Lookup, adds: np.ndarray, bits: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +421,7 @@ def _rows(steps: bytes) -> np.ndarray:
 
 
 def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
-    """(row, states): the sum of the values of each row's n-grams.
+    """(row, states, hits): the sum of the values of each row's n-grams, and how many have one.
 
     ``packed`` has (bucket, batch, gs, at): hashes with the rows, from ``batch`` on, that they are in. Both sides meet by
     bucket, so no row is made for an n-gram; sums go back by batch.
@@ -386,22 +458,23 @@ def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame
                     i, hit = table.find(np.frombuffer(gs.as_py(), np.uint64))
                     at = _rows(at.as_py())[hit]
                     if len(at):
-                        sums, there = np.bincount(at, v[i[hit]]), np.flatnonzero(np.bincount(at))
-                        rows.append((batch, _steps(there), sums[there].tobytes()))
-        return pa.Table.from_batches([_table(list(zip(*rows)) or [[], [], []], [("batch", pa.int64()), ("at", pa.binary()), ("sums", pa.binary())])])
+                        sums, hits = np.bincount(at, v[i[hit]]), np.bincount(at)
+                        there = np.flatnonzero(hits)
+                        rows.append((batch, _steps(there), sums[there].tobytes(), hits[there].astype(np.uint32).tobytes()))
+        return pa.Table.from_batches([_table(list(zip(*rows)) or [[]] * 4, [("batch", pa.int64()), ("at", pa.binary()), ("sums", pa.binary()), ("hits", pa.binary())])])
 
     def add(met: pa.Table) -> pa.Table:
-        total, there = np.zeros(1 << 16), np.zeros(1 << 16, bool)
-        for at, sums in zip(met["at"], met["sums"]):
+        total, hits = np.zeros(1 << 16), np.zeros(1 << 16, np.int64)
+        for at, sums, n in zip(met["at"], met["sums"], met["hits"]):
             at = _rows(at.as_py())
             total[at] += np.frombuffer(sums.as_py(), float)
-            there[at] = True
-        at = np.flatnonzero(there)
-        return pa.table({"row": pa.array(met["batch"][0].as_py() + at, pa.int64()), "states": pa.array(total[at])})
+            hits[at] += np.frombuffer(n.as_py(), np.uint32)
+        at = np.flatnonzero(hits)
+        return pa.table({"row": pa.array(met["batch"][0].as_py() + at, pa.int64()), "states": pa.array(total[at]), "hits": pa.array(hits[at])})
 
     model = values.mapInArrow(pack, "bucket int, gs binary, vs binary")
-    met = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(meet, "batch long, at binary, sums binary")
-    return met.groupBy("batch").applyInArrow(add, "row long, states double")
+    met = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(meet, "batch long, at binary, sums binary, hits binary")
+    return met.groupBy("batch").applyInArrow(add, "row long, states double, hits long")
 
 
 def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,72 +487,71 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     columns are ignored.
 
     Frequent words and n-grams are scored in the tasks from tables. Each other word or n-gram of a document meets its
-    count or value by key: words in an equi-join, n-grams packed in buckets of their hashes, whose number follows the
-    training tokens. None of those makes up more than FREQUENT, TABLE or NO_VALUE of the training tokens. A word that
-    training lacks and other texts repeat can be hot, as it passes no filter: there Spark's own splitting of skewed joins
-    helps, as the sums by row come after another shuffle.
+    count or value packed in buckets of hashes, whose number follows the training tokens. None of those makes up more
+    than TABLE or NO_VALUE of the training tokens. A word that training lacks and other texts repeat is packed with the
+    rest of its bucket, 10 bytes for each time, and no filter keeps it back. The base score takes words by their hashes too: of
+    1e8 distinct words 3e-4 pairs are expected to share one.
     """
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
     counts = work.keep(count_words(train), "counts")
-    tree, values, chain = fit(train, counts, work)
-    frequent = values.filter(F.col("n") >= TABLE * tree.total).select("g", "v").toArrow()  # at most 1 / TABLE rows per depth
-    g, v = frequent["g"].to_numpy().view(np.uint64), frequent["v"].to_numpy()
-    order = np.argsort(g)
-    shared = docs.sparkSession.sparkContext.broadcast((tree, g[order], v[order], _filter(values), chain))
+    totals = counts.agg(F.sum("n"), F.count("*")).first()
+    total, distinct = int(totals[0] or 0), int(totals[1])
+    values, chain = fit(train, counts, total, distinct, work)
+    seen = counts.select("g", F.log10(F.col("n") + 1).alias("v"), "n")
+    tables = []
+    for known in (seen, values):
+        frequent = known.filter(F.col("n") >= TABLE * total).select("g", "v").toArrow()  # at most 1 / TABLE rows per depth
+        g, v = frequent["g"].to_numpy().view(np.uint64), frequent["v"].to_numpy()
+        order = np.argsort(g)
+        tables.append((g[order], v[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((*tables, _filter(values), chain))
     work.clean()
     kind = docs.schema[key].dataType.simpleString()
-    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, bucket int, batch long, gs binary, at binary"
-    buckets = 1 << (tree.total // BUCKET).bit_length()
+    spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, batch long, gs binary, at binary"
+    buckets, unseen = _buckets(total), -float(np.log10(total + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, keys, adds, bits, chain = shared.value
-        table, hashes = _Lookup(keys), _Hashes()
+        keep_freed()
+        (words, logs), (keys, adds), bits, chain = shared.value
+        words, table = _Lookup(words), _Lookup(keys)
         row = TaskContext.get().partitionId() << 33
-        since, held, size = row, [], 0
+        since, held, size = row, ([], []), 0
 
         def out(like: pa.RecordBatch):
-            g, at = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            packs = [(i, since, x.tobytes(), _steps(y)) for i, x, y in _pack(g, at, buckets)]
+            packs = []
+            for sign, parts in zip((1, -1), held):
+                g, at = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                packs += [(i if sign > 0 else -1 - i, since, x.tobytes(), _steps(y)) for i, x, y in _pack(g, at, buckets)]
             mine = _table(list(zip(*packs)) or [[]] * 4, [("bucket", pa.int32()), ("batch", pa.int64()), ("gs", pa.binary()), ("at", pa.binary())])
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(mine), f.type) for f in like.schema)][:8] + mine.columns, names=like.schema.names)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(mine), f.type) for f in like.schema)][:7] + mine.columns, names=like.schema.names)
 
         for b in batches:
-            texts = b.column(2).cast(pa.binary())
-            for start in range(0, len(b), 100):
-                part = b.slice(start, 100)
-                n_tok, known, base, offsets, words, ns = [], [], [], [0], [], []
-                toks = [tokens(x) for x in texts.slice(start, 100).to_pylist()]
-                model, g, of = _score_grams(_words(toks, hashes), np.array([len(x) + 2 for x in toks]), table, adds, bits, chain)
-                for tok in toks:
-                    ids = t.ids(tok)
-                    own = float(t.base[ids[ids >= 0]].sum())
-                    rare = Counter(map(tok.__getitem__, np.flatnonzero(ids < 0).tolist()))
-                    n_tok.append(len(tok))
-                    known.append(int((ids >= 0).sum()))
-                    base.append(own)
-                    words += rare.keys()
-                    ns += rare.values()
-                    offsets.append(len(words))
-                items = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], names=["word", "n"])
-                rows = pa.array(range(row, row + len(part)), pa.int64())
+            for part, g, sizes in _batches(b, 2):
+                of = np.repeat(np.arange(len(part)), sizes)
+                own = (g != 0) & (g != BEGIN)
+                word, in_ = g[own], of[own]
+                i, hit = words.find(word)
+                base = (sizes - 2) * unseen + np.bincount(in_[hit], logs[i[hit]], len(part))
+                known = np.bincount(in_[hit], minlength=len(part))
+                held[1].append((word[~hit], in_[~hit] + (row - since)))
+                model, rest, of = _score_grams(g, sizes, table, adds, bits, chain)
                 order = np.argsort(of, kind="stable")
-                held.append((g[order], of[order] + (row - since)))
-                size += len(g)
+                held[0].append((rest[order], of[order] + (row - since)))
+                size += len(rest) + len(held[1][-1][0])
+                rows = pa.array(range(row, row + len(part)), pa.int64())
                 row += len(part)
                 done = pa.RecordBatch.from_arrays(
-                    [rows, part.column(0), part.column(1), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(base) + model, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items), *(pa.nulls(len(part), x) for x in (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "rare", "bucket", "batch", "gs", "at"],
+                    [rows, part.column(0), part.column(1), *map(pa.array, (sizes - 2, known, base, base + model)), *(pa.nulls(len(part), x) for x in (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                    names=["row", key, "held_out", "n_tokens", "n_known", "base", "score", "bucket", "batch", "gs", "at"],
                 )
                 yield done
                 if size > PACKED or row - since > 1 << 15:
                     yield out(done)
                     since, size = row, 0
-        if held:
+        if held[0]:
             yield out(done)
-        hashes.clear()
         give_back()
 
     scored = docs.select(key, (fold == HELD_OUT).alias("held_out"), F.col(text)).mapInArrow(score, spec)
@@ -487,16 +559,11 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     packed, scored = scored.filter("bucket is not null").select("bucket", "batch", "gs", "at"), scored.filter("bucket is null").drop("bucket", "batch", "gs", "at")
     shared.destroy()
     work.clean()
-    below = float(tree.total + tree.distinct + 1)
-    rare_counts = counts.filter(F.col("n") < FREQUENT * tree.total).withColumnRenamed("n", "c")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(rare_counts, "word", "left")
-    rest = rare.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / below)).alias("rest"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"),
-    )
-    deep = _sum_values(packed, values.filter(F.col("n") < TABLE * tree.total).select("g", "v"), buckets)
+    rarer = [x.filter(F.col("n") < TABLE * total).select("g", "v") for x in (values, seen)]
+    deep = _sum_values(packed.filter("bucket >= 0"), rarer[0], buckets).drop("hits")
+    rare = _sum_values(packed.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket")), rarer[1], buckets).withColumnRenamed("states", "rest")
     more = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare").join(rest, "row", "left").join(deep, "row", "left").select(
-        key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
+    return scored.join(rare, "row", "left").join(deep, "row", "left").select(
+        key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
     )
