@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ BUCKET = 1 << 21  # training tokens for each bucket of them
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
+ROUND = 0.5  # n-grams for each token that are counted at once at most; more are counted in rounds, by their hashes, which saves disk
+PARTS = 2  # in which documents are scored, by a hash of their keys, for the same reason
 DIVERGE = 1.0  # nats by which a state must tell its own occurrences better than its suffix does: count times divergence
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
 FLUSH = 1_000_000  # places counted together in a task
@@ -248,9 +251,10 @@ class _Lookup:
         return i, (self.keys[i] == g) & (i < len(self.keys) - 1)
 
 
-def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...], buckets: int) -> DataFrame:
+def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...], buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """(d, c, s, n): how often context c of d words stands before the last of the d words s, which are the context
-    without its first word and the next one; from MIN_NEXT on.
+    without its first word and the next one; from MIN_NEXT on. Of ``turns`` parts of the n-grams, dealt by hash, that of
+    number ``turn``.
 
     The filters know n-grams as long as the first depth's contexts: of a context all of them have to pass ``contexts``,
     of s the last one ``nexts``. What tasks counted is packed by buckets of the hashes of both, where it is summed.
@@ -282,8 +286,12 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...], buc
                         g = _longer(g)
                         good[1:] &= good[:-1]
                     at = np.flatnonzero((g[:-1] != 0) & (g[1:] != 0) & good[:-1] & wanted[1:])
-                    held[d].append((g[at], g[at + 1]))
-                    size += len(at)
+                    c, s = g[at], g[at + 1]
+                    if turns > 1:
+                        mine = (c ^ s) % np.uint64(turns) == turn
+                        c, s = c[mine], s[mine]
+                    held[d].append((c, s))
+                    size += len(c)
                 if size > FLUSH:
                     yield from out()
                     size = 0
@@ -334,10 +342,14 @@ def fit(texts: DataFrame, counts: DataFrame, total: int, distinct: int, work: Wo
     for depths in PASSES:
         enough = level.filter(F.col("n") >= MIN_CONTEXT).select("g")
         filters = [spark.sparkContext.broadcast(_filter(x)) for x in (enough.unionByName(begin.select("g")) if depths[0] == 1 else enough, level)]
-        counted = work.keep(_count_level(texts, *filters, depths, _buckets(total)), f"counted-{depths[0]}")
+        counted, places = [], (level.filter(F.col("n") >= MIN_CONTEXT).agg(F.sum("n")).first()[0] or 0) * len(depths)
+        rounds = max(1, int(np.ceil(places / (ROUND * max(1, total)))))
+        for i in range(rounds):
+            counted.append(work.keep(_count_level(texts, *filters, depths, _buckets(total), i, rounds), f"counted-{depths[0]}-{i}"))
+            work.clean()
         for f in filters:
             f.destroy()
-        work.clean()
+        counted = reduce(DataFrame.unionByName, counted)
         for depth in depths:
             below = level.select(F.col("g").alias("s"), F.col("p").alias("b"))
             own = level.select(F.col("g").alias("c"), F.col("n").alias("t"))
@@ -360,16 +372,10 @@ def fit(texts: DataFrame, counts: DataFrame, total: int, distinct: int, work: Wo
             kept += [f"states-{depth}", f"level-{depth}"]
             known.append(level.select("g"))
             work.drop(f"listed-{depth}")
-        work.drop(f"counted-{depths[0]}")
+        work.drop(*(f"counted-{depths[0]}-{i}" for i in range(rounds)))
         work.clean()
-    every = values[0]
-    for v in values[1:]:
-        every = every.unionByName(v)
-    out = work.keep(every.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
-    all_known = known[0]
-    for k in known[1:]:
-        all_known = all_known.unionByName(k)
-    chain = _filter(all_known)
+    out = work.keep(reduce(DataFrame.unionByName, values).groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")), "values")
+    chain = _filter(reduce(DataFrame.unionByName, known))
     work.drop(*kept)
     work.clean()
     return out, chain
@@ -495,6 +501,7 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
     counts = work.keep(count_words(train), "counts")
+    work.clean()
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(totals[0] or 0), int(totals[1])
     values, chain = fit(train, counts, total, distinct, work)
@@ -554,16 +561,21 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
             yield out(done)
         give_back()
 
-    scored = docs.select(key, (fold == HELD_OUT).alias("held_out"), F.col(text)).mapInArrow(score, spec)
-    scored = work.keep(scored, "scored")
-    packed, scored = scored.filter("bucket is not null").select("bucket", "batch", "gs", "at"), scored.filter("bucket is null").drop("bucket", "batch", "gs", "at")
-    shared.destroy()
-    work.clean()
     rarer = [x.filter(F.col("n") < TABLE * total).select("g", "v") for x in (values, seen)]
-    deep = _sum_values(packed.filter("bucket >= 0"), rarer[0], buckets).drop("hits")
-    rare = _sum_values(packed.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket")), rarer[1], buckets).withColumnRenamed("states", "rest")
-    more = F.coalesce("rest", F.lit(0.0))
-    return scored.join(rare, "row", "left").join(deep, "row", "left").select(
-        key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
-    )
+    done = []
+    for i in range(PARTS):
+        part = docs.filter(F.pmod(F.xxhash64(key), F.lit(PARTS)) == i).select(key, (fold == HELD_OUT).alias("held_out"), F.col(text))
+        scored = work.keep(part.mapInArrow(score, spec), f"scored-{i}")
+        packed, scored = scored.filter("bucket is not null").select("bucket", "batch", "gs", "at"), scored.filter("bucket is null").drop("bucket", "batch", "gs", "at")
+        deep = work.keep(_sum_values(packed.filter("bucket >= 0"), rarer[0], buckets).drop("hits"), f"deep-{i}")
+        work.clean()
+        rare = work.keep(_sum_values(packed.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket")), rarer[1], buckets).withColumnRenamed("states", "rest"), f"rare-{i}")
+        more = F.coalesce("rest", F.lit(0.0))
+        done.append(work.keep(scored.join(rare, "row", "left").join(deep, "row", "left").select(
+            key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("states", F.lit(0.0))).alias("score"),
+        ), f"done-{i}"))
+        work.drop(f"scored-{i}")
+        work.clean()
+    shared.destroy()
+    return reduce(DataFrame.unionByName, done)
