@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from variantlake.llm import neardup, suffix_tree
-from variantlake.llm.common import Workspace
+from variantlake.llm.common import FREED, Workspace
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -293,3 +293,54 @@ def test_keys_sort_where_their_first_bits_are_equal():
     for buckets in (1, 2, 16):
         parts = [*suffix_tree._parts(done, buckets, done)]
         assert b"".join(x for _, x in parts) == done.tobytes() and len({i for i, _ in parts}) == len(parts) <= buckets
+
+
+def test_suffix_tree_keeps_no_shuffle_files_and_scores_alike_in_parts(spark, work, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.8)) % 300}" for _ in range(9000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 30:i * 30 + 30]), "") for i in range(300)] + [(None, "w1", ""), (7, None, "")], SCHEMA)
+    files = lambda: {f.getName() for f in _files(spark) if f.getName().startswith("shuffle_")}
+    keep, left, steps, before = Workspace.keep, [], [], files()
+
+    def kept(self, df, step):
+        out = keep(self, df, step)
+        left.append(len(files() - before))
+        steps.append(step)
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", kept)
+    monkeypatch.setattr(Workspace, "clean", lambda self: None)  # which deletes them at some later time
+    monkeypatch.setattr(suffix_tree, "TABLE", 0.002)
+    want = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score_texts(df, work).collect())
+    assert len(left) > 20 and not any(left)
+    assert spark.conf.get(FREED, None) is None  # the session's own setting
+    one = sum(s.startswith("scored-") for s in steps)
+    monkeypatch.setattr(suffix_tree, "PART", suffix_tree.PART / 8)
+    again = suffix_tree.score_texts(df, Workspace(spark, "test")).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in again) == want
+    assert sum(s.startswith("scored-") for s in steps) - one > one
+
+
+def _files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [files.apply(i) for i in range(files.size())]
+
+
+def test_scoring_is_dealt_by_what_is_packed():
+    few, full = np.zeros(64, np.uint64), np.full(64, 2**64 - 1, np.uint64)
+    n = [suffix_tree._score_parts(int(share * 1e6), few, 10**6) for share in (0, 0.1, 0.5, 1, 6)]
+    assert n[:2] == [1, 1] and n == sorted(n) and 6 / n[-1] <= suffix_tree.PART
+    assert suffix_tree._score_parts(0, full, 10**6) >= n[-1] and suffix_tree._score_parts(0, few, 0) == 1
+
+
+def test_equal_contexts_stand_together_in_a_bucket():
+    rng = np.random.default_rng(3)
+    keys, contexts = np.sort(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2)), rng.choice(rng.integers(0, 1 << 63, 40, np.uint64), 5000)
+    for buckets in (1, 2, 16):
+        order, by = suffix_tree._by_context(keys, contexts, buckets)
+        assert sorted(order.tolist()) == [*range(5000)]
+        want = {i: Counter(np.frombuffer(x, np.uint64).tolist()) for i, x in suffix_tree._parts(keys, buckets, contexts)}
+        for i, x in suffix_tree._parts(by, buckets, contexts[order]):
+            c = np.frombuffer(x, np.uint64)
+            assert Counter(c.tolist()) == want.pop(i) and (c[1:] != c[:-1]).sum() + 1 == len({*c.tolist()})
+        assert not want

@@ -6,12 +6,15 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS, HOT_KEYS = 1000, 20_000  # a key is hot beyond HOT_ROWS rows and one in HOT_KEYS of all: HOT_KEYS at most
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # Spark's, from 4.1 on; older ones ignore it
 SPACE = b" \t\n\x0b\x0c\r"  # fixed values: bytes.split() separates words at exactly these
 
 
@@ -54,6 +57,16 @@ class Workspace:
             at = jvm.org.apache.hadoop.fs.Path(self.path(step))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    @contextmanager
+    def freed(self) -> Iterator[None]:
+        """In it, Spark deletes the shuffle files of each query as soon as that ends. Without it they stay until the driver's
+        collector has found the plan unused, often until steps later. No step needs them again: it is read from its Parquet."""
+        before = self.spark.conf.get(FREED, None)
+        self.spark.conf.set(FREED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(FREED) if before is None else self.spark.conf.set(FREED, before)
 
     def clean(self) -> None:
         """Lets Spark delete the shuffle files of finished steps: it does when the driver's collector has found that

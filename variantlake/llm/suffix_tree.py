@@ -21,8 +21,8 @@ BUCKET = 1 << 21  # training tokens for each bucket of them
 MIN_CONTEXT = 5  # occurrences from which on a context can be a state
 MIN_NEXT = 3  # occurrences from which on a state keeps the count of a next word
 PASSES = ((1,), (2,), (3, 4, 5))  # depths of contexts, as they are counted together: the last is the tree's memory
-ROUND = 0.5  # n-grams for each token that are counted at once at most; more are counted in rounds, by their hashes, which saves disk
-PARTS = 2  # in which documents are scored, by a hash of their keys, for the same reason
+ROUND = 1.0  # n-grams for each token that are counted at once at most; more are counted in rounds, by their hashes, which saves disk
+PART = 0.25  # rarer n-grams for each token that are scored at once, about; documents are dealt by hashes of their keys, for the same reason
 DIVERGE = 1.0  # nats by which a state must tell its own occurrences better than its suffix does: count times divergence
 SMOOTH = 20.0  # weight, in observations, of the suffix's distribution in a state's
 FLUSH = 1_000_000  # places counted together in a task
@@ -164,6 +164,13 @@ def _parts(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tup
             yield i, *(x[a:b].tobytes() for x in columns)
 
 
+def _by_context(keys: np.ndarray, contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by buckets, and in a bucket by contexts, so that equal ones stand together and compress; and keys in it."""
+    bits = buckets.bit_length() - 1
+    order, keys, _ = _sort(keys & ~np.uint64((1 << 64 - bits) - 1) | contexts >> np.uint64(bits))
+    return order, keys
+
+
 def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
 
@@ -272,7 +279,9 @@ def _count_level(texts: DataFrame, contexts, nexts, depths: tuple[int, ...], buc
                 order, keys, first = _sort(_mix(c, s))
                 n = np.diff(np.append(first, len(keys))).astype(np.uint32)
                 at = order[first]  # of equal ones any will do
-                rows = [(d, *x) for x in _parts(keys[first], buckets, c[at], s[at], n)]
+                order, keys = _by_context(keys[first], c[at], buckets)
+                at = at[order]
+                rows = [(d, *x) for x in _parts(keys, buckets, c[at], s[at], n[order])]
                 if rows:
                     yield _table(list(zip(*rows)), spec)
 
@@ -426,12 +435,8 @@ def _rows(steps: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.uint16).astype(np.int64)
 
 
-def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
-    """(row, states, hits): the sum of the values of each row's n-grams, and how many have one.
-
-    ``packed`` has (bucket, batch, gs, at): hashes with the rows, from ``batch`` on, that they are in. Both sides meet by
-    bucket, so no row is made for an n-gram; sums go back by batch.
-    """
+def _pack_values(values: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, gs, vs): the hashes g and their values v, packed by bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = [("bucket", pa.int32()), ("gs", pa.binary()), ("vs", pa.binary())]
@@ -453,6 +458,16 @@ def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame
         if held:
             yield out()
 
+    return values.mapInArrow(pack, "bucket int, gs binary, vs binary")
+
+
+def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
+    """(row, states, hits): the sum of the values of each row's n-grams, and how many have one.
+
+    ``packed`` has (bucket, batch, gs, at): hashes with the rows, from ``batch`` on, that they are in; ``values`` has (g, v)
+    or is what _pack_values makes of those. Both sides meet by bucket, so no row is made for an n-gram; sums go back by batch.
+    """
+
     def meet(texts: pa.Table, model: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if len(model):
@@ -478,11 +493,18 @@ def _sum_values(packed: DataFrame, values: DataFrame, buckets: int) -> DataFrame
         at = np.flatnonzero(hits)
         return pa.table({"row": pa.array(met["batch"][0].as_py() + at, pa.int64()), "states": pa.array(total[at]), "hits": pa.array(hits[at])})
 
-    model = values.mapInArrow(pack, "bucket int, gs binary, vs binary")
+    model = values if "gs" in values.columns else _pack_values(values, buckets)
     met = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(meet, "batch long, at binary, sums binary, hits binary")
     return met.groupBy("batch").applyInArrow(add, "row long, states double, hits long")
 
 
+def _score_parts(values: int, bits: np.ndarray, total: int) -> int:
+    """In how many parts documents are scored: after the occurrences in training of the rarer n-grams that have a value,
+    and those of others that pass the filter by chance."""
+    chance = (np.bitwise_count(bits).sum() / (64 * len(bits))) ** len(_BITS) * (PASSES[-1][-1] + 1)
+    return max(1, int(np.ceil((values / max(1, total) + chance) * FOLD / (FOLD - 1) / PART)))
+
+
 def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -498,6 +520,11 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     rest of its bucket, 10 bytes for each time, and no filter keeps it back. The base score takes words by their hashes too: of
     1e8 distinct words 3e-4 pairs are expected to share one.
     """
+    with work.freed():
+        return _score_texts(docs, work, key, text)
+
+
+def _score_texts(docs: DataFrame, work: Workspace, key: str, text: str) -> DataFrame:
     fold = crc_mod(key, FOLD)
     train = docs.filter(fold != HELD_OUT).select(F.col(text).alias("text"))
     counts = work.keep(count_words(train), "counts")
@@ -512,7 +539,10 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
         g, v = frequent["g"].to_numpy().view(np.uint64), frequent["v"].to_numpy()
         order = np.argsort(g)
         tables.append((g[order], v[order]))
-    shared = docs.sparkSession.sparkContext.broadcast((*tables, _filter(values), chain))
+    bits = _filter(values)
+    places = sum(x.filter(F.col("n") < TABLE * total).agg(F.sum("n")).first()[0] or 0 for x in (values, seen))
+    parts = _score_parts(places, bits, total)
+    shared = docs.sparkSession.sparkContext.broadcast((*tables, bits, chain))
     work.clean()
     kind = docs.schema[key].dataType.simpleString()
     spec = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, batch long, gs binary, at binary"
@@ -561,10 +591,11 @@ def score_texts(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
             yield out(done)
         give_back()
 
-    rarer = [x.filter(F.col("n") < TABLE * total).select("g", "v") for x in (values, seen)]
+    rarer = [work.keep(_pack_values(x.filter(F.col("n") < TABLE * total).select("g", "v"), buckets), f"rarer-{i}") for i, x in enumerate((values, seen))]
+    work.drop("values", "counts")
     done = []
-    for i in range(PARTS):
-        part = docs.filter(F.pmod(F.xxhash64(key), F.lit(PARTS)) == i).select(key, (fold == HELD_OUT).alias("held_out"), F.col(text))
+    for i in range(parts):
+        part = docs.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i).select(key, (fold == HELD_OUT).alias("held_out"), F.col(text))
         scored = work.keep(part.mapInArrow(score, spec), f"scored-{i}")
         packed, scored = scored.filter("bucket is not null").select("bucket", "batch", "gs", "at"), scored.filter("bucket is null").drop("bucket", "batch", "gs", "at")
         deep = work.keep(_sum_values(packed.filter("bucket >= 0"), rarer[0], buckets).drop("hits"), f"deep-{i}")
